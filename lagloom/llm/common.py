@@ -90,3 +90,8 @@ def folded_words(text: str) -> list[bytes]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df dealt by cols to as many tasks as shuffles have: for small rows that make much work each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)

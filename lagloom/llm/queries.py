@@ -36,6 +36,12 @@ def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_totals(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagloom.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagloom.llm.winnow import edit_pairs
 
@@ -51,6 +57,7 @@ def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shard_placement": op4_shard_placement,
     "op5_prefix_token_counts": op5_prefix_token_counts,
+    "op6_golay_simhash": op6_golay_simhash,
     "op7_winnowing": op7_winnowing,
     "op8_transducer_bpe": op8_transducer_bpe,
 }
