@@ -22,6 +22,27 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagloom.llm.line_dedup import line_report
+
+    return line_report(documents(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (
+  SELECT key, max(doc_id) AS last_id FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT k.doc_id, count(*) AS n_lines, count(r.key) FILTER (WHERE r.last_id <> k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE r.key IS NULL OR r.last_id = k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN repeated r ON k.key = r.key GROUP BY k.doc_id
+"""
+
+
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, and the one it goes to when the first shard is lost."""
     docs = documents(spark, sf_dir)
@@ -55,6 +76,7 @@ def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op4_shard_placement": op4_shard_placement,
     "op5_prefix_token_counts": op5_prefix_token_counts,
     "op6_golay_simhash": op6_golay_simhash,
@@ -62,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transducer_bpe": op8_transducer_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
