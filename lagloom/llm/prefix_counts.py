@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lagloom.llm.common import MEMO, id_and_text, map_columns
 
 MARK = "▁"  # stands for a space
+SHORT = (2, 1)
 
 
 class PrefixCounter:
@@ -37,49 +38,70 @@ class PrefixCounter:
         self.score = {p.piece: p.score for p in proto.pieces if p.type == 1}
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece joins words")
-        self.longest = max(map(len, self.score))
+        sizes: dict[str, set[int]] = {}  # of the pieces that end in three letters
+        for p in self.score:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], set()).add(len(p))
+        self.beside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        self.ending = {end: (*sorted(found, reverse=True), *SHORT) for end, found in sizes.items()}
         self.newline_alone = not any("\n" in p for p in self.score)
-        self.alone: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.known: dict[str, tuple[tuple[int, ...], tuple[str | None, ...]]] = {}
         self.total: dict[str, int] = {}
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short text by merging the best pair again and again, leftmost first."""
-        parts, score = list(text), self.score
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                s = score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                return parts
+        parts, get = list(text), self.score.get
+        scores = [get(a + b) for a, b in zip(parts, parts[1:])]
+        while found := [s for s in scores if s is not None]:
+            at = scores.index(max(found))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            scores[at : at + 1] = []
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at])
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1])
+        return parts
 
     def fits(self, before: str | None, token: str) -> bool:
-        if before is None:
-            ok = self.alone.get(token)
-            if ok is None:
-                ok = self.alone[token] = self.merged(token) == [token]
-            return ok
-        ok = self.pairs.get((before, token))
-        if ok is None:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            ok = self.pairs[before, token] = self.merged(before + token) == [before, token]
+        """Whether the token may follow: the two alone encode to themselves."""
+        if len(self.pairs) > 4 * MEMO:
+            self.pairs.clear()
+        ok = self.merged(token) == [token] if before is None else self.merged(before + token) == [before, token]
+        self.pairs[before, token] = ok
         return ok
 
     def chunk(self, chunk: str) -> list[int]:
-        """Counts at the prefixes 1..len(chunk) of a piece of text that no token leaves."""
-        counts, last, score, longest, fits = [0], [None], self.score, self.longest, self.fits
-        for i in range(1, len(chunk) + 1):
-            for at in range(max(0, i - longest), i):
-                token = chunk[at:i]
-                if (token in score or at == i - 1) and fits(last[at], token):
-                    last.append(token)
-                    counts.append(counts[at] + (1 if token in score else len(token.encode("utf-8", "replace"))))
-                    break
-        return counts[1:]
+        """Counts at the prefixes 0..len(chunk) of a piece of text that no token leaves."""
+        return self.states(chunk)[0]
+
+    def states(self, chunk: str) -> tuple[list[int], list[str | None]]:
+        """Counts and last tokens at the prefixes 0..len(chunk), going on from the longest prefix at hand."""
+        known, score, pairs = self.known, self.score, self.pairs
+        for n in range(len(chunk), max(0, len(chunk) - 12), -1):
+            if (got := known.get(chunk[:n])) is not None:
+                if n == len(chunk):
+                    return got
+                counts, last = map(list, got)
+                break
+        else:
+            n, counts, last = 0, [0], [None]
+        ending = self.ending
+        for i in range(n + 1, len(chunk) + 1):
+            for size in ending.get(chunk[i - 3 : i], SHORT) if i > 2 else SHORT:
+                if size > i:
+                    continue
+                token = chunk[i - size : i]
+                if size == 1 or token in score:
+                    before = last[i - size]
+                    ok = pairs.get((before, token))
+                    if ok is None:
+                        ok = self.fits(before, token)
+                    if ok:
+                        last.append(token)
+                        counts.append(counts[i - size] + (1 if token in score else len(token.encode("utf-8", "replace"))))
+                        break
+        return counts, last
 
     def chunks(self, text: str) -> list[str]:
         """The text as the model sees it, cut where no token can cross: before spaces, around line ends."""
@@ -91,13 +113,26 @@ class PrefixCounter:
         return [c for c in seen.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0") if c]
 
     def __missing(self, chunk: str) -> int:
-        if len(self.total) > MEMO:
-            self.total.clear()
-        n = self.chunk(chunk)[-1]
-        if len(chunk) <= 64:
+        """The last count of a chunk, from those of the parts between letters that stand together in no piece."""
+        n, at, beside = 0, 0, self.beside
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in beside:
+                n += self.__part(chunk[at:k])
+                at = k
+        n += self.__part(chunk[at:])
+        if len(chunk) <= 64 and len(self.total) < 2 * MEMO:  # the first words met hold the frequent ones
             self.total[chunk] = n
         return n
 
+    def __part(self, part: str) -> int:
+        got = self.known.get(part)
+        if got is None:
+            counts, last = self.states(part)
+            got = tuple(counts), tuple(last)
+            if len(part) <= 64 and len(self.known) < MEMO:
+                self.known[part] = got
+        return got[0][-1]
+
     def ends(self, chunks: list[str]) -> list[int]:
         """The token count of each chunk, computed by chunk() when not remembered."""
         got = list(map(self.total.get, chunks))
@@ -108,7 +143,7 @@ class PrefixCounter:
         out, base = [0], 0
         for c in self.chunks(text):
             counts = self.chunk(c)
-            out += [base + n for n in counts]
+            out += [base + n for n in counts[1:]]
             base += counts[-1]
         return [0] + out[2:] if text else [0]
 
@@ -119,7 +154,7 @@ class PrefixCounter:
         for c, before in zip(chunks, accumulate(ends, initial=0), strict=False):
             if before > budget:
                 break
-            for k, n in enumerate(self.chunk(c) if before + len(c.encode("utf-8", "replace")) * 3 > budget else ()):
+            for k, n in enumerate(self.chunk(c)[1:] if before + len(c.encode("utf-8", "replace")) * 3 > budget else ()):
                 if before + n <= budget:
                     best = at + k + 1
             at += len(c)
