@@ -75,6 +75,21 @@ def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), digest=True)
 
 
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers, dates and addresses replaced."""
+    from lagloom.llm.pseudonyms import pseudonymize
+
+    done = pseudonymize(documents(spark, sf_dir))
+    return done.select("doc.doc_id", "n_found", F.array_sort(F.map_keys("kinds")).alias("kinds"), F.col("pseudonyms").alias("text"))
+
+
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items, word for word or with other numbers, names and units."""
+    from lagloom.llm.templates import leaks
+
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op4_shard_placement": op4_shard_placement,
@@ -82,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_golay_simhash": op6_golay_simhash,
     "op7_winnowing": op7_winnowing,
     "op8_transducer_bpe": op8_transducer_bpe,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
+    "op10_template_leaks": op10_template_leaks,
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}

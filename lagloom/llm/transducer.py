@@ -141,12 +141,16 @@ class WordBPE:
         """The ids of a word, by merging the pair of least rank again and again, leftmost first."""
         parts = [self.letters[b] for b in word]
         parts[-1] += self.suffix
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            rank, at = min((ranks.get(p, none), k) for k, p in enumerate(zip(parts, parts[1:])))
-            if rank == none:
-                break
+        get, none = self.ranks.get, len(self.ranks)
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            at = ranks.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), none)
         return [self.vocab[p] for p in parts]
 
 
@@ -182,14 +186,12 @@ class Encoder:
 
     def __init__(self, bpe: WordBPE, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
+        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
 
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for w in self.bpe.words(chunk):
-            known = self.lexicon.get(w)
-            ids += self.bpe.merge(w) if known is None else known
-        return tuple(ids)
+    def ids(self, word: bytes) -> list[int]:
+        known = self.lexicon.get(word)
+        return self.bpe.merge(word) if known is None else known
 
     def encode(self, text: str) -> list[int]:
         if "<|" in text and self.bpe.specials.search(text):
@@ -197,7 +199,7 @@ class Encoder:
             for part in self.bpe.specials.split(text):
                 out += [self.bpe.added[part]] if part in self.bpe.added else self.encode(part)
             return out
-        return [i for c in chunks_of(text) for i in self.chunk(c)]
+        return [i for c in chunks_of(text) for w in self.bpe.words(c) for i in self.ids(w)]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.bpe.strings[i] for i in ids])
@@ -207,17 +209,28 @@ class Encoder:
         if "<|" in text and self.bpe.specials.search(text):
             return self._render(self.encode(text))
         chunks = chunks_of(text)
-        got = list(map(self.memo.get, chunks))
+        got = list(map(self.chunks.get, chunks))
         if None in got:
-            for k, g in enumerate(got):
-                if g is None:
-                    if len(self.memo) > MEMO:
-                        self.memo.clear()
-                    got[k] = self._render(self.chunk(chunks[k]))
-                    if len(chunks[k]) <= 64:
-                        self.memo[chunks[k]] = got[k]
-        got = [g for g in got if g[0]]
-        return sum([g[0] for g in got]), b" ".join([g[1] for g in got]), b" ".join([g[2] for g in got])
+            got = [self._chunk(c) if g is None else g for c, g in zip(chunks, got, strict=True)]
+        return self._joined([g for g in got if g[0]])
+
+    @staticmethod
+    def _joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
+        return sum([g[0] for g in parts]), b" ".join([g[1] for g in parts]), b" ".join([g[2] for g in parts])
+
+    def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """A piece ready-made. The first pieces and words met, which hold the frequent ones, are remembered."""
+        parts = []
+        for w in self.bpe.words(chunk):
+            if (got := self.words.get(w)) is None:
+                got = self._render(self.ids(w))
+                if len(w) <= 64 and len(self.words) < MEMO:
+                    self.words[w] = got
+            parts.append(got)
+        done = parts[0] if len(parts) == 1 else self._joined(parts)
+        if len(chunk) <= 64 and len(self.chunks) < MEMO:
+            self.chunks[chunk] = done
+        return done
 
     def _render(self, ids) -> tuple[int, bytes, bytes]:
         return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
