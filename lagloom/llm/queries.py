@@ -43,6 +43,12 @@ FROM keyed k LEFT JOIN repeated r ON k.key = r.key GROUP BY k.doc_id
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagloom.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document, and the one it goes to when the first shard is lost."""
     docs = documents(spark, sf_dir)
@@ -92,6 +98,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_shard_placement": op4_shard_placement,
     "op5_prefix_token_counts": op5_prefix_token_counts,
     "op6_golay_simhash": op6_golay_simhash,
