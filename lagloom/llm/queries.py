@@ -22,6 +22,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagloom.llm.katz import score_texts
+
+    return score_texts(documents(spark, sf_dir))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagloom.llm.line_dedup import line_report
 
@@ -97,6 +103,7 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_scores": op1_katz_scores,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_shard_placement": op4_shard_placement,
