@@ -212,3 +212,74 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
     named = nodes.groupBy("part").agg(F.min("least_id").alias("component_id"))
     names = nodes.join(named, "part").select(F.col("node").alias("fp"), "component_id")
     return fps.join(names, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw, node, f1, f2): a hash of the raw text, one of its words, and two fingerprints of its set of words.
+
+    Word sets differ by one in a place where shingles differ by their length, so near copies are close in them."""
+
+    def make():
+        def step(ids, raws, texts):
+            out: dict[str, list] = {"doc_id": ids, "raw": raws, "node": [], "f1": [], "f2": []}
+            for t in texts:
+                words = folded_words(t)
+                out["node"].append(signed(xxhash.xxh3_64_intdigest(b" ".join(words))))
+                for c, seed in (("f1", 42), ("f2", 7)):
+                    out[c].append(signed(fingerprint(words, 1, seed, distinct=True)))
+            return out
+
+        return step
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("raw"), "text")
+    return map_columns(texts, make, f"doc_id {kind}, raw long, node long, f1 long, f2 long")
+
+
+def similar(texts: DataFrame, k: int, similarity: float):
+    """A filter of pairs (a, b) of nodes: those whose sets of k-word shingles have that Jaccard similarity or more.
+    texts (node, text) has a text of each node; only those in pairs are read into shingles."""
+
+    def shingles():
+        return lambda nodes, texts: {"node": nodes, "shingles": [np.unique(np.array(shingle_hashes(folded_words(t), k), np.uint64)).view(np.int64) for t in texts]}
+
+    def judged():
+        def step(a, b, x, y):
+            keep = []
+            for p, q in zip(x, y, strict=True):
+                common = len(np.intersect1d(np.array(p, np.int64), np.array(q, np.int64), assume_unique=True))
+                keep.append(common >= similarity * (len(p) + len(q) - common))
+            return {"a": a, "b": b, "keep": keep}
+
+        return step
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "candidates")
+        used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = stored(map_columns(texts.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), shingles, "node long, shingles array<long>"), "shingles")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        # sets of very unequal sizes cannot be similar
+        both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+        return map_columns(both.select("a", "b", "x", "y"), judged, "a long, b long, keep boolean").where("keep").select("a", "b")
+
+    return verify
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, distance: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one document of each group of exact and near copies: the one with the least doc_id.
+
+    Texts with equal words are one node. Candidates share fuzzy keys of two segments of a word-set fingerprint and
+    differ in at most `distance` of its bits; a pair counts if its k-word shingles have the similarity. Texts without
+    words are copies of each other. A null doc_id comes last; of repeated rows (id and text) one stays."""
+    known = stored(text_classes(docs, id_col, text_col), "text-classes")
+    nodes = known.groupBy("node").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"))
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = known.groupBy("node").agg(F.min("raw").alias("raw"))
+    texts = texts.join(named, "raw")
+    parts = components(linked(keyed(spread(nodes, "node"), pair_keys, "f1", "f2"), distance, similar(texts, k, similarity)))
+    placed = known.join(parts, "node", "left").select("doc_id", "raw", F.coalesce("component", "node").alias("part"))
+    best = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.raw").alias("kept_raw"))
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"))
+    rows = rows.join(kept, rows[f"doc.{id_col}"].eqNullSafe(F.col("kept_id")) & (F.col("raw") == F.col("kept_raw")), "left_semi")
+    return rows.groupBy(F.col(f"doc.{id_col}").alias("id"), "raw").agg(F.first("doc").alias("doc")).select("doc.*")

@@ -17,8 +17,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -280,3 +282,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.col("near").cast("long").alias("n_near"), F.col("quoted").cast("long").alias("n_quoted"),
     )
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose texts score below 0.5, with all their columns."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer()
+        for texts in batches:
+            yield pd.Series([model.score(*scorer.evidence(t or "")[:2]) for t in texts], dtype="float64")
+
+    return docs.where(score(F.col(text_col)) < 0.5)
