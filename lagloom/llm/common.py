@@ -95,3 +95,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """df dealt by cols to as many tasks as shuffles have: for small rows that make much work each."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of counts with the largest n, at most `most` of them: all from the least level (a power of 2 ** (1 / 8))
+    that few enough reach. Only a count for each level comes to the driver."""
+    level = F.floor(F.log2(F.col(n)) * 8).cast("int")
+    room, least = most, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        if r.rows > room:
+            break
+        room, least = room - r.rows, r.level
+    return counts.where(level >= least) if least is not None else counts.limit(0)

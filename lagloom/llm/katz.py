@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import MEMO, folded_words, id_and_text, map_columns, stored
+from lagloom.llm.common import MEMO, folded_words, id_and_text, map_columns, most_frequent, stored
 
 #: Counts that Good-Turing discounts, and the share that larger counts give up.
 CUTOFF, TAIL = 5, 1e-3
@@ -153,14 +153,8 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
 
 
 def known_words(counts: DataFrame, n_docs: int, uni: Unigrams, most: int) -> Known:
-    """The most frequent words, at most `most`: those from the least count (a power of 2 ** (1 / 8)) that few enough reach."""
-    level = F.floor(F.log2("c") * 8).cast("int")
-    room, least = most, None
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        if r["count"] > room:
-            break
-        room, least = room - r["count"], r.level
-    rows = counts.where(level >= least).toPandas() if least is not None else pd.DataFrame({"word": [], "c": []})
+    """The most frequent words, at most `most`, and the beginning with its count as a history."""
+    rows = most_frequent(counts, most, "c").toPandas()
     hashes, c = rows.word.to_numpy(np.int64), rows.c.to_numpy(np.int64)
     hashes, c = np.append(hashes, word_hash(BEGIN)), np.append(c, n_docs)
     order = np.argsort(hashes)

@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import MEMO, id_and_text, map_columns, shared_file
+from lagloom.llm.common import MEMO, id_and_text, map_columns, most_frequent, shared_file, stored
 
 #: Frequent words that the automaton holds at most; it bounds the file, not what can be encoded.
 LEXICON_WORDS = 65_536
@@ -160,7 +160,7 @@ def chunks_of(text: str) -> list[str]:
 
 
 def frequent_words(docs: DataFrame, spec, top: int) -> DataFrame:
-    """(word, n): the top words over all whole texts, counted per batch before they are shuffled."""
+    """(word, n): the most frequent words over all whole texts, counted per batch before they are shuffled."""
 
     def make():
         bpe = WordBPE(json.loads(spec.value))
@@ -178,7 +178,7 @@ def frequent_words(docs: DataFrame, spec, top: int) -> DataFrame:
         return step
 
     counted = map_columns(docs.select("text"), make, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top)
+    return most_frequent(stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "word-counts"), top)
 
 
 class Encoder:
