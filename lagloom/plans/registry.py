@@ -1,4 +1,4 @@
-"""Registered queries of the lead-lag operators and their SQL."""
+"""Registered queries of the lead-lag operators, each beside the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from lagloom.plans import align_queries, estimate_queries, panel_queries, trade_queries  # noqa: E402, F401
