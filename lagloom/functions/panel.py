@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_SERIES, BY_TIME = Window.partitionBy("series"), Window.partitionBy("t")
-IN_ORDER = Window.partitionBy("series").orderBy("t")
+
+def by_series():
+    return Window.partitionBy("series")
+
+
+def in_order():
+    return Window.partitionBy("series").orderBy("t")
 
 
 def null_share(panel: DataFrame) -> DataFrame:
@@ -24,7 +29,7 @@ def zero_share(window) -> Column:
 
 def without_sparse_series(panel: DataFrame, most: float = 0.5) -> DataFrame:
     """Series whose share of zeros is `most` or less."""
-    return panel.withColumn("_z", zero_share(BY_SERIES)).where(F.col("_z") <= most).drop("_z")
+    return panel.withColumn("_z", zero_share(by_series())).where(F.col("_z") <= most).drop("_z")
 
 
 def without_sparse_times(panel: DataFrame, most: float = 0.1) -> DataFrame:
@@ -37,7 +42,7 @@ def without_sparse_times(panel: DataFrame, most: float = 0.1) -> DataFrame:
 
 def without_extreme_series(panel: DataFrame, bound: float = 1.0, most: float = 0.1) -> DataFrame:
     """Series with values of `bound` or more at a share of `most` of times or less."""
-    return panel.withColumn("_x", F.avg((F.col("v") >= bound).cast("int")).over(BY_SERIES)).where(F.col("_x") <= most).drop("_x")
+    return panel.withColumn("_x", F.avg((F.col("v") >= bound).cast("int")).over(by_series())).where(F.col("_x") <= most).drop("_x")
 
 
 def clipped(panel: DataFrame, bound: float = 0.15) -> DataFrame:
@@ -60,11 +65,11 @@ def excess(panel: DataFrame, benchmark) -> DataFrame:
 def zscored(panel: DataFrame, sample: bool = False) -> DataFrame:
     """(v - mean) / deviation of each series; the deviation of the whole (or of a sample). Constant series get null."""
     sd = F.stddev_samp("v") if sample else F.stddev_pop("v")
-    return panel.withColumn("v", F.try_divide(F.col("v") - F.avg("v").over(BY_SERIES), sd.over(BY_SERIES)))
+    return panel.withColumn("v", F.try_divide(F.col("v") - F.avg("v").over(by_series()), sd.over(by_series())))
 
 
 def scaled(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("v", F.try_divide(F.col("v"), F.stddev_pop("v").over(BY_SERIES)))
+    return panel.withColumn("v", F.try_divide(F.col("v"), F.stddev_pop("v").over(by_series())))
 
 
 def mid_price(book: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def downsampled(ticks: DataFrame, width: float, start: float = 34200.0, end: flo
 def log_returns(panel: DataFrame) -> DataFrame:
     """ln v - ln of the value before; null where either is not positive."""
     log = F.when(F.col("v") > 0, F.ln("v"))
-    return panel.withColumn("v", log - F.lag(log).over(IN_ORDER))
+    return panel.withColumn("v", log - F.lag(log).over(in_order()))
 
 
 def returns(panel: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def hourly_piece(ts: Column, first: int = 10, pieces: int = 5) -> Column:
 
 def rolling(panel: DataFrame, n: int = 50) -> DataFrame:
     """(series, t, mean, sd) of the last n values, null until there are n."""
-    w = IN_ORDER.rowsBetween(1 - n, 0)
+    w = in_order().rowsBetween(1 - n, 0)
     enough = F.count("v").over(w) == n
     return panel.select("series", "t", F.when(enough, F.avg("v").over(w)).alias("mean"), F.when(enough, F.stddev_samp("v").over(w)).alias("sd"))
 
@@ -132,7 +137,7 @@ def interpolated(panel: DataFrame, at: DataFrame) -> DataFrame:
     span = panel.groupBy("series").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     spot = span.join(F.broadcast(at)).withColumn("y", F.least(F.greatest("x", F.col("lo").cast("double")), F.col("hi").cast("double")))
     spot = spot.select("series", "x", "y", F.floor("y").cast("int").alias("t"))
-    ahead = panel.withColumn("after", F.lead("v").over(IN_ORDER))
+    ahead = panel.withColumn("after", F.lead("v").over(in_order()))
     value = F.col("v") + F.when(F.col("y") > F.col("t"), (F.col("y") - F.col("t")) * (F.col("after") - F.col("v"))).otherwise(0.0)
     return spot.join(ahead, ["series", "t"]).select("series", "x", value.alias("v"))
 

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_SERIES = Window.partitionBy("series").orderBy("t")
+
+def in_order():
+    return Window.partitionBy("series").orderBy("t")
 
 
 def sign(c) -> Column:
@@ -172,13 +174,13 @@ def turnover(weights: DataFrame, panel: DataFrame) -> DataFrame:
     held = weights.join(panel, ["series", "t"], "left").fillna(0.0, ["v"])
     day = held.groupBy("t").agg(F.sum(F.col("w") * F.col("v")).alias("r"))
     drift = held.join(day, "t").withColumn("d", F.col("w") * (1 + F.col("v")) / (1 + F.col("r")))
-    prev = F.lag("d").over(BY_SERIES)
+    prev = F.lag("d").over(in_order())
     return drift.withColumn("trade", F.abs(F.col("w") - prev)).where(F.col("trade").isNotNull()).groupBy("t").agg(F.sum("trade").alias("turnover"))
 
 
 def simple_turnover(weights: DataFrame) -> DataFrame:
     """(turnover): the mean over series of mean daily changes of weights."""
-    change = weights.withColumn("c", F.abs(F.col("w") - F.lag("w").over(BY_SERIES)))
+    change = weights.withColumn("c", F.abs(F.col("w") - F.lag("w").over(in_order())))
     return change.agg(F.avg("c").alias("turnover"))
 
 
