@@ -37,7 +37,7 @@ from lagloom.llm.common import MEMO, folded_words, id_and_text, map_columns, mos
 #: Counts that Good-Turing discounts, and the share that larger counts give up.
 CUTOFF, TAIL = 5, 1e-3
 #: Words that all tasks know at most (16 bytes each); pairs of a chunk, of a bucket.
-KNOWN_WORDS, CHUNK, BUCKET = 2_000_000, 1_000_000, 1_500_000
+KNOWN_WORDS, CHUNK, BUCKET = 1_000_000, 1_000_000, 1_500_000
 #: No word holds white space, so these stand for the end of a text and for what is before its first word.
 END, BEGIN = b"\n", b"\n\n"
 
@@ -154,8 +154,8 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
 
 def known_words(counts: DataFrame, n_docs: int, uni: Unigrams, most: int) -> Known:
     """The most frequent words, at most `most`, and the beginning with its count as a history."""
-    rows = most_frequent(counts, most, "c").toPandas()
-    hashes, c = rows.word.to_numpy(np.int64), rows.c.to_numpy(np.int64)
+    rows = most_frequent(counts, most, "c").select("word", "c").toArrow()
+    hashes, c = (rows[n].to_numpy().astype(np.int64) for n in ("word", "c"))
     hashes, c = np.append(hashes, word_hash(BEGIN)), np.append(c, n_docs)
     order = np.argsort(hashes)
     pairs = max(1, (uni.n + n_docs) * 10 // 9)

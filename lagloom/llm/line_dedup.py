@@ -117,7 +117,7 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
     order = np.concatenate([order, spare])
     out = {"shard": [int(group.shard.iloc[0])], "levels": [mph.dump()], "n_keys": [len(first)], "fp": [_blob(h2[order], "<i8")]}
     out |= {"n": [_blob(group.n.to_numpy()[order], "<i8")], "last": [_blob(group.last_id.to_numpy()[order], "<i8")], "spare": [_blob(h1[spare], "<i8")]}
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, dtype=object)
 
 
 INDEX = "shard int, levels array<binary>, n_keys long, fp binary, n binary, last binary, spare binary"
@@ -150,7 +150,7 @@ def _probe(min_docs: int):
                     out["h1"].append(h1[hit])
                     out["h2"].append(h2[hit])
                     out["last"].append(last[at[hit]])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     return run
 
@@ -187,7 +187,7 @@ def _losses(lines: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
                 out["doc_id"].append(x.ids[k])
                 out["h1"].append(a)
                 out["h2"].append(b)
-    return pd.DataFrame(out)
+    return pd.DataFrame(out, dtype=object)
 
 
 def lost_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -154,9 +154,10 @@ class PrefixCounter:
         for c, before in zip(chunks, accumulate(ends, initial=0), strict=False):
             if before > budget:
                 break
-            for k, n in enumerate(self.chunk(c)[1:] if before + len(c.encode("utf-8", "replace")) * 3 > budget else ()):
-                if before + n <= budget:
-                    best = at + k + 1
+            if before + len(c.encode("utf-8", "replace")) <= budget:  # no prefix has more tokens than bytes
+                best = at + len(c)
+            else:
+                best = max([best, *(at + k for k, n in enumerate(self.chunk(c)) if before + n <= budget)])
             at += len(c)
         return max(0, best - 1)
 

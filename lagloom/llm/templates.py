@@ -162,7 +162,7 @@ def leaks(
     blocks = max(1, -(-index.select("window").distinct().count() // block))
     for b in range(blocks):
         part = index.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        hashes = np.array(part.select("window").distinct().toPandas()["window"], np.int64)  # about `block` of them
+        hashes = part.select("window").distinct().toArrow()["window"].to_numpy().astype(np.int64)  # about `block` of them
         found.append(_met(texts, kind, sizes, spark.sparkContext.broadcast(np.sort(hashes))) if len(hashes) else None)
     found = [f for f in found if f is not None]
     id_kind = items.schema[item_id].dataType.simpleString()
