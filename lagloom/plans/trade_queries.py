@@ -304,3 +304,12 @@ def _(spark, d):
     from lagloom.plans.walk import best_series_out_of_sample
 
     return rounded(best_series_out_of_sample(nation_returns(spark, d), spark, 0, 40, 30, 10), "pnl")
+
+
+@query("sliding_window_moments", """WITH w AS (SELECT event_type AS series, value AS v, unnest([time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 day', ts) - INTERVAL '1 day', time_bucket(INTERVAL '1 day', ts) - INTERVAL '2 days']) AS start FROM events)
+SELECT start, start + INTERVAL '3 days' AS "end", series, count(v) AS n, round(avg(v), 6) + 0.0 AS mean, round(stddev_samp(v), 6) AS sd FROM w GROUP BY ALL""")
+def _(spark, d):
+    from lagloom.streaming.windows import sliding_moments
+
+    ticks = src.table(spark, d, "events").select(F.col("event_type").alias("series"), "ts", F.col("value").alias("v"))
+    return rounded(sliding_moments(ticks, "3 days", "1 day"), "mean", "sd")
