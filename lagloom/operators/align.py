@@ -183,7 +183,8 @@ def upsets(r: np.ndarray, h: np.ndarray) -> float:
 def svd_ranking(h: np.ndarray) -> np.ndarray:
     """Real-valued lags of a skew-symmetric lag matrix by spectral ranking and synchronisation: in the plane of the two
     leading left singular vectors of D^1/2 H D^1/2 the direction across the image of the ones vector orders the series;
-    its sign is the one with fewer upsets, its scale the median of H over the differences."""
+    its sign is the one with fewer upsets, its scale the median of H over the differences. Weighing by D^1/2 keeps the
+    order of lags but stretches their distances where rows are heavy."""
     if not np.abs(h).sum():
         return np.zeros(len(h))
     d = np.sqrt(np.abs(h).sum(axis=1))
@@ -195,7 +196,7 @@ def svd_ranking(h: np.ndarray) -> np.ndarray:
     s = pi[:, None] - pi[None, :]
     off = ~np.eye(len(h), dtype=bool)
     scale = np.median(h[off] / (s[off] + 1e-9))
-    if not np.isfinite(scale) or scale <= 0:
+    if scale == 0:
         scale = np.abs(h).sum() / max(np.abs(s).sum(), 1e-300)
     r = scale * pi
     return r - r.mean()
