@@ -63,6 +63,29 @@ def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(F.broadcast(after), "slot").select(F.col("key").alias("doc_id"), "slot", "shard", "shard_after_loss")
 
 
+def _fill_sql(name: str, shards: tuple[str, ...]) -> str:
+    names = ", ".join(f"'{s}'" for s in shards)
+    h = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    return f"""
+{name}_order AS (SELECT list({{'offset': {h.format("s || '/offset'")} % {sharding.SIZE}, 'skip': {h.format("s || '/skip'")} % ({sharding.SIZE} - 1) + 1}} ORDER BY s) AS o FROM (SELECT unnest([{names}]) AS s)),
+{name}_fill AS (
+  SELECT 0 AS turn, {sharding.SIZE} AS room, list_transform(range({len(shards)}), lambda x: 0) AS seen, list_transform(range({sharding.SIZE}), lambda x: -1) AS owner
+  UNION ALL
+  SELECT CASE WHEN free THEN (turn + 1) % {len(shards)} ELSE turn END, room - free::INT, seen[:turn] || [seen[turn + 1] + 1] || seen[turn + 2:],
+    CASE WHEN free THEN owner[:slot] || [turn] || owner[slot + 2:] ELSE owner END
+  FROM (SELECT *, owner[slot + 1] < 0 AS free FROM (SELECT f.*, ((o[turn + 1].offset + seen[turn + 1] * o[turn + 1].skip) % {sharding.SIZE})::INT AS slot FROM {name}_fill f, {name}_order WHERE room > 0))),
+{name} AS (SELECT unnest(range(0, {sharding.SIZE})) AS slot, ([{names}])[unnest(owner) + 1] AS shard FROM {name}_fill WHERE room = 0)"""
+
+
+OP4_SQL = f"""
+WITH RECURSIVE {_fill_sql("now", sharding.SHARDS)},
+{_fill_sql("later", sharding.SHARDS[1:])}
+SELECT doc_id, d.slot::INT AS slot, now.shard, later.shard AS shard_after_loss
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SIZE} AS slot FROM documents) d
+JOIN now ON now.slot = d.slot JOIN later ON later.slot = d.slot
+"""
+
+
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagloom.llm.prefix_counts import token_totals
 
@@ -115,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_leaks": op10_template_leaks,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_shard_placement": OP4_SQL}

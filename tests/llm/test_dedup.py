@@ -119,3 +119,14 @@ def test_near_copies(spark, odd, none):
 def test_similarity_is_of_five_word_shingles(similar):
     words = [f"w{k}".encode() for k in range(50)]
     assert len(simhash.shingle_hashes(words, 5)) == 46 and len(simhash.shingle_hashes(words[:3], 5)) == 1
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, sf_dir, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = c.execute(queries.ORACLES[name])
+    columns = [x[0] for x in want.description]
+    assert sorted(tuple(r) for r in want.fetchall()) == sorted(tuple(r) for r in queries.QUERIES[name](spark, sf_dir).select(*columns).collect())
