@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,14 +53,6 @@ def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
     return path
 
 
-def drop_stored(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by stored() that nothing reads any more."""
-    for df in tables:
-        for f in df.inputFiles():
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
-
-
 def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
     """mapInArrow with Python lists: make() runs once a task and returns a function from one list per column of df
     to a dict of lists or arrays, one per field of schema."""
@@ -107,3 +100,9 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
             break
         room, least = room - r.rows, r.level
     return counts.where(level >= least) if least is not None else counts.limit(0)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now and not at some later garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,7 +21,6 @@ text every probability is one. docs must give its rows in the same order wheneve
 
 from __future__ import annotations
 
-import gc
 import math
 from array import array
 from bisect import bisect_left
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import MEMO, folded_words, id_and_text, map_columns, most_frequent, stored
+from lagloom.llm.common import MEMO, folded_words, id_and_text, map_columns, most_frequent, release, stored
 
 #: Counts that Good-Turing discounts, and the share that larger counts give up.
 CUTOFF, TAIL = 5, 1e-3
@@ -58,12 +57,6 @@ def discounts(n: list[float]) -> list[float]:
     return out
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now and not at some later garbage collection."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 class Unigrams:
     """Totals and discounts of the unigram counts."""
 
@@ -374,10 +367,10 @@ def fit(docs: DataFrame, known_most: int = KNOWN_WORDS, id_col: str = "doc_id",
     sums = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), *[F.coalesce(F.sum((F.col("c") == r).cast("long")), F.lit(0)) for r in range(1, CUTOFF + 2)]).first()
     uni = Unigrams(sums[0], sums[1], list(sums[2:]))
     n_docs = training.count()
-    _release(docs)
+    release(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(known_words(unigrams, n_docs, uni, known_most))
     answers = stored(_requests(texts, known).groupBy("bucket").applyInPandas(_count(known), ANSWER), "answers", "kind")
-    _release(docs)
+    release(docs.sparkSession)
     return KatzModel(unigrams, answers, uni)
 
 

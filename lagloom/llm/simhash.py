@@ -25,10 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import folded_words, id_and_text, map_columns, spread, stored
+from lagloom.llm.common import folded_words, id_and_text, map_columns, release, spread, stored
 from lagloom.llm.components import components
 
 GENERATOR = 0b110001110101  # of the [23, 12] Golay code
+#: Rows (of three numbers) that may be broadcast instead of moving texts.
+BROADCAST_ROWS = 1_000_000
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 
@@ -129,64 +131,44 @@ def four_error_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): fuzzy keys of two segments together; two fingerprints share one whenever two of their segments
-    differ in at most 2 bits each. For candidates that are verified on their texts."""
-    parts = [((fps >> np.uint64(b)) & np.uint64((1 << w) - 1)).astype(np.int64) for b, w in SEGMENTS]
-    fuzzy = [fuzzy_keys(p, w) for p, (_, w) in zip(parts, SEGMENTS, strict=True)]
-    rows, keys = [], []
-    for tag, (i, j) in enumerate(combinations(range(3), 2)):
-        (ri, ki), (rj, kj) = fuzzy[i], fuzzy[j]
-        n = np.bincount(rj, minlength=len(fps))
-        start = np.concatenate([[0], np.cumsum(n)])[:-1]
-        reps = n[ri]
-        inner = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        rows.append(np.repeat(ri, reps))
-        keys.append(np.repeat(ki, reps) << 12 | kj[np.repeat(start[ri], reps) + inner] | tag << 56)
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def keyed(nodes: DataFrame, keys, *fps: str) -> DataFrame:
-    """(key, node, fp) of nodes (node, fps...): the keys of each fingerprint, apart from those of the others."""
+def keyed(nodes: DataFrame, *fps: str) -> DataFrame:
+    """(key, node) of nodes (node, fps...): the keys of each fingerprint, apart from those of the others."""
 
     def make():
         def step(node, *columns):
             node, parts = np.array(node, np.int64), []
             for n, column in enumerate(columns):
-                fp = np.array(column, np.int64)
-                row, key = keys(fp.view(np.uint64))
-                parts.append((key | n << 61, node[row], fp[row]))
-            return {c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("key", "node", "fp"))}
+                row, key = four_error_keys(np.array(column, np.int64).view(np.uint64))
+                parts.append((key | n << 61, node[row]))
+            return {c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("key", "node"))}
 
         return step
 
-    # a few thousand nodes at a time make some hundred thousand keys
-    return map_columns(nodes.select("node", *fps), make, "key long, node long, fp long")
+    return map_columns(nodes.select("node", *fps), make, "key long, node long")
 
 
-def linked(rows: DataFrame, distance: int, verify=None) -> DataFrame:
-    """Edges (a, b) that connect what all verified pairs of rows (key, node, fp) of one key connect.
-
-    Candidates are pairs under one key whose fingerprints differ in at most `distance` bits; verify(pairs) keeps those
-    that count (all, by default)."""
-    verify = verify or (lambda pairs: pairs)
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+def linked(rows: DataFrame, verify) -> DataFrame:
+    """Edges (a, b) that connect what all verified pairs of rows (key, node) of one key connect; verify(pairs) keeps the
+    pairs (a, b) that count."""
     key = Window.partitionBy("key")
-    shared = rows.select(
-        "*", F.count("*").over(key).alias("n"), F.min(F.struct("node", "fp")).over(key).alias("least")
-    ).where("n > 1")
-    shared = stored(shared.select("key", "node", "fp", F.col("least.node").alias("least"), F.col("least.fp").alias("least_fp")), "shared-keys")
-    star = shared.where((F.col("node") != F.col("least")) & near("fp", "least_fp")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    star = stored(verify(star), "star-edges")
+    shared = rows.select("key", "node", F.count("*").over(key).alias("n"), F.min("node").over(key).alias("least")).where("n > 1")
+    shared = stored(shared.select("key", "node", "least"), "shared-keys")
+    release(rows.sparkSession)
+    star = stored(verify(shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()), "star-edges")
     part = components(star)
-    held = shared.select("key", "node", "fp").join(part, "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("component"))
+    held = shared.select("key", "node").join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     held = stored(held.join(mixed, "key"), "open-keys")
-    x, y = held.toDF("key", "a", "fp_a", "part_a"), held.toDF("key", "b", "fp_b", "part_b")
-    rest = x.join(y, (x.key == y.key) & (x.a > y.b) & (x.part_a != y.part_b) & near("fp_a", "fp_b")).select("a", "b").distinct()
+    x, y = held.toDF("key", "a", "part_a"), held.toDF("key", "b", "part_b")
+    rest = x.join(y, (x.key == y.key) & (x.a > y.b) & (x.part_a != y.part_b)).select("a", "b").distinct()
     return stored(star.union(verify(rest)), "links")
 
 
+def within(distance: int):
+    """A filter of pairs of nodes that are fingerprints themselves."""
+    return lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+
+
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every text, as a signed long. A null or wordless text has zero."""
 
@@ -207,7 +189,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
     it is alone in it (then the name is null). Equal fingerprints are one node, whatever their number."""
     fps = stored(fingerprints(docs, k, id_col, text_col), "fingerprints")
     nodes = fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least_id"))
-    parts = components(linked(keyed(spread(nodes.select("node", F.col("node").alias("fp")), "node"), four_error_keys, "fp"), 4))
+    parts = components(linked(keyed(spread(nodes.select("node", F.col("node").alias("fp")), "node"), "fp"), within(4)))
     nodes = nodes.join(parts, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("part"))
     named = nodes.groupBy("part").agg(F.min("least_id").alias("component_id"))
     names = nodes.join(named, "part").select(F.col("node").alias("fp"), "component_id")
@@ -236,9 +218,10 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(texts, make, f"doc_id {kind}, raw long, node long, f1 long, f2 long")
 
 
-def similar(texts: DataFrame, k: int, similarity: float):
-    """A filter of pairs (a, b) of nodes: those whose sets of k-word shingles have that Jaccard similarity or more.
-    texts (node, text) has a text of each node; only those in pairs are read into shingles."""
+def similar(texts: DataFrame, named: DataFrame, fps: DataFrame, distance: int, k: int, similarity: float):
+    """A filter of pairs (a, b) of nodes: those with a fingerprint (node, f1, f2) that differs in at most `distance` bits
+    and sets of k-word shingles of that Jaccard similarity or more. texts (doc_id, raw, text) are read for one document
+    (named: node, raw, one_id) of each node that is in a pair; few enough of them are broadcast, so no text moves."""
 
     def shingles():
         return lambda nodes, texts: {"node": nodes, "shingles": [np.unique(np.array(shingle_hashes(folded_words(t), k), np.uint64)).view(np.int64) for t in texts]}
@@ -254,9 +237,15 @@ def similar(texts: DataFrame, k: int, similarity: float):
         return step
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "candidates")
+        x, y = fps.toDF("a", "a1", "a2"), fps.toDF("b", "b1", "b2")
+        bits = lambda n: F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}")))
+        pairs = stored(pairs.join(x, "a").join(y, "b").where(F.least(bits(1), bits(2)) <= distance).select("a", "b"), "candidates")
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = stored(map_columns(texts.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), shingles, "node long, shingles array<long>"), "shingles")
+        wanted = stored(named.join(used, "node"), "wanted")
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        held = texts.join(wanted, (texts.raw == wanted.raw) & texts.doc_id.eqNullSafe(wanted.one_id)).select("node", "text")
+        sets = stored(map_columns(held, shingles, "node long, shingles array<long>"), "shingles")
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         # sets of very unequal sizes cannot be similar
         both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
@@ -268,18 +257,20 @@ def similar(texts: DataFrame, k: int, similarity: float):
 def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, distance: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one document of each group of exact and near copies: the one with the least doc_id.
 
-    Texts with equal words are one node. Candidates share fuzzy keys of two segments of a word-set fingerprint and
-    differ in at most `distance` of its bits; a pair counts if its k-word shingles have the similarity. Texts without
+    Texts with equal words are one node. Candidates share a fuzzy key of one of two word-set fingerprints and differ in
+    at most `distance` of its bits; a pair counts if its k-word shingles have the similarity. Texts without
     words are copies of each other. A null doc_id comes last; of repeated rows (id and text) one stays."""
     known = stored(text_classes(docs, id_col, text_col), "text-classes")
     nodes = known.groupBy("node").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"))
-    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = known.groupBy("node").agg(F.min("raw").alias("raw"))
-    texts = texts.join(named, "raw")
-    parts = components(linked(keyed(spread(nodes, "node"), pair_keys, "f1", "f2"), distance, similar(texts, k, similarity)))
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("raw"), "text")
+    named = known.groupBy("node").agg(F.min(F.struct("raw", "doc_id")).alias("one")).select("node", "one.raw", F.col("one.doc_id").alias("one_id"))
+    parts = components(linked(keyed(spread(nodes, "node"), "f1", "f2"), similar(texts, named, nodes, distance, k, similarity)))
     placed = known.join(parts, "node", "left").select("doc_id", "raw", F.coalesce("component", "node").alias("part"))
     best = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.raw").alias("kept_raw"))
+    mixed = lambda i, raw: F.xxhash64(i, raw).alias("place")
+    kept = kept.select("kept_id", F.col("kept_raw").alias("raw"), mixed("kept_id", "kept_raw"))
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"))
-    rows = rows.join(kept, rows[f"doc.{id_col}"].eqNullSafe(F.col("kept_id")) & (F.col("raw") == F.col("kept_raw")), "left_semi")
-    return rows.groupBy(F.col(f"doc.{id_col}").alias("id"), "raw").agg(F.first("doc").alias("doc")).select("doc.*")
+    rows = rows.select("doc", "raw", mixed(f"doc.{id_col}", "raw"))
+    rows = rows.join(kept, (rows.place == kept.place) & (rows.raw == kept.raw) & F.col(f"doc.{id_col}").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.groupBy("place", "raw").agg(F.first("doc").alias("doc")).select("doc.*")

@@ -20,7 +20,9 @@ import struct
 import unicodedata
 from collections import Counter
 from hashlib import sha256
+from itertools import chain
 
+import numpy as np
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -186,6 +188,7 @@ class Encoder:
 
     def __init__(self, bpe: WordBPE, lexicon: Lexicon):
         self.bpe, self.lexicon = bpe, lexicon
+        self.plain: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
         self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
 
@@ -199,7 +202,17 @@ class Encoder:
             for part in self.bpe.specials.split(text):
                 out += [self.bpe.added[part]] if part in self.bpe.added else self.encode(part)
             return out
-        return [i for c in chunks_of(text) for w in self.bpe.words(c) for i in self.ids(w)]
+        chunks = chunks_of(text)
+        got = list(map(self.plain.get, chunks))
+        if None in got:
+            got = [self._plain(c) if g is None else g for c, g in zip(chunks, got, strict=True)]
+        return list(chain.from_iterable(got))
+
+    def _plain(self, chunk: str) -> tuple[int, ...]:
+        ids = tuple(i for w in self.bpe.words(chunk) for i in self.ids(w))
+        if len(chunk) <= 64 and len(self.plain) < MEMO:
+            self.plain[chunk] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.bpe.strings[i] for i in ids])
@@ -258,8 +271,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, digest: bool = Fal
 
         def step(ids, texts):
             if not digest:
-                coded = [coder.encode(t) for t in texts]
-                return {"doc_id": ids, "n_tokens": [len(c) for c in coded], "ids": coded, "decoded": [coder.decode(c) for c in coded]}
+                coded = [np.array(coder.encode(t), np.int32) for t in texts]
+                return {"doc_id": ids, "n_tokens": [len(c) for c in coded], "ids": coded, "decoded": [coder.decode(c.tolist()) for c in coded]}
             got = [coder.rendered(t) for t in texts]
             return {"doc_id": ids, "n_tokens": [g[0] for g in got], "ids_sha256": [sha256(g[1]).hexdigest() for g in got], "decoded_sha256": [sha256(g[2]).hexdigest() for g in got]}
 
