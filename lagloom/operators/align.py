@@ -1,7 +1,8 @@
 """Cross-correlation, lags between series, lag matrices and vectors, synchronisation.
 
 A lag of a pair (i, j) is positive if i lags j. Circular scores wrap around; the search looks at lags from -m to m - 1
-and takes the first largest. Linear scores do not wrap, search -m to m, and are positive if i leads."""
+and takes the first largest; scores that differ by rounding alone (less than 1e-9) are equal, so the lag does not depend
+on the order of a sum. Linear scores do not wrap, search -m to m, and are positive if i leads."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from lagloom.functions.spectral import arrays
 
 PAIRS = "i long, j long, lag int, score double"
+#: Decimals of a score that count when the largest is chosen.
+DIGITS = 9
 
 
 def rolled(x: np.ndarray, lag: int) -> np.ndarray:
@@ -30,7 +33,7 @@ def pair_scores(a: np.ndarray, b: np.ndarray, max_lag: int, circular: bool = Tru
         all_ = np.stack([rolled(a, int(d)) @ b.T for d in lags])
     else:
         all_ = np.stack([a[:, max(0, -d) : n - max(0, d)] @ b[:, max(0, d) : n - max(0, -d)].T for d in lags])
-    best = all_.argmax(axis=0)
+    best = all_.round(DIGITS).argmax(axis=0)
     return lags[best], np.take_along_axis(all_, best[None], axis=0)[0]
 
 
@@ -64,7 +67,7 @@ def lag_pairs(panel: DataFrame, max_lag: int, circular: bool = True, block: int
 
 def best_lag(scores: DataFrame, *keys: str) -> DataFrame:
     """(keys..., lag, score): the first lag with the largest score of rows (keys..., lag, score)."""
-    best = F.max_by(F.struct("lag", "score"), F.struct("score", -F.col("lag"))).alias("b")
+    best = F.max_by(F.struct("lag", "score"), F.struct(F.round("score", DIGITS), -F.col("lag"))).alias("b")
     return scores.groupBy(*keys).agg(best).select(*keys, "b.lag", "b.score")
 
 
