@@ -11,6 +11,9 @@ ways, each with its own combined keys of 30 bits or more:
     fuzzy key and two halves.
 Equal keys meet in a shuffle, each candidate is verified, and no link is lost.
 
+Near copies of texts are found by the prefixes of their sets of word shingles instead, which lose no pair either:
+fingerprints of texts that are similar enough may differ in many more bits.
+
 Large groups of near copies do not become all their pairs: every key's members are first verified against the least of
 them, components are formed, and only members of one key that are still in different components are compared.
 """
@@ -19,29 +22,33 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import folded_words, id_and_text, map_columns, release, spread, stored
+from lagloom.llm.common import folded_words, id_and_text, map_columns, most_frequent, release, spread, stored
 from lagloom.llm.components import components
 
 GENERATOR = 0b110001110101  # of the [23, 12] Golay code
 #: Rows (of three numbers) that may be broadcast instead of moving texts.
 BROADCAST_ROWS = 1_000_000
+#: A shingle of COMMON texts or more of one in SAMPLE is common; so many of them are held at most. They only order shingles.
+SAMPLE, COMMON, COMMON_MOST = 16, 3, 500_000
+#: Members of a key that the others are compared with before any two.
+CENTRES = 8
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 
 
-def fingerprint(words: list[bytes], k: int, seed: int = 42, distinct: bool = False) -> int:
+def fingerprint(words: list[bytes], k: int, seed: int = 42) -> int:
     """Bit b is set if over half of the hashes of the k-word shingles have it. No words: zero."""
     if not words:
         return 0
     if k == 1:
-        found = set(words) if distinct else words
-        hashes = [xxhash.xxh64_intdigest(w, seed) for w in found]
+        hashes = [xxhash.xxh64_intdigest(w, seed) for w in words]
     elif len(words) <= k:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
     else:
@@ -147,23 +154,44 @@ def keyed(nodes: DataFrame, *fps: str) -> DataFrame:
     return map_columns(nodes.select("node", *fps), make, "key long, node long")
 
 
-def linked(rows: DataFrame, verify) -> DataFrame:
+def linked(rows: DataFrame, verify, close=None, centres: int = 1) -> DataFrame:
     """Edges (a, b) that connect what all verified pairs of rows (key, node) of one key connect; verify(pairs) keeps the
-    pairs (a, b) that count."""
-    key = Window.partitionBy("key")
-    shared = rows.select("key", "node", F.count("*").over(key).alias("n"), F.min("node").over(key).alias("least")).where("n > 1")
-    shared = stored(shared.select("key", "node", "least"), "shared-keys")
+    pairs (a, b) that count. With close, rows have a spot as well, and a pair is only verified if close(spot, spot) holds
+    under one of its keys. A key's members are first compared with so many centres: its least node, and the least by
+    other orders, which are the same for all keys."""
+    key, spot = Window.partitionBy("key"), ["spot"] if close else []
+    near = close or (lambda x, y: F.lit(True))
+    orders = [F.col("node"), *(F.xxhash64("node", F.lit(c)) for c in range(1, centres))]
+    leasts = F.array(*[F.min(F.struct(o.alias("order"), "node", *spot)).over(key) for o in orders]).alias("leasts")
+    shared = rows.select("key", "node", *spot, F.count("*").over(key).alias("n"), *([] if close else [leasts])).where("n > 1")
+    shared = stored(shared.drop("n"), "shared-keys")
     release(rows.sparkSession)
-    star = stored(verify(shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()), "star-edges")
+    star = (shared.select("*", leasts) if close else shared).select("node", *spot, F.explode(F.array_distinct("leasts")).alias("least"))
+    star = star.select(F.col("node").alias("a"), F.col("least.node").alias("b"), *spot, *[F.col("least.spot").alias("least_spot") for _ in spot])
+    star = star.where(F.col("a") != F.col("b")).where(near("spot", "least_spot")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    star = stored(verify(star.distinct()), "star-edges")
     part = components(star)
-    held = shared.select("key", "node").join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    held = shared.select("key", "node", *spot).join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), *spot)
     mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     held = stored(held.join(mixed, "key"), "open-keys")
-    x, y = held.toDF("key", "a", "part_a"), held.toDF("key", "b", "part_b")
-    rest = x.join(y, (x.key == y.key) & (x.a > y.b) & (x.part_a != y.part_b)).select("a", "b").distinct()
+    x, y = held.toDF("key", "a", "part_a", *[f"{c}_a" for c in spot]), held.toDF("key", "b", "part_b", *[f"{c}_b" for c in spot])
+    rest = x.join(y, (x.key == y.key) & (x.a > y.b) & (x.part_a != y.part_b) & near("spot_a", "spot_b")).select("a", "b").distinct()
     return stored(star.union(verify(rest)), "links")
 
 
+def overlapping(similarity: float):
+    """Whether two sets with a shingle in common can have the similarity, by spots: n << 32 | place of the shingle. Both
+    sets have the same order, so if it is the first they share, no more than what follows it is common to both. Under
+    the first key of a pair that counts it holds."""
+
+    def close(x: str, y: str) -> Column:
+        n = lambda c: F.shiftright(c, 32)
+        left = lambda c: n(c) - F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.least(left(x), left(y)) >= similarity / (1 + similarity) * (n(x) + n(y)) - 1e-6
+
+    return close
+
+
 def within(distance: int):
     """A filter of pairs of nodes that are fingerprints themselves."""
     return lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
@@ -196,35 +224,64 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
     return fps.join(names, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, raw, node, f1, f2): a hash of the raw text, one of its words, and two fingerprints of its set of words.
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """The hashes of a text's k-word shingles, each once, as signed longs."""
+    return np.unique(np.array(shingle_hashes(folded_words(text), k), np.uint64)).view(np.int64)
+
+
+def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), by hash: the shingles of COMMON texts or more in a sample of texts (text), COMMON_MOST at most."""
+
+    def make():
+        return lambda texts: {"shingle": np.concatenate([shingle_set(t, k) for t in texts])}
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counts = map_columns(sample, make, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    found = most_frequent(stored(counts, "common-shingles"), COMMON_MOST).toArrow()
+    hashes, n = found["shingle"].to_numpy().astype(np.int64), found["n"].to_numpy().astype(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles, rare before common: so many that two sets of that Jaccard similarity share one.
 
-    Word sets differ by one in a place where shingles differ by their length, so near copies are close in them."""
+    Such sets have ceil(similarity * n) or more of the n shingles of either in common, which cannot all lie behind the
+    first n - ceil(similarity * n) + 1. That holds for every order; rare ones first keep the groups small."""
+    rank = np.zeros(len(shingles), np.int64)
+    if len(hashes):
+        place = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        rank = np.where(hashes[place] == shingles, counts[place], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))[: n - ceil(similarity * n - 1e-9) + 1]]
+
+
+def text_classes(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw, node, n, keys): a hash of the raw text, one of its words, and the number and prefix of its k-word shingles."""
+    texts = id_and_text(docs, id_col, text_col)
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))
 
     def make():
+        hashes, counts = common.value
+
         def step(ids, raws, texts):
-            out: dict[str, list] = {"doc_id": ids, "raw": raws, "node": [], "f1": [], "f2": []}
-            for t in texts:
-                words = folded_words(t)
-                out["node"].append(signed(xxhash.xxh3_64_intdigest(b" ".join(words))))
-                for c, seed in (("f1", 42), ("f2", 7)):
-                    out[c].append(signed(fingerprint(words, 1, seed, distinct=True)))
-            return out
+            nodes = [signed(xxhash.xxh3_64_intdigest(b" ".join(folded_words(t)))) for t in texts]
+            sets = [shingle_set(t, k) for t in texts]
+            return {"doc_id": ids, "raw": raws, "node": nodes, "n": [len(x) for x in sets], "keys": [prefix(x, hashes, counts, similarity) for x in sets]}
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("raw"), "text")
-    return map_columns(texts, make, f"doc_id {kind}, raw long, node long, f1 long, f2 long")
+    return map_columns(texts.select("doc_id", F.xxhash64("text").alias("raw"), "text"), make, f"doc_id {kind}, raw long, node long, n long, keys array<long>")
 
 
-def similar(texts: DataFrame, named: DataFrame, fps: DataFrame, distance: int, k: int, similarity: float):
-    """A filter of pairs (a, b) of nodes: those with a fingerprint (node, f1, f2) that differs in at most `distance` bits
-    and sets of k-word shingles of that Jaccard similarity or more. texts (doc_id, raw, text) are read for one document
-    (named: node, raw, one_id) of each node that is in a pair; few enough of them are broadcast, so no text moves."""
+def similar(texts: DataFrame, named: DataFrame, k: int, similarity: float):
+    """A filter of pairs (a, b) of nodes: those with sets of k-word shingles of that Jaccard similarity or more. texts
+    (doc_id, raw, text) are read for one document (named: node, raw, one_id) of each node that is in a pair; few enough
+    of them are broadcast, so no text moves."""
 
     def shingles():
-        return lambda nodes, texts: {"node": nodes, "shingles": [np.unique(np.array(shingle_hashes(folded_words(t), k), np.uint64)).view(np.int64) for t in texts]}
+        return lambda nodes, texts: {"node": nodes, "shingles": [shingle_set(t, k) for t in texts]}
 
     def judged():
         def step(a, b, x, y):
@@ -237,9 +294,7 @@ def similar(texts: DataFrame, named: DataFrame, fps: DataFrame, distance: int, k
         return step
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = fps.toDF("a", "a1", "a2"), fps.toDF("b", "b1", "b2")
-        bits = lambda n: F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}")))
-        pairs = stored(pairs.join(x, "a").join(y, "b").where(F.least(bits(1), bits(2)) <= distance).select("a", "b"), "candidates")
+        pairs = stored(pairs, "candidates")
         used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = stored(named.join(used, "node"), "wanted")
         if wanted.count() <= BROADCAST_ROWS:
@@ -254,17 +309,17 @@ def similar(texts: DataFrame, named: DataFrame, fps: DataFrame, distance: int, k
     return verify
 
 
-def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, distance: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one document of each group of exact and near copies: the one with the least doc_id.
 
-    Texts with equal words are one node. Candidates share a fuzzy key of one of two word-set fingerprints and differ in
-    at most `distance` of its bits; a pair counts if its k-word shingles have the similarity. Texts without
-    words are copies of each other. A null doc_id comes last; of repeated rows (id and text) one stays."""
-    known = stored(text_classes(docs, id_col, text_col), "text-classes")
-    nodes = known.groupBy("node").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"))
+    Texts with equal words are one node. A pair counts if its sets of k-word shingles have the similarity; all such pairs
+    are found, as each shares a shingle of both prefixes. Texts without words are copies of each other. A null doc_id comes last; of repeated rows (id and text) one stays."""
+    known = stored(text_classes(docs, k, similarity, id_col, text_col), "text-classes")
+    keys = known.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.posexplode("keys").alias("place", "key"))
+    keys = keys.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"))
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("raw"), "text")
     named = known.groupBy("node").agg(F.min(F.struct("raw", "doc_id")).alias("one")).select("node", "one.raw", F.col("one.doc_id").alias("one_id"))
-    parts = components(linked(keyed(spread(nodes, "node"), "f1", "f2"), similar(texts, named, nodes, distance, k, similarity)))
+    parts = components(linked(keys, similar(texts, named, k, similarity), overlapping(similarity), CENTRES))
     placed = known.join(parts, "node", "left").select("doc_id", "raw", F.coalesce("component", "node").alias("part"))
     best = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.raw").alias("kept_raw"))

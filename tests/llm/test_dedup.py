@@ -115,6 +115,42 @@ def test_near_copies(spark, odd, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def edited(rng, words, how, share):
+    n = max(1, round(share * len(words)))
+    new = [f"new{x}" for x in rng.integers(0, 10**9, n)]
+    at = int(rng.integers(0, len(words) - n))
+    return {
+        "appended": words + new, "prepended": new + words, "cut": words[:-n], "inside": words[:at] + new + words[at:],
+        "replaced": words[:at] + new + words[at + n :], "scattered": [f"x{k}" if rng.random() < share / 5 else w for k, w in enumerate(words)],
+    }[how]
+
+
+@pytest.mark.parametrize("common", [3, 10**9])
+def test_near_copies_equal_brute_force(spark, monkeypatch, common):
+    """Every pair of a Jaccard similarity of 0.8 or more, however its words were changed."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    zipf = lambda n: [f"w{x}" for x in np.minimum(rng.zipf(1.3, n), 50_000)]
+    passage, docs = zipf(40), []
+    for how in ("appended", "prepended", "cut", "inside", "replaced", "scattered"):
+        for share in (0.05, 0.1, 0.15, 0.2, 0.22, 0.3):
+            for _ in range(4):
+                words = zipf(int(rng.integers(20, 300))) + passage
+                docs += [words, edited(rng, words, how, share)]
+    sets = [set(simhash.shingle_hashes(" ".join(w).encode().split(), 5)) for w in docs]
+    part, linked = list(range(len(docs))), 0
+    for a in range(len(docs)):
+        for b in range(a):
+            common_ = len(sets[a] & sets[b])
+            if common_ >= 0.8 * (len(sets[a]) + len(sets[b]) - common_):
+                linked, old, new = linked + 1, part[a], part[b]
+                part = [new if p == old else p for p in part]
+    assert linked > 60 and len(set(part)) > len(docs) / 2
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_copies(frame).collect()) == sorted({part.index(p) for p in part})
+
+
 @pytest.mark.parametrize("similar", [0.8])
 def test_similarity_is_of_five_word_shingles(similar):
     words = [f"w{k}".encode() for k in range(50)]
