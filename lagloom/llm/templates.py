@@ -5,7 +5,9 @@ or a placeholder: NUM for numbers, UNIT for a unit after a number, NAME for a ca
 first word of a sentence is capitalised anyway, so there it is taken as it is). Windows of tokens are hashed and joined
 with those of the benchmark. Where a window holds placeholders, the values in the document and in the item are paired:
 a re-parameterised copy replaces each value by one other, everywhere. An item counts as leaked into a document if
-enough of its windows are met and enough of the paired values agree on one replacement.
+enough of its windows are met and enough of the paired values agree on one replacement, in the document as a whole or
+in one occurrence: the matches of one alignment (place in the document less place in the item), or, where words are
+inserted, of alignments that differ by less than half the item (bands that overlap by half, so none is cut apart).
 
 Windows made mostly of placeholders say nothing and are left out. Items shorter than a window are one window of
 their own length. Null and empty texts leak nothing and are leaked nowhere; repeated items and documents are reported
@@ -103,19 +105,19 @@ def windows(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, at, size, window, slots, n): the windows of items, and how many each item has."""
+    """(item_id, length, at, size, window, slots, n): the windows of items, and how many tokens and windows each item has."""
 
     def make():
         reader = Reader()
 
         def step(ids, texts):
-            out: dict[str, list] = {c: [] for c in ("item_id", "at", "size", "window", "slots", "n")}
+            out: dict[str, list] = {c: [] for c in ("item_id", "length", "at", "size", "window", "slots", "n")}
             for i, t in zip(ids, texts, strict=True):
                 chunks, codes = reader.read(t)
                 w = min(size, len(codes))
                 at, h = windows(codes, w) if w else ((), ())
                 for p, x in zip(at, h, strict=True):
-                    for c, v in zip(out, (i, int(p), w, int(x), reader.slots(chunks, codes, int(p), w), len(h)), strict=True):
+                    for c, v in zip(out, (i, len(codes), int(p), w, int(x), reader.slots(chunks, codes, int(p), w), len(h)), strict=True):
                         out[c].append(v)
             return out
 
@@ -123,7 +125,7 @@ def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> Dat
 
     kind = items.schema[id_col].dataType.simpleString()
     texts = id_and_text(items, id_col, text_col)
-    return map_columns(texts, make, f"item_id {kind}, at int, size int, window long, slots array<string>, n int")
+    return map_columns(texts, make, f"item_id {kind}, length int, at int, size int, window long, slots array<string>, n int")
 
 
 def _met(docs: DataFrame, kind: str, sizes: list[int], wanted) -> DataFrame:
@@ -133,7 +135,7 @@ def _met(docs: DataFrame, kind: str, sizes: list[int], wanted) -> DataFrame:
         reader, hashes = Reader(), wanted.value
 
         def step(ids, texts):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "window", "size", "doc_slots")}
+            out: dict[str, list] = {c: [] for c in ("doc_id", "window", "size", "doc_at", "doc_slots")}
             for i, t in zip(ids, texts, strict=True):
                 chunks, codes = reader.read(t)
                 for size in sizes:
@@ -141,13 +143,13 @@ def _met(docs: DataFrame, kind: str, sizes: list[int], wanted) -> DataFrame:
                     place = np.searchsorted(hashes, h)
                     place[place == len(hashes)] = 0
                     for k in np.flatnonzero(hashes[place] == h):
-                        for c, v in zip(out, (i, int(h[k]), size, reader.slots(chunks, codes, int(at[k]), size)), strict=True):
+                        for c, v in zip(out, (i, int(h[k]), size, int(at[k]), reader.slots(chunks, codes, int(at[k]), size)), strict=True):
                             out[c].append(v)
             return out
 
         return step
 
-    return map_columns(docs, make, f"doc_id {kind}, window long, size int, doc_slots array<string>")
+    return map_columns(docs, make, f"doc_id {kind}, window long, size int, doc_at int, doc_slots array<string>")
 
 
 def leaks(
@@ -171,19 +173,27 @@ def leaks(
     met = found[0]
     for f in found[1:]:
         met = met.unionByName(f)
-    pairs = met.distinct().join(index, ["window", "size"])
+    met = stored(met.distinct(), "met-windows")
+    apart = met.join(index, ["window", "size"])
+    shift, half = F.col("doc_at") - F.col("at"), F.greatest(F.floor(F.col("length") / 2), F.lit(1))
+    band = F.floor(shift / half)
+    spot = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    apart = apart.withColumn("spot", F.explode(F.array(spot(1, shift), spot(2, band), spot(2, band - 1))))
+    whole = met.drop("doc_at").distinct().join(index, ["window", "size"]).withColumn("spot", spot(0, F.lit(0)))
+    pairs = apart.select(*(columns := ["doc_id", "item_id", "spot", "n", "at", "slots", "doc_slots"])).union(whole.select(*columns))
     # of each item value, the documents' values by how often they stand for it
-    pairs = pairs.select("doc_id", "item_id", "n", "at", F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("slot"))
-    each = pairs.groupBy("doc_id", "item_id", "n", F.col("slot.slots").alias("value"), F.col("slot.doc_slots").alias("stands")).agg(
-        F.count("slot").alias("times"), F.collect_set("at").alias("ats")
-    )
-    value = each.groupBy("doc_id", "item_id", "n", "value").agg(F.sum("times").alias("times"), F.max("times").alias("most"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
-    whole = value.groupBy("doc_id", "item_id", F.col("n").cast("long").alias("n_windows")).agg(
+    of = ["doc_id", "item_id", "spot", "n"]
+    pairs = pairs.select(*of, "at", F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("slot"))
+    each = pairs.groupBy(*of, F.col("slot.slots").alias("value"), F.col("slot.doc_slots").alias("stands")).agg(F.count("slot").alias("times"), F.collect_set("at").alias("ats"))
+    value = each.groupBy(*of, "value").agg(F.sum("times").alias("times"), F.max("times").alias("most"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
+    found = value.groupBy("doc_id", "item_id", "spot", F.col("n").cast("long").alias("n_windows")).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_met"),
         F.coalesce(F.try_divide(F.sum("most"), F.sum("times")), F.lit(1.0)).alias("agreement"),
     )
-    whole = whole.withColumn("coverage", F.col("n_met") / F.col("n_windows"))
-    return whole.where((F.col("coverage") >= coverage) & (F.col("agreement") >= agreement)).select("doc_id", "item_id", "n_windows", "n_met", "coverage", "agreement")
+    found = found.withColumn("coverage", F.col("n_met") / F.col("n_windows")).where((F.col("coverage") >= coverage) & (F.col("agreement") >= agreement))
+    # the document's own figures if it passes as a whole, or else those of its fullest occurrence
+    best = F.max(F.struct((F.col("spot.kind") == 0).alias("whole"), "coverage", "agreement", "n_met")).alias("best")
+    return found.groupBy("doc_id", "item_id", "n_windows").agg(best).select("doc_id", "item_id", "n_windows", "best.n_met", "best.coverage", "best.agreement")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

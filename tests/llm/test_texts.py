@@ -184,6 +184,23 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r.doc_id for r in templates.leaks(frame, items).collect()] == [1]
 
 
+ITEM = "the baker sold 24 loaves of bread before noon and then baked 36 more while his helper carried 12 sacks of flour up from the cellar below"
+
+
+def test_each_occurrence_counts_by_itself(spark):
+    other = lambda a, b, c: ITEM.replace("24", a).replace("36", b).replace("12", c)
+    inserted = other("5", "8", "9").replace("more while", "more of the dark kind while")
+    docs = [
+        (1, f"{ITEM} and so on . {other('7', '9', '11')}"),
+        (2, " ".join(other(str(k), str(k + 3), str(k + 5)) for k in range(40, 46))),
+        (3, f"some words come first and then {inserted} next {other('70', '90', '110')} and last {other('1', '3', '4')}"),
+        (4, " ".join("the baker sold 1 loaves of bread before" for _ in range(3))),
+    ]
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in templates.leaks(frame, items).collect()}
+    assert set(got) == {1, 2, 3} and got[1].agreement == got[2].agreement == 1.0
+
+
 def test_queries_are_registered():
     from lagloom.llm import queries
 
