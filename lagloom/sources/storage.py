@@ -5,18 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. One is made for a local master only, whose tasks all see it; on a cluster
+    without the setting this is an error, as executors do not see each other's folders."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lagloom-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def stored_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again; a folder is made only where none is named."""
+    """df written to the shared folder and read again: lineage ends there."""
     sc = df.sparkSession.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lagloom-"))
-        base = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{base.rstrip('/')}/lagloom-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(df.sparkSession)}/lagloom-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     df.write.parquet(path)
