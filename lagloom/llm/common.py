@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,25 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagloom.sources.storage import shared_folder
+
 #: The white space of the contracts: [\x20\x09-\x0D].
 SPACE = " \t\n\r\x0b\x0c"
 #: Entries of a per-worker memo before it starts afresh; a memo only saves time.
 MEMO = 300_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where nothing names one."""
-    sc = spark.sparkContext
-    if set_ := sc.getConf().get("spark.checkpoint.dir", None):
-        return set_.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lagloom-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/lagloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/lagloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
@@ -101,12 +90,3 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
             break
         room, least = room - r.rows, r.level
     return counts.where(level >= least) if least is not None else counts.limit(0)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now and not at some later garbage collection; twice, as
-    listeners may still hold the last job the first time."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)

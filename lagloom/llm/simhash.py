@@ -11,10 +11,10 @@ ways, each with its own combined keys of 30 bits or more:
     fuzzy key and two halves.
 Equal keys meet in a shuffle, each candidate is verified, and no link is lost.
 
-Near copies of texts are found by the prefixes of their sets of word shingles instead, which lose no pair either:
-fingerprints of texts that are similar enough may differ in many more bits.
+Near copies of texts are linked by these keys first. Fingerprints of texts that are similar enough may differ in many more
+bits, so what is still apart is compared by the prefixes of its sets of word shingles, which lose no pair.
 
-Large groups of near copies do not become all their pairs: every key's members are first verified against the least of
+Large groups of near copies do not become all their pairs: every key's members are first verified against one of
 them, components are formed, and only members of one key that are still in different components are compared.
 """
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import folded_words, id_and_text, map_columns, most_frequent, release, spread, stored
+from lagloom.llm.common import folded_words, id_and_text, map_columns, most_frequent, spread, stored
 from lagloom.llm.components import components
 
 GENERATOR = 0b110001110101  # of the [23, 12] Golay code
@@ -37,22 +37,16 @@ GENERATOR = 0b110001110101  # of the [23, 12] Golay code
 BROADCAST_ROWS = 1_000_000
 #: A shingle of COMMON texts or more of one in SAMPLE is common; so many of them are held at most. They only order shingles.
 SAMPLE, COMMON, COMMON_MOST = 16, 3, 500_000
-#: Members of a key that the others are compared with before any two.
-CENTRES = 8
 #: (first bit, width) of the segments.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 
 
 def fingerprint(words: list[bytes], k: int, seed: int = 42) -> int:
     """Bit b is set if over half of the hashes of the k-word shingles have it. No words: zero."""
-    if not words:
-        return 0
-    if k == 1:
-        hashes = [xxhash.xxh64_intdigest(w, seed) for w in words]
-    elif len(words) <= k:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        hashes = shingle_hashes(words, k, seed)
+    return majority(shingle_hashes(words, k, seed))
+
+
+def majority(hashes: list[int]) -> int:
     h = np.array(hashes, dtype="<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
@@ -154,29 +148,48 @@ def keyed(nodes: DataFrame, *fps: str) -> DataFrame:
     return map_columns(nodes.select("node", *fps), make, "key long, node long")
 
 
-def linked(rows: DataFrame, verify, close=None, centres: int = 1) -> DataFrame:
-    """Edges (a, b) that connect what all verified pairs of rows (key, node) of one key connect; verify(pairs) keeps the
-    pairs (a, b) that count. With close, rows have a spot as well, and a pair is only verified if close(spot, spot) holds
-    under one of its keys. A key's members are first compared with so many centres: its least node, and the least by
-    other orders, which are the same for all keys."""
-    key, spot = Window.partitionBy("key"), ["spot"] if close else []
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """The rows whose key others have too. Only counts of keys are gathered by key; few enough keys are broadcast."""
+    keys = stored(rows.groupBy("key").count().where("count > 1").select("key"), "keys")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return stored(rows.join(keys, "key", "left_semi"), "shared-keys")
+
+
+def linked(rows: DataFrame, verify, close=None, known: DataFrame | None = None, rounds: int = 2, finish: bool = True) -> DataFrame:
+    """Edges (a, b), those known included, that connect what all verified pairs of rows (key, node) of one key connect;
+    verify(pairs) keeps the pairs (a, b) that count. With close, rows have a spot as well, and a pair is only verified if
+    close(spot, spot) holds under one of its keys. With a rank in rows, nodes of a low one are tried first.
+
+    Each round compares the members of a key with one of them, the centre: the first by rank whose component has had
+    no centre of this key. Pairs of members that are in different components after that are compared if finish is
+    set; otherwise they may be missing."""
+    spot = ["spot"] if close else []
     near = close or (lambda x, y: F.lit(True))
-    orders = [F.col("node"), *(F.xxhash64("node", F.lit(c)) for c in range(1, centres))]
-    leasts = F.array(*[F.min(F.struct(o.alias("order"), "node", *spot)).over(key) for o in orders]).alias("leasts")
-    shared = rows.select("key", "node", *spot, F.count("*").over(key).alias("n"), *([] if close else [leasts])).where("n > 1")
-    shared = stored(shared.drop("n"), "shared-keys")
-    release(rows.sparkSession)
-    star = (shared.select("*", leasts) if close else shared).select("node", *spot, F.explode(F.array_distinct("leasts")).alias("least"))
-    star = star.select(F.col("node").alias("a"), F.col("least.node").alias("b"), *spot, *[F.col("least.spot").alias("least_spot") for _ in spot])
-    star = star.where(F.col("a") != F.col("b")).where(near("spot", "least_spot")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    star = stored(verify(star.distinct()), "star-edges")
-    part = components(star)
-    held = shared.select("key", "node", *spot).join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), *spot)
+    lead = F.struct("rank" if "rank" in rows.columns else F.lit(0).alias("rank"), "node", *spot).alias("lead")
+    shared = shared_rows(rows)
+    edges = known if known is not None else rows.sparkSession.createDataFrame([], "a long, b long")
+    part = components(edges) if known is not None else rows.sparkSession.createDataFrame([], "node long, component long")
+    last = None
+    for _ in range(rounds):
+        held = shared.join(part, "node", "left").select("key", "node", *spot, F.coalesce("component", "node").alias("component"), lead)
+        leads = held.groupBy("key", "component").agg(F.min("lead").alias("lead"))
+        if last is not None:
+            leads = leads.join(last.select("key", F.col("centre").alias("before")), "key").where("lead > before")
+        last = stored(leads.groupBy("key").agg(F.min(F.struct("lead.*", "component")).alias("first")).select("key", F.struct(*[f"first.{c}" for c in ("rank", "node", *spot)]).alias("centre"), F.col("first.component").alias("of")), "centres")
+        star = held.join(last, "key").where(F.col("component") != F.col("of"))
+        star = star.select("node", *spot, F.col("centre.node").alias("other"), *[F.col("centre.spot").alias("other_spot") for _ in spot])
+        star = star.where(near("spot", "other_spot")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
+        edges = stored(edges.union(verify(star.distinct())), "star-edges")
+        part = components(edges)
+    if not finish:
+        return edges
+    held = shared.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), *spot)
     mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     held = stored(held.join(mixed, "key"), "open-keys")
     x, y = held.toDF("key", "a", "part_a", *[f"{c}_a" for c in spot]), held.toDF("key", "b", "part_b", *[f"{c}_b" for c in spot])
     rest = x.join(y, (x.key == y.key) & (x.a > y.b) & (x.part_a != y.part_b) & near("spot_a", "spot_b")).select("a", "b").distinct()
-    return stored(star.union(verify(rest)), "links")
+    return stored(edges.union(verify(rest)), "links")
 
 
 def overlapping(similarity: float):
@@ -218,9 +231,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_co
     fps = stored(fingerprints(docs, k, id_col, text_col), "fingerprints")
     nodes = fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least_id"))
     parts = components(linked(keyed(spread(nodes.select("node", F.col("node").alias("fp")), "node"), "fp"), within(4)))
-    nodes = nodes.join(parts, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("part"))
-    named = nodes.groupBy("part").agg(F.min("least_id").alias("component_id"))
-    names = nodes.join(named, "part").select(F.col("node").alias("fp"), "component_id")
+    nodes = stored(nodes.join(parts, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("part")), "parts")
+    # a component of one node has its own least id; the others get theirs from a table of components
+    named = nodes.groupBy("part").agg(F.count("*").alias("n"), F.min("least_id").alias("component_id")).where("n > 1")
+    named = stored(named.select("part", "component_id"), "components")
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
+    names = nodes.join(named.withColumn("many", F.lit(True)), "part", "left")
+    names = stored(names.select(F.col("node").alias("fp"), F.when(F.col("many"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id")), "names")
     return fps.join(names, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -243,21 +261,25 @@ def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], n[order]
 
 
-def prefix(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's shingles, rare before common: so many that two sets of that Jaccard similarity share one.
-
-    Such sets have ceil(similarity * n) or more of the n shingles of either in common, which cannot all lie behind the
-    first n - ceil(similarity * n) + 1. That holds for every order; rare ones first keep the groups small."""
+def ranked(shingles: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set's shingles, rare before common, and the number of rare ones."""
     rank = np.zeros(len(shingles), np.int64)
     if len(hashes):
         place = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
         rank = np.where(hashes[place] == shingles, counts[place], 0)
-    n = len(shingles)
-    return shingles[np.lexsort((shingles, rank))[: n - ceil(similarity * n - 1e-9) + 1]]
+    return shingles[np.lexsort((shingles, rank))], int((rank == 0).sum())
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """So many of n shingles, in an order that is the same for all sets, that two sets of that Jaccard similarity share
+    one of them: such sets have ceil(similarity * n) or more of the n shingles of either in common, which cannot
+    all lie behind the first n - ceil(similarity * n) + 1."""
+    return n - ceil(similarity * n - 1e-9) + 1
 
 
 def text_classes(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, raw, node, n, keys): a hash of the raw text, one of its words, and the number and prefix of its k-word shingles."""
+    """(doc_id, raw, node, fp, n, rank, keys): a hash of the raw text, one of its words, the fingerprint, number, number
+    of rare ones and prefix of its k-word shingles."""
     texts = id_and_text(docs, id_col, text_col)
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))
 
@@ -265,14 +287,23 @@ def text_classes(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_
         hashes, counts = common.value
 
         def step(ids, raws, texts):
-            nodes = [signed(xxhash.xxh3_64_intdigest(b" ".join(folded_words(t)))) for t in texts]
-            sets = [shingle_set(t, k) for t in texts]
-            return {"doc_id": ids, "raw": raws, "node": nodes, "n": [len(x) for x in sets], "keys": [prefix(x, hashes, counts, similarity) for x in sets]}
+            out = {"doc_id": ids, "raw": raws, "node": [], "fp": [], "n": [], "rank": [], "keys": []}
+            for t in texts:
+                words = folded_words(t)
+                found = shingle_hashes(words, k)
+                shingles, rare = ranked(np.unique(np.array(found, np.uint64)).view(np.int64), hashes, counts)
+                out["node"].append(signed(xxhash.xxh3_64_intdigest(b" ".join(words))))
+                out["fp"].append(signed(majority(found)))
+                out["n"].append(len(shingles))
+                out["rank"].append(rare)
+                out["keys"].append(shingles[: prefix_length(len(shingles), similarity)])
+            return out
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_columns(texts.select("doc_id", F.xxhash64("text").alias("raw"), "text"), make, f"doc_id {kind}, raw long, node long, n long, keys array<long>")
+    rows = texts.select("doc_id", F.xxhash64("text").alias("raw"), "text")
+    return map_columns(rows, make, f"doc_id {kind}, raw long, node long, fp long, n long, rank long, keys array<long>")
 
 
 def similar(texts: DataFrame, named: DataFrame, k: int, similarity: float):
@@ -312,14 +343,19 @@ def similar(texts: DataFrame, named: DataFrame, k: int, similarity: float):
 def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with one document of each group of exact and near copies: the one with the least doc_id.
 
-    Texts with equal words are one node. A pair counts if its sets of k-word shingles have the similarity; all such pairs
-    are found, as each shares a shingle of both prefixes. Texts without words are copies of each other. A null doc_id comes last; of repeated rows (id and text) one stays."""
+    Texts with equal words are one node. A pair counts if its sets of k-word shingles have the similarity. Fuzzy keys of the
+    fingerprints find the nearest pairs, verified on the shingles; fingerprints of pairs that are similar enough may
+    differ in more bits than any key forgives, so whatever is still apart meets by the prefixes of its shingle sets,
+    which lose no pair. Texts without words are copies of each other. A null doc_id comes last; of repeated rows (id
+    and text) one stays."""
     known = stored(text_classes(docs, k, similarity, id_col, text_col), "text-classes")
-    keys = known.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.posexplode("keys").alias("place", "key"))
-    keys = keys.select("key", "node", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"))
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("raw"), "text")
     named = known.groupBy("node").agg(F.min(F.struct("raw", "doc_id")).alias("one")).select("node", "one.raw", F.col("one.doc_id").alias("one_id"))
-    parts = components(linked(keys, similar(texts, named, k, similarity), overlapping(similarity), CENTRES))
+    verify = similar(texts, named, k, similarity)
+    near = linked(keyed(spread(known.select("node", "fp").distinct(), "node"), "fp"), verify, rounds=1, finish=False)
+    keys = known.dropDuplicates(["node"]).select("node", "n", "rank", F.posexplode("keys").alias("place", "key"))
+    keys = keys.select("key", "node", "rank", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"))
+    parts = components(linked(keys, verify, overlapping(similarity), near))
     placed = known.join(parts, "node", "left").select("doc_id", "raw", F.coalesce("component", "node").alias("part"))
     best = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.raw").alias("kept_raw"))
