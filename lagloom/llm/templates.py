@@ -1,18 +1,23 @@
 """Benchmark decontamination on templates: numbers, names and units become typed placeholders.
 
 A text is read as chunks between white space. A chunk's token is its lower-cased core without punctuation at its ends,
-or a placeholder: NUM for numbers, UNIT for a unit after a number, NAME for a capitalised word inside a sentence (the
-first word of a sentence is capitalised anyway, so there it is taken as it is). Windows of tokens are hashed and joined
-with those of the benchmark. Where a window holds placeholders, the values in the document and in the item are paired:
-a re-parameterised copy replaces each value by one other, everywhere. An item counts as leaked into a document if
-enough of its windows are met and enough of the paired values agree on one replacement, in the document as a whole or
-in one occurrence: the matches of one alignment (place in the document less place in the item), or, where words are
-inserted, of alignments that differ by less than half the item (bands that overlap by half, so none is cut apart).
-
-Windows made mostly of placeholders say nothing and are left out. Items shorter than a window are one window of
-their own length. Null and empty texts leak nothing and are leaked nowhere; repeated items and documents are reported
-each on its own row (by id). The benchmark's window hashes, which tasks hold to leave out the other windows, are
-taken in blocks of a bounded size; every block meets every document.
+or a placeholder: NUM for numbers in digits or words, UNIT for a unit or counted noun after a number, NAME for a
+capitalised word (also with hyphens, and at the start of a sentence). Names of several words and numbers of several number
+words are one placeholder. Windows of tokens are hashed and joined with those of the benchmark. Where a window holds
+placeholders, the values in the document and in the item are paired: a re-parameterised copy replaces each value by one
+other, everywhere. An item counts as leaked into a document if enough of its windows are met and enough of the paired
+values agree on one replacement, in the document as a whole or in one occurrence: the matches of one alignment (place
+in the document less place in the item), or, where words are inserted, of alignments that differ by less than half
+the item (bands that overlap by half, so none is cut apart).
+
+Windows with more placeholders than words would meet anything, so they are hashed with their values as they stand. An item's
+coverage is the share of its windows that are met, or that of the typed ones alone (of half its windows at least).
+Items shorter than a window are one window of their own length. Null and empty texts leak nothing and are leaked
+nowhere. Rows are told apart by id and text, on both sides: rows that share an id, or have none, are not mixed, and rows
+that are the same are reported once.
+
+The benchmark's windows are known to the tasks as a bitmap of a fixed size, which lets few others pass in one reading
+of the documents; what passes meets the windows themselves in a join.
 """
 
 from __future__ import annotations
@@ -27,23 +32,75 @@ from pyspark.sql import functions as F
 
 from lagloom.llm.common import MEMO, id_and_text, map_columns, stored
 
-#: Tokens of a window, least share of an item's windows, least share of agreeing values, windows a task holds at once.
-WINDOW, COVERAGE, AGREEMENT, BLOCK = 6, 0.4, 0.7, 2_000_000
+#: Tokens of a window, least share of an item's windows, least share of agreeing values, bits of the bitmap.
+WINDOW, COVERAGE, AGREEMENT, BITS = 6, 0.4, 0.7, 1 << 26
+#: Chunks that are coded at once.
+PIECE = 200_000
 #: Units of measure and currency.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec min h hr hrs ms us ns day days week weeks month months year years "
     "hz khz mhz ghz b kb mb gb tb v kv a ma w kw mw j kj cal kcal pa kpa bar psi k c f % usd eur gbp dollar dollars euro euros cent cents "
     "meter meters metre metres kilometer kilometers mile miles inch inches foot feet hour hours minute minutes second seconds gram grams kilogram kilograms liter liters litre litres pound pounds".split()
 )
+#: Number words.
+ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = frozenset([*ONES, *TENS, *"hundred thousand million billion dozen".split(), *(f"{t}-{o}" for t in TENS for o in ONES[1:10])])
+#: Words of three letters and more that may follow a number and are no counted noun.
+NOT_COUNTED = frozenset("and the for are was per but nor from than then with into more less percent".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 CORE = re.compile(r"\w(?:.*\w)?%?", re.S)
 _NUM, _NAME, _UNIT = (xxhash.xxh64_intdigest(f"<{x}>") for x in ("num", "name", "unit"))
 _M = 0x9E3779B97F4A7C15 | 1
+#: What a chunk is: a number, the end of a sentence, a number word, a chunk that ends in its core.
+IS_NUMBER, ENDS, IS_WORD_NUMBER, OPEN = 1, 2, 4, 8
+
+
+def is_name(word: str) -> bool:
+    parts = [p for p in re.split("[-'’]", word) if p]
+    return len(word) > 1 and bool(parts) and word[0].isupper() and all(p[0].isupper() and (p[1:].islower() or len(p) == 1) or k and p.islower() for k, p in enumerate(parts))
+
+
+class Tokens:
+    """The tokens of some texts, one after another: codes, the codes of the values as they stand, the first chunk of each
+    (and where the last ends), and the text of each."""
+
+    def __init__(self, chunks: list[str], codes: np.ndarray, plain: np.ndarray, starts: np.ndarray, text: np.ndarray):
+        self.chunks, self.codes, self.plain, self.starts, self.text = chunks, codes, plain, starts, text
+        self.slot = (codes == np.uint64(_NUM)) | (codes == np.uint64(_NAME)) | (codes == np.uint64(_UNIT))
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, hashes, typed) of the windows of so many tokens."""
+        n = len(self.codes) - size + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        count = np.concatenate([[0], np.cumsum(self.slot)])
+        typed = 2 * (count[size : size + n] - count[:n]) <= size
+        h, exact = np.zeros(n, np.uint64), np.flatnonzero(~typed)
+        for k in range(size):
+            h = h * np.uint64(_M) + self.codes[k : k + n]
+        if len(exact):
+            e = np.ones(len(exact), np.uint64)
+            for k in range(size):
+                e = e * np.uint64(_M) + self.plain[exact + k]
+            h[exact] = e
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        good = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
+        return good, h[good].view(np.int64), typed[good]
+
+    def slots(self, at: int, size: int) -> list[str]:
+        """The lower-cased values under the placeholders of a window."""
+        values = []
+        for k in np.flatnonzero(self.slot[at : at + size]) + at:
+            chunk = " ".join(self.chunks[self.starts[k] : self.starts[k + 1]])
+            values.append((CORE.search(chunk) or [chunk])[0].lower())
+        return values
 
 
 class Reader:
-    """Texts as token codes. What a chunk can mean is worked out once: its code at the start of a sentence, inside
-    one, after a number, and whether it ends a sentence or is a number."""
+    """Texts as tokens. What a chunk can mean is worked out once: its code, the one after a number, that of its value as
+    it stands, and its flags."""
 
     def __init__(self):
         self.fresh()
@@ -58,145 +115,166 @@ class Reader:
         word = core[0] if core else chunk
         low = word.lower()
         plain = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"))
-        number = bool(NUMBER.fullmatch(word))
-        start = _NUM if number else plain
-        name = not number and len(word) > 1 and word[0].isupper() and word[1:].islower()
-        for k, c in enumerate((start, _NAME if name else start, _UNIT if low in UNITS else _NAME if name else start)):
+        spelt = low in NUMBER_WORDS
+        number = spelt or bool(NUMBER.fullmatch(word))
+        own = _NUM if number else _NAME if is_name(word) else plain
+        counted = own == plain and (low in UNITS or len(low) > 2 and low.isalpha() and low not in NOT_COUNTED)
+        for k, c in enumerate((own, _UNIT if counted else own, plain)):
             self.codes[k].append(c)
-        self.flags.append(number | (chunk.rstrip("\"')»”").endswith((".", "!", "?", ":")) << 1))
+        ends = chunk.rstrip("\"')»”").endswith((".", "!", "?", ":"))
+        self.flags.append(number * IS_NUMBER | ends * ENDS | spelt * IS_WORD_NUMBER | chunk.endswith(word) * OPEN)
         self.at[chunk] = len(self.flags) - 1
         return len(self.flags) - 1
 
-    def read(self, text: str) -> tuple[list[str], np.ndarray]:
-        """The chunks of a text and their codes."""
-        chunks = text.split()
+    def read(self, texts: list[str]) -> Tokens:
+        split = [t.split() for t in texts]
+        chunks = [c for s in split for c in s]
         if len(self.at) > 2 * MEMO:
             self.fresh()
         got = list(map(self.at.get, chunks))
         if None in got:
-            got = [self.at.get(c) if g is None else g for c, g in zip(chunks, got, strict=True)]
-            got = [self.at[c] if c in self.at else self.learn(c) for c in chunks] if None in got else got
-        k = np.array(got, np.int64)
+            got = [g if g is not None else self.at[c] if c in self.at else self.learn(c) for c, g in zip(chunks, got, strict=True)]
+        k, text = np.array(got, np.int64), np.repeat(np.arange(len(split)), [len(s) for s in split])
         flags = np.frombuffer(self.flags, np.uint8)[k]
-        start, inner, after = (np.frombuffer(c, np.uint64)[k] for c in self.codes)
-        first = np.concatenate([[True], (flags[:-1] & 2) > 0]) if len(k) else np.zeros(0, bool)
-        number_before = np.concatenate([[False], (flags[:-1] & 1) > 0]) if len(k) else np.zeros(0, bool)
-        return chunks, np.where(number_before, after, np.where(first, start, inner))
-
-    @staticmethod
-    def slots(chunks: list[str], codes: np.ndarray, at: int, size: int) -> list[str]:
-        """The lower-cased values under the placeholders of a window."""
-        return [(CORE.search(chunks[k]) or [chunks[k]])[0].lower() for k in range(at, at + size) if codes[k] in (_NUM, _NAME, _UNIT)]
-
-
-def windows(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows that hold more words than placeholders."""
-    n = len(codes) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h = h * np.uint64(_M) + codes[k : k + n]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    slot = np.concatenate([[0], np.cumsum((codes == np.uint64(_NUM)) | (codes == np.uint64(_NAME)) | (codes == np.uint64(_UNIT)))])
-    good = np.flatnonzero(2 * (slot[size : size + n] - slot[:n]) < size)
-    return good, h[good].view(np.int64)
+        own, counted, plain = (np.frombuffer(c, np.uint64)[k] for c in self.codes)
+        before, joined = np.zeros(len(k), bool), np.zeros(len(k), bool)
+        same = text[1:] == text[:-1]
+        before[1:] = same & (flags[:-1] & (IS_NUMBER | ENDS) == IS_NUMBER)
+        codes = np.where(before, counted, own)
+        # what carries on a name or a number in words
+        run = (codes[1:] == codes[:-1]) & ((codes[1:] == np.uint64(_NAME)) | (flags[1:] & flags[:-1] & IS_WORD_NUMBER > 0))
+        joined[1:] = same & run & (flags[:-1] & (OPEN | ENDS) == OPEN)
+        if joined.any():
+            keep = np.flatnonzero(~joined)
+            folded = plain.copy()
+            for p in np.flatnonzero(joined):  # in order, so that a run's code is that of all its words
+                folded[p] = (int(folded[p - 1]) * _M + int(plain[p])) & (1 << 64) - 1
+            last = np.append(keep[1:], len(k)) - 1
+            return Tokens(chunks, codes[keep], folded[last], np.append(keep, len(k)), text[keep])
+        return Tokens(chunks, codes, plain, np.arange(len(k) + 1), text)
+
+
+def pieces(texts: list[str]):
+    """(first, last) of runs of texts of about PIECE chunks."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t) // 6 + 1
+        if size >= PIECE:
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def item_windows(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, length, at, size, window, slots, n): the windows of items, and how many tokens and windows each item has."""
+    """(item_id, item, length, at, size, window, typed, slots, n, n_typed): the windows of items, a hash of each item's
+    text, and how many tokens, windows and typed windows it has."""
+    columns = ("item_id", "item", "length", "at", "size", "window", "typed", "slots", "n", "n_typed")
 
     def make():
         reader = Reader()
 
-        def step(ids, texts):
-            out: dict[str, list] = {c: [] for c in ("item_id", "length", "at", "size", "window", "slots", "n")}
-            for i, t in zip(ids, texts, strict=True):
-                chunks, codes = reader.read(t)
-                w = min(size, len(codes))
-                at, h = windows(codes, w) if w else ((), ())
-                for p, x in zip(at, h, strict=True):
-                    for c, v in zip(out, (i, len(codes), int(p), w, int(x), reader.slots(chunks, codes, int(p), w), len(h)), strict=True):
+        def step(ids, raws, texts):
+            out: dict[str, list] = {c: [] for c in columns}
+            for i, raw, t in zip(ids, raws, texts, strict=True):
+                tokens = reader.read([t])
+                length = len(tokens.codes)
+                w = min(size, length)
+                at, h, typed = tokens.windows(w) if w else ((), (), np.zeros(0, bool))
+                for p, x, y in zip(at, h, typed, strict=True):
+                    for c, v in zip(columns, (i, raw, length, int(p), w, int(x), bool(y), tokens.slots(int(p), w), len(h), int(typed.sum())), strict=True):
                         out[c].append(v)
             return out
 
         return step
 
     kind = items.schema[id_col].dataType.simpleString()
-    texts = id_and_text(items, id_col, text_col)
-    return map_columns(texts, make, f"item_id {kind}, length int, at int, size int, window long, slots array<string>, n int")
+    texts = id_and_text(items, id_col, text_col).select("doc_id", F.xxhash64("text").alias("item"), "text").distinct()
+    return map_columns(texts, make, f"item_id {kind}, item long, length int, at int, size int, window long, typed boolean, slots array<string>, n int, n_typed int")
+
+
+def bitmap(index: DataFrame, bits: int) -> np.ndarray:
+    """A bit for every window modulo so many, as bytes."""
+    place = (F.pmod("window", F.lit(bits)) + 1).alias("place")
+    parts = index.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bytes"))
+    table = np.zeros(bits // 8, np.uint8)
+    for bucket, part in parts.collect():  # bits / 32768 rows of 4 KB at most
+        part = np.frombuffer(bytes(part), np.uint8)
+        at = (bucket - 1) * 4096
+        table[at : at + 4096] = part[: len(table) - at]
+    return table
 
 
 def _met(docs: DataFrame, kind: str, sizes: list[int], wanted) -> DataFrame:
-    """(doc_id, window, size, doc_at, doc_slots): the windows of documents that are among the wanted hashes."""
+    """(doc_id, raw, window, size, doc_at, doc_slots): the windows of documents that may be among the wanted ones."""
+    columns = ("doc_id", "raw", "window", "size", "doc_at", "doc_slots")
 
     def make():
-        reader, hashes = Reader(), wanted.value
+        reader, table = Reader(), wanted.value
 
-        def step(ids, texts):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "window", "size", "doc_at", "doc_slots")}
-            for i, t in zip(ids, texts, strict=True):
-                chunks, codes = reader.read(t)
+        def step(ids, raws, texts):
+            out: dict[str, list] = {c: [] for c in columns}
+            for first, last in pieces(texts):
+                tokens = reader.read(texts[first:last])
+                begin = np.searchsorted(tokens.text, np.arange(last - first))
                 for size in sizes:
-                    at, h = windows(codes, size)
-                    place = np.searchsorted(hashes, h)
-                    place[place == len(hashes)] = 0
-                    for k in np.flatnonzero(hashes[place] == h):
-                        for c, v in zip(out, (i, int(h[k]), size, int(at[k]), reader.slots(chunks, codes, int(at[k]), size)), strict=True):
+                    at, h, _ = tokens.windows(size)
+                    place = h % (8 * len(table))
+                    for k in np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1):
+                        p = int(at[k])
+                        d = int(tokens.text[p])
+                        for c, v in zip(columns, (ids[first + d], raws[first + d], int(h[k]), size, p - int(begin[d]), tokens.slots(p, size)), strict=True):
                             out[c].append(v)
             return out
 
         return step
 
-    return map_columns(docs, make, f"doc_id {kind}, window long, size int, doc_at int, doc_slots array<string>")
+    return map_columns(docs, make, f"doc_id {kind}, raw long, window long, size int, doc_at int, doc_slots array<string>")
 
 
-def leaks(
-    docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, agreement: float = AGREEMENT, block: int = BLOCK,
+def _leaks(
+    docs: DataFrame, items: DataFrame, size: int = WINDOW, coverage: float = COVERAGE, agreement: float = AGREEMENT, bits: int = BITS,
     id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_met, coverage, agreement): the documents that hold an item, with their items."""
+    """leaks() with raw and item, the hashes of both texts."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     index = stored(item_windows(items, size, item_id, item_text), "item-windows")
     sizes = sorted(r[0] for r in index.select("size").distinct().collect())  # at most `size` numbers
-    texts, found = id_and_text(docs, id_col, text_col), []
-    blocks = max(1, -(-index.select("window").distinct().count() // block))
-    for b in range(blocks):
-        part = index.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        hashes = part.select("window").distinct().toArrow()["window"].to_numpy().astype(np.int64)  # about `block` of them
-        found.append(_met(texts, kind, sizes, spark.sparkContext.broadcast(np.sort(hashes))) if len(hashes) else None)
-    found = [f for f in found if f is not None]
-    id_kind = items.schema[item_id].dataType.simpleString()
-    if not found:
-        return spark.createDataFrame([], f"doc_id {kind}, item_id {id_kind}, n_windows long, n_met long, coverage double, agreement double")
-    met = found[0]
-    for f in found[1:]:
-        met = met.unionByName(f)
-    met = stored(met.distinct(), "met-windows")
+    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("raw"), "text")
+    met = _met(texts, kind, sizes, spark.sparkContext.broadcast(bitmap(index, bits)))
+    known = index.select("window", "size").distinct()
+    met = stored(met.join(known, ["window", "size"], "left_semi").distinct(), "met-windows")
     apart = met.join(index, ["window", "size"])
     shift, half = F.col("doc_at") - F.col("at"), F.greatest(F.floor(F.col("length") / 2), F.lit(1))
     band = F.floor(shift / half)
     spot = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
     apart = apart.withColumn("spot", F.explode(F.array(spot(1, shift), spot(2, band), spot(2, band - 1))))
     whole = met.drop("doc_at").distinct().join(index, ["window", "size"]).withColumn("spot", spot(0, F.lit(0)))
-    pairs = apart.select(*(columns := ["doc_id", "item_id", "spot", "n", "at", "slots", "doc_slots"])).union(whole.select(*columns))
+    of = ["doc_id", "raw", "item_id", "item", "spot", "n", "n_typed"]
+    pairs = apart.select(*(columns := [*of, "at", "typed", "slots", "doc_slots"])).union(whole.select(*columns))
     # of each item value, the documents' values by how often they stand for it
-    of = ["doc_id", "item_id", "spot", "n"]
-    pairs = pairs.select(*of, "at", F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("slot"))
+    pairs = pairs.select(*of, F.struct("at", "typed").alias("at"), F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("slot"))
     each = pairs.groupBy(*of, F.col("slot.slots").alias("value"), F.col("slot.doc_slots").alias("stands")).agg(F.count("slot").alias("times"), F.collect_set("at").alias("ats"))
     value = each.groupBy(*of, "value").agg(F.sum("times").alias("times"), F.max("times").alias("most"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
-    found = value.groupBy("doc_id", "item_id", "spot", F.col("n").cast("long").alias("n_windows")).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_met"),
-        F.coalesce(F.try_divide(F.sum("most"), F.sum("times")), F.lit(1.0)).alias("agreement"),
-    )
-    found = found.withColumn("coverage", F.col("n_met") / F.col("n_windows")).where((F.col("coverage") >= coverage) & (F.col("agreement") >= agreement))
+    found = value.groupBy(*of).agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.coalesce(F.try_divide(F.sum("most"), F.sum("times")), F.lit(1.0)).alias("agreement"))
+    n_met, n_typed = F.size("ats").cast("long"), F.size(F.filter("ats", lambda x: x["typed"]))
+    share = F.greatest(n_met / F.col("n"), n_typed / F.greatest(F.col("n_typed"), F.col("n") / 2))
+    found = found.select("doc_id", "raw", "item_id", "item", "spot", F.col("n").cast("long").alias("n_windows"), n_met.alias("n_met"), share.alias("coverage"), "agreement")
+    found = found.where((F.col("coverage") >= coverage) & (F.col("agreement") >= agreement))
     # the document's own figures if it passes as a whole, or else those of its fullest occurrence
     best = F.max(F.struct((F.col("spot.kind") == 0).alias("whole"), "coverage", "agreement", "n_met")).alias("best")
-    return found.groupBy("doc_id", "item_id", "n_windows").agg(best).select("doc_id", "item_id", "n_windows", "best.n_met", "best.coverage", "best.agreement")
+    found = found.groupBy("doc_id", "raw", "item_id", "item", "n_windows").agg(best)
+    return found.select("doc_id", "raw", "item_id", "item", "n_windows", "best.n_met", "best.coverage", "best.agreement")
+
+
+def leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_met, coverage, agreement): the documents that hold an item, with their items; how:
+    what _leaks() takes."""
+    return _leaks(docs, items, **how).drop("raw", "item")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of docs into which no item has leaked."""
-    held = leaks(docs, items, **how).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(held, docs[how.get("id_col", "doc_id")].eqNullSafe(held.leaked), "left_anti")
+    held = _leaks(docs, items, **how).select(F.col("doc_id").alias("leaked"), "raw").distinct()
+    ids, text = docs[how.get("id_col", "doc_id")], F.coalesce(docs[how.get("text_col", "text")], F.lit(""))
+    return docs.join(held, (F.xxhash64(text) == held.raw) & ids.eqNullSafe(held.leaked), "left_anti")

@@ -169,7 +169,7 @@ def test_reparameterised_items_are_found(spark, odd, none):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in templates.leaks(frame, items).collect()}
     assert set(got) == {(1, 1), (2, 2), (6, 5)} and got[2, 2].coverage == 1.0
-    small = {(r.doc_id, r.item_id) for r in templates.leaks(frame, items, block=3).collect()}
+    small = {(r.doc_id, r.item_id) for r in templates.leaks(frame, items, bits=1 << 15).collect()}
     assert small == set(got)
     assert sorted(r.doc_id for r in templates.without_leaks(frame, items).collect()) == [3, 4, 5]
     assert templates.leaks(frame, items.limit(0)).count() == 0 and templates.leaks(none, items).count() == 0
@@ -201,6 +201,92 @@ def test_each_occurrence_counts_by_itself(spark):
     assert set(got) == {1, 2, 3} and got[1].agreement == got[2].agreement == 1.0
 
 
+def brute_leaks(docs, items, size=templates.WINDOW):
+    """Items leaked into documents, by comparing every window of one with every window of the other."""
+    from collections import Counter, defaultdict
+
+    reader = templates.Reader()
+
+    def shown(text, size):
+        tokens = reader.read([text or ""])
+        w = min(size, len(tokens.codes))
+        at, h, typed = tokens.windows(w) if w else ((), (), ())
+        return [(int(p), int(x), bool(y), tokens.slots(int(p), w)) for p, x, y in zip(at, h, typed)], w, len(tokens.codes)
+
+    def passes(item, met):
+        at, stands = {p for p, _ in met}, defaultdict(Counter)
+        for k, values in met:
+            for a, b in zip(item[k][3], values):
+                stands[a][b] += 1
+        typed, all_typed = sum(item[k][2] for k in at), sum(x[2] for x in item)
+        share = max(len(at) / len(item), typed / max(all_typed, len(item) / 2))
+        total = sum(sum(c.values()) for c in stands.values())
+        return share >= templates.COVERAGE and (not total or sum(max(c.values()) for c in stands.values()) / total >= templates.AGREEMENT)
+
+    out = set()
+    for i, text in docs:
+        for j, item_text in items:
+            item, w, length = shown(item_text, size)
+            if not item:
+                continue
+            doc, _, _ = shown(text, w)
+            spots, half = defaultdict(list), max(length // 2, 1)
+            for k, (p, h, _, _) in enumerate(item):
+                for q, g, _, values in doc:
+                    if g == h:
+                        for spot in ((1, q - p), (2, (q - p) // half), (2, (q - p) // half - 1)):
+                            spots[spot].append((k, values))
+                        if (k, values) not in spots[0]:
+                            spots[0].append((k, values))
+            if any(passes(item, met) for met in spots.values() if met):
+                out.add((i, j))
+    return out
+
+
+GIVEN = "{0} has {1} {2} and gives {3} {2} to {4}. {0} then buys {5} {2} at the market in {6} and asks {4} how many of them are left."
+FILLS = [
+    ("Alice", "12", "apples", "5", "Bob", "7", "Paris"),
+    ("Emma", "thirty", "pears", "five", "Tom", "nine", "Lyon"),
+    ("Mary Smith", "1,250", "stamps", "17", "Bob-Ray", "twenty-one", "New York"),
+    ("Jean O'Neil", "two hundred", "marbles", "$4", "Ann", "3.5", "Rome"),
+]
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    items = [(k, x) for k, x in ITEMS] + [(10, GIVEN.format(*FILLS[0])), (11, ITEM), (12, "3 4 5 6 7 8 9 10 11 12 13"), (10, "another text of the same id with some more words in it")]
+    words = "the of and apples baker sold 24 loaves Bob has bread before noon then 36 more Alice five gives to quick brown fox".split()
+    docs = [(k, " ".join(rng.choice(words, int(rng.integers(0, 60))))) for k in range(40)]
+    docs += [(100 + k, "Some text first. " + GIVEN.format(*f) + " And an end.") for k, f in enumerate(FILLS)]
+    docs += [(200, "it says 3 4 5 6 7 8 9 10 11 12 13 there"), (201, "it says 14 15 16 17 18 19 20 21 22 23 24 there"), (202, ITEM), (203, "or another text of the same id with some more words in it")]
+    got = templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute_leaks(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert want >= {(100, 10), (101, 10), (102, 10), (103, 10), (200, 12), (202, 11), (203, 10)} and (201, 12) not in want
+
+
+def test_recall_on_reparameterised_items(spark):
+    """Nine of ten items with all names, numbers and nouns changed are found, and no other text."""
+    rng = np.random.default_rng(4)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    frames = [GIVEN, "A train leaves {6} at {1} and {0} waits {3} {2} for it, while {4} walks {5} {2} to the next station beside the river.", "If {0} reads {1} {2} in {3} days and {4} reads {5} {2} in the same time, who of the two in {6} has read more of them?"]
+    fill = lambda: (pick(["Alice", "Mary Smith", "Tom", "Bob-Ray"]), str(rng.integers(2, 99)), pick(["apples", "pages", "coins"]), pick(["three", "14", "nineteen"]), pick(["Eva", "Jean Paul", "Carl"]), str(rng.integers(2, 99)), pick(["Rome", "New York", "Lyon"]))
+    items = [(k, f.format(*fill())) for k, f in enumerate(frames)]
+    docs = [(k, "Some words before it. " + frames[k % 3].format(*fill()) + " Then more words follow here.") for k in range(60)]
+    docs += [(100 + k, " ".join(rng.permutation(docs[k][1].split()))) for k in range(60)]
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len({(k, k % 3) for k in range(60)} & got) >= 54 and not [d for d, _ in got if d >= 100]
+
+
+def test_rows_of_one_id_are_not_mixed(spark):
+    items, half = spark.createDataFrame([(1, ITEM)], "item_id long, text string"), ITEM.split()
+    for i in (None, 7):
+        docs = [(i, " ".join(half[:10])), (i, " ".join(half[16:])), (i, "an innocent text"), (i, ITEM), (i, ITEM)]
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        assert sorted(r.text for r in templates.without_leaks(frame, items).collect()) == sorted(t for _, t in docs[:3])
+        assert templates.leaks(frame, items).count() == 1
+
+
 def test_queries_are_registered():
     from lagloom.llm import queries
 
