@@ -12,6 +12,8 @@ from lagloom.llm.common import documents
 
 #: Where the public vocabularies are; an empty value stands for the installed package's folder.
 TOKENIZERS = ""
+#: The key of pseudonyms where spark.lagloom.pseudonym.key is not set.
+DEMONSTRATION_KEY = "demonstration only"
 
 
 def tokenizer(name: str) -> str:
@@ -111,10 +113,10 @@ def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal numbers, dates and addresses replaced."""
+    """Every document with its personal numbers, dates and addresses replaced, under the session's key."""
     from lagloom.llm.pseudonyms import pseudonymize
 
-    done = pseudonymize(documents(spark, sf_dir))
+    done = pseudonymize(documents(spark, sf_dir), spark.conf.get("spark.lagloom.pseudonym.key", DEMONSTRATION_KEY).encode())
     return done.select("doc.doc_id", "n_found", F.array_sort(F.map_keys("kinds")).alias("kinds"), F.col("pseudonyms").alias("text"))
 
 

@@ -113,6 +113,9 @@ def test_toxicity_learns(spark, odd, none):
     assert toxicity.without_toxic(odd, model).columns == odd.columns and toxicity.without_toxic(odd, model).count() == odd.count()
 
 
+KEY = b"key of the tests"
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     for n in (1, 2, 10, 97, 256):
@@ -125,25 +128,64 @@ def test_pseudonyms():
         "card 4539 5787 6362 1486, bad card 4539578763621487, mail é.x9@example.com, call +1 (017) 555-7713 on 2021-03-04, 12/31/1999 or 30.02.2020, "
         'ip 97.51.17.173 not 97.51.17.373, v2.0.1, ssn 123-45-6789 not 000-12-3456, token "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", GB82 WEST 1234 5698 7654 32.'
     )
-    new, found = pseudonyms.Pseudonymizer().text(text)
+    new, found = pseudonyms.Pseudonymizer(KEY).text(text)
     assert found == {"card": 1, "email": 1, "phone": 1, "date": 2, "ip": 1, "ssn": 1, "secret": 1, "iban": 1}
     for kept in ("4539578763621487", "30.02.2020", "97.51.17.373", "v2.0.1", "000-12-3456", "@example.com"):
         assert kept in new
     for gone in ("4539 5787 6362 1486", "555-7713", "2021-03-04", "97.51.17.173", "123-45-6789", "24be64439e3e"):
         assert gone not in new
     assert len(new) - len(text) == len(new.split("ip ")[1].split(" ")[0]) - len("97.51.17.173")
-    assert pseudonyms.Pseudonymizer(forth=False).text(new)[0] == text
-    again, _ = pseudonyms.Pseudonymizer().text("again 4539-5787-6362-1486")
+    assert pseudonyms.Pseudonymizer(KEY, forth=False).text(new)[0] == text
+    again, _ = pseudonyms.Pseudonymizer(KEY).text("again 4539-5787-6362-1486")
     assert again.replace("-", "")[6:] in new.replace(" ", "")  # one value, one pseudonym
     card = again[6:].replace("-", "")
     assert pseudonyms.luhn_digit(card[:-1]) == card[-1]
 
 
 def test_pseudonymize_tables(spark, odd, none):
-    rows = pseudonyms.pseudonymize(odd).collect()
+    rows = pseudonyms.pseudonymize(odd, KEY).collect()
     assert len(rows) == odd.count() and sum(r.n_found for r in rows) == 2
     assert [r.pseudonyms for r in rows if r.doc.text is None] == [None]
-    assert pseudonyms.pseudonymize(none).count() == 0
+    assert pseudonyms.pseudonymize(none, KEY).count() == 0
+
+
+def test_one_value_has_one_pseudonym_in_all_layouts():
+    p, back = pseudonyms.Pseudonymizer(KEY), pseudonyms.Pseudonymizer(KEY, forth=False)
+    only = lambda s: "".join(c for c in s if c.isdigit())
+    for layouts in (("+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 (0)20 7946 0958"), ("+1 202 555 0142", "+12025550142"), ("+353 1 234 5678", "+35312345678")):
+        new = [p.text(x)[0] for x in layouts]
+        assert len({only(x.replace("(0)", "")) for x in new}) == 1 and [back.text(x)[0] for x in new] == list(layouts)
+        assert all(n != x and [c.isdigit() for c in n] == [c.isdigit() for c in x] for n, x in zip(new, layouts))
+    assert only(p.text("3782 822463 10005")[0]) == p.text("378282246310005")[0] != "378282246310005"
+    dates = ("2020-01-02", "1/2/2020", "01/02/2020", "2.1.2020", "2 January 2020", "January 2, 2020", "2 Jan 2020")
+    new = [p.text(x)[0] for x in dates]
+    day = pseudonyms.date.fromisoformat(new[0])
+    assert new[1:4] == [f"{day.month}/{day.day}/{day.year}", f"{day.month:02d}/{day.day:02d}/{day.year}", f"{day.day}.{day.month}.{day.year}"]
+    assert new[4] == f"{day.day} {pseudonyms.MONTHS[day.month - 1]} {day.year}" and [back.text(x)[0] for x in new[:6]] == list(dates[:6])
+    six = [p.text(x)[0] for x in ("2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334")]
+    assert six[0] == six[1] and back.text(six[0])[0] == "2001:db8:0:0:0:8a2e:370:7334"
+    for kept in ("at 12:30:45 and a::b or std::vector", "31/12/2020", "30 February 2020", "+0 123 456 789"):
+        assert p.text(kept) == (kept, {})
+
+
+def test_pseudonyms_of_all_documents_can_be_put_back(spark, sf_dir):
+    """The query's whole result: only values that it counts have changed, each one to one, and the key gives all texts back."""
+    from lagloom.llm import queries
+
+    texts = {r.doc_id: r.text for r in queries.documents(spark, sf_dir).collect()}
+    rows = queries.op9_feistel_pseudonyms(spark, sf_dir).collect()
+    back = pseudonyms.Pseudonymizer(queries.DEMONSTRATION_KEY.encode(), forth=False)
+    names, values = {}, 0
+    for r in rows:
+        old, new = (list(pseudonyms.PATTERN.finditer(t)) for t in (texts[r.doc_id], r.text))
+        assert back.text(r.text)[0] == texts[r.doc_id] and r.n_found <= len(old) == len(new)
+        assert pseudonyms.PATTERN.sub("#", texts[r.doc_id]) == pseudonyms.PATTERN.sub("#", r.text)
+        changed = [(a[0], b[0]) for a, b in zip(old, new) if a[0] != b[0]]
+        values += r.n_found
+        for a, b in changed:
+            assert names.setdefault(a, b) == b
+        assert len(changed) <= r.n_found
+    assert len(rows) == len(texts) and values > 10 and len(set(names.values())) == len(names)
 
 
 ITEMS = [
