@@ -9,7 +9,8 @@ more beside an address. A logistic function of a document's evidence, fitted on
 
 Labels, language, source and id are no input of a score. Null and empty texts have no evidence and get the score of
 that; if the sample has no toxic or no clean document, nothing is learned and every score is the smoothed base rate.
-Rows are scored on their own, so repeated ones get equal scores.
+Rows are scored on their own, so repeated ones get equal scores. A document counts once in learning: of rows that share an
+id the least text is read, and one label of several that says toxic is enough.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from lagloom.llm.common import MEMO, id_and_text, map_columns, stored
 
-#: Labelled documents to learn from at most (by hash of the id), and terms of a lexicon at most.
-SAMPLE, TERMS = 20_000, 2_000
+#: Labelled documents to learn from at most (by hash of the id); terms of a lexicon at most, and ordinary words near
+#: them at most (those of the most clean documents).
+SAMPLE, TERMS, ORDINARY = 20_000, 2_000, 200_000
 #: Letters of a word beginning that can be a term; letters from which a term may have one error.
 BEGINNINGS, FUZZY = (4, 5, 6), 5
 #: Words beside a hit that are looked at.
@@ -131,7 +133,7 @@ class Scorer:
         """The hits of a lower-cased piece between white space: (kind, term) each."""
         plain = [self.matcher.match(w) for w in WORD.findall(chunk)]
         hits = tuple(h for h in plain if h[0])
-        if not hits and not chunk.isalpha() and len(chunk) <= 40:
+        if not hits and not chunk.isalpha():
             undone = "".join(WORD.findall(chunk.translate(LOOKALIKES)))
             hit = self.matcher.match(undone)
             hits = (hit,) if hit[0] == EXACT else ()
@@ -170,9 +172,10 @@ def features_of(total: float, share: float) -> tuple[float, float, float]:
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(doc_id, text, toxic): labelled documents, a bounded number in the order of a hash of the id."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return stored(docs.join(F.broadcast(picked), "doc_id"), "labelled-sample")
+    texts = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return stored(texts.select("doc_id", "text", "toxic"), "labelled-sample")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -241,32 +244,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     matcher = Matcher(words, {})
 
     def make():
-        return lambda f: {"word": [w for w in f if matcher.match(w)[0] == NEAR]}
+        def step(words, n):
+            near = [(w, c) for w, c in zip(words, n, strict=True) if matcher.match(w)[0] == NEAR]
+            return {"word": [w for w, _ in near], "n": [c for _, c in near]}
 
-    common = counts.where(~F.col("feature").endswith("*") & (F.col("n_clean") >= 2) & (q < 0.5)).select("feature")
-    ordinary = frozenset(r.word for r in map_columns(common, make, "word string").limit(100 * TERMS).collect())
+        return step
+
+    common = counts.where(~F.col("feature").endswith("*") & (F.col("n_clean") >= 2) & (q < 0.5)).select("feature", "n_clean")
+    beside = map_columns(common, make, "word string, n long").orderBy(F.desc("n"), "word").limit(ORDINARY)
+    ordinary = frozenset(r.word for r in beside.collect())
     model = Model(words, starts, ordinary, base)
-    seen = evidence(known, model).join(F.broadcast(known.select("doc_id", "toxic")), "doc_id").select("total", "share", "toxic").toPandas()
+    seen = evidence(known, model, "toxic").select("total", "share", "toxic").toPandas()  # numbers of the sample
     x = np.array([features_of(t, s) for t, s in zip(seen.total, seen.share, strict=True)])
     model.weights = _logistic(x, seen.toxic.to_numpy(float))
     return model
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, total, share, near, quoted, score) of docs (doc_id, text)."""
+def evidence(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
+    """(doc_id, total, share, near, quoted, score) of docs (doc_id, text), and the columns carried along."""
 
     def make():
         scorer = model.scorer()
 
-        def step(ids, texts):
+        def step(ids, texts, *others):
             found = [scorer.evidence(t) for t in texts]
             cols = dict(zip(("total", "share", "near", "quoted"), zip(*found, strict=True), strict=True))
-            return {"doc_id": ids, **{c: list(v) for c, v in cols.items()}, "score": [model.score(f[0], f[1]) for f in found]}
+            return {"doc_id": ids, **{c: list(v) for c, v in cols.items()}, "score": [model.score(f[0], f[1]) for f in found], **dict(zip(carried, others, strict=True))}
 
         return step
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_columns(docs.select("doc_id", "text"), make, f"doc_id {kind}, total double, share double, near double, quoted double, score double")
+    kind = lambda c: f"{c} {docs.schema[c].dataType.simpleString()}"
+    fields = [kind("doc_id"), "total double, share double, near double, quoted double, score double", *map(kind, carried)]
+    return map_columns(docs.select("doc_id", "text", *carried), make, ", ".join(fields))
 
 
 def held_out(doc_id: Column) -> Column:
