@@ -6,8 +6,8 @@ each number the arrays hold the other half of the hash as a fingerprint, the cou
 Documents never meet lines in a join: batches of documents send each of their distinct hashes once to its shard, probe
 the arrays and get back the hits. So a line in a third of all documents costs one probe a batch.
 
-A null or empty text is one empty line. A null doc_id counts as less than any other. Rows of one doc_id each count as a
-document, and as one holder. Ties cannot occur but between such rows, which then both keep the line.
+A null or empty text is one empty line. Rows of one doc_id are one document, and rows without an id are one too, below
+all others; where it is the last holder of a line, all its rows keep it.
 """
 
 from __future__ import annotations
@@ -124,9 +124,10 @@ INDEX = "shard int, levels array<binary>, n_keys long, fp binary, n binary, last
 
 
 def line_index(lines: DataFrame, shards: int) -> DataFrame:
-    """The index of all line hashes in two documents or more, a row for each shard."""
+    """The index of all line hashes in two documents (ids) or more, a row for each shard."""
     one = lines.select(F.explode(F.arrays_zip("h1", "h2", F.transform("doc_of", lambda k: F.get("ids", k)).alias("id"))).alias("x"))
-    counted = one.groupBy("x.h1", "x.h2").agg(F.count("*").alias("n"), F.max("x.id").alias("last_id")).where("n > 1")
+    one = one.select("x.*").distinct()  # dealt by id too, so that a line of very many documents is added up before it meets
+    counted = one.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last_id")).where("n > 1")
     return counted.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, INDEX)
 
 
@@ -205,7 +206,8 @@ def lost_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_lines, n_dropped, kept): each row of docs as a struct, its count of lines, of dropped lines, and its
-    remaining lines. A line goes if its key (stripped, A-Z lower-cased) has min_chars code points or more and is in
+    remaining lines. Documents are told apart by id, so rows that share one are one document, and rows without one are
+    too, below all others. A line goes if its key (stripped, A-Z lower-cased) has min_chars code points or more and is in
     min_docs documents or more, except from the largest doc_id that holds it."""
     lost = lost_lines(docs, min_docs, min_chars, id_col, text_col)
     per_doc = lost.distinct().groupBy("doc_id").agg(F.collect_list("h1").alias("h1"), F.collect_list("h2").alias("h2"))
