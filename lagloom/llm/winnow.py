@@ -6,11 +6,12 @@ code points has one hash, of the whole text; one with fewer hashes than a window
 
 The next document of each is found with a range partitioning by id: each range learns the first document of the range
 after it, so no task sees more than its own range, and rows move once. Documents of equal id come in the order of
-their texts; null ids come first.
+hashes of their texts, so that an id of very many rows is cut into ranges too; null ids come first.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -122,50 +123,56 @@ def _range_of(key, bounds: list[int]):
 def in_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, own, doc_id, text), each part in one partition and in order of ids: the documents of a range of ids,
     then, with own = false, the text of the document after them (after the last: of the first). What the driver
-    holds is one id for each range; ranges follow spark.sql.shuffle.partitions."""
+    holds is one id for each range; ranges follow spark.sql.shuffle.partitions. An id that several quantiles fall on
+    is cut by hash into as many ranges more."""
     spark = docs.sparkSession
-    texts = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    texts = id_and_text(docs, id_col, text_col).withColumns({"key": key, "mix": F.xxhash64("text")})
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.stat.approxQuantile("key", [r / ranges for r in range(1, ranges)], 0.25 / ranges)
-    dealt = texts.withColumn("part", _range_of(F.col("key"), sorted({int(b) for b in found})))
-    firsts = sorted((r.first, r.part) for r in dealt.groupBy("part").agg(F.min("key").alias("first")).collect())
-    before = [(first, firsts[k - 1][1]) for k, (first, _) in enumerate(firsts)]
-    heads = texts.join(F.broadcast(spark.createDataFrame(before, "key long, target int")), "key").groupBy("target").agg(F.min("text").alias("text"))
-    rows = dealt.select("part", F.lit(True).alias("own"), "key", "doc_id", "text").unionByName(
-        heads.select(F.col("target").alias("part"), F.lit(False).alias("own"), F.lit(0).cast("long").alias("key"), F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), "text")
+    found = Counter(int(b) for b in texts.stat.approxQuantile("key", [r / ranges for r in range(1, ranges)], 0.25 / ranges))
+    cuts = [F.lit(x).cast("long") for b, n in found.items() if n > 1 for x in (b, n)]
+    ways = F.coalesce(F.create_map(*cuts)[F.col("key")], F.lit(1)) if cuts else F.lit(1)
+    part = _range_of(F.col("key"), sorted(found)) * ranges + F.shiftrightunsigned(F.shiftrightunsigned("mix", 40) * ways, 24)
+    dealt = texts.withColumn("part", part.cast("int"))
+    firsts = sorted((*r.first, r.part) for r in dealt.groupBy("part").agg(F.min(F.struct("part", "key", "mix")).alias("first")).collect())
+    before = [(key, mix, firsts[k - 1][0]) for k, (_, key, mix, _) in enumerate(firsts)]
+    heads = texts.join(F.broadcast(spark.createDataFrame(before, "key long, mix long, target int")), ["key", "mix"]).groupBy("target").agg(F.min("text").alias("text"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = dealt.select("part", F.lit(True).alias("own"), "key", "mix", "doc_id", "text").unionByName(
+        heads.select(F.col("target").alias("part"), F.lit(False).alias("own"), none("long").alias("key"), none("long").alias("mix"), none(docs.schema[id_col].dataType).alias("doc_id"), "text")
     )
-    return rows.repartition("part").sortWithinPartitions("part", F.desc("own"), "key", "text").select("part", "own", "doc_id", "text")
+    order = ("part", F.desc("own"), "key", F.shiftrightunsigned("mix", 40), "mix", "text")  # parts cut the hashes as unsigned
+    return rows.repartition("part").sortWithinPartitions(*order).select("part", "own", "doc_id", "text")
 
 
 def edit_pairs(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): each text against
-    itself with its last half replaced by the start of the next document. A fingerprint is the selected hashes in
-    order of position, eight hexadecimal digits each; likeness is the Jaccard similarity of the sets of hashes."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, positions,
+    edited_positions): each text against itself with its last half replaced by the start of the next document. A
+    fingerprint is the selected hashes in order of position, eight hexadecimal digits each, with the positions beside
+    it; likeness is the Jaccard similarity of the sets of hashes."""
+    columns = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions")
 
     def make():
         waiting: list = []  # the document whose successor has yet to come
 
         def step(parts, own, ids, texts):
-            out: dict[str, list] = {c: [] for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+            out: dict[str, list] = {c: [] for c in columns}
             for mine, i, t in zip(own, ids, texts, strict=True):
-                _, h = selected(code_points(t), k, window)
+                p, h = selected(code_points(t), k, window)
                 if waiting:
-                    before_id, before, before_h = waiting.pop()
+                    before_id, before, before_p, before_h = waiting.pop()
                     edited = _edited(before, t)
-                    _, e = selected(code_points(edited), k, window)
-                    out["doc_id"].append(before_id)
-                    out["n_chars"].append(len(before))
-                    out["edited_sha256"].append(sha256(edited.encode("utf-8", "replace")).hexdigest())
-                    out["fingerprint"].append(before_h.astype(">u4").tobytes().hex())
-                    out["edited_fingerprint"].append(e.astype(">u4").tobytes().hex())
-                    out["near_edited"].append(likeness(before_h, e))
-                    out["near_next"].append(likeness(before_h, h))
+                    q, e = selected(code_points(edited), k, window)
+                    digest = sha256(edited.encode("utf-8", "replace")).hexdigest()
+                    row = (before_id, len(before), digest, *(x.astype(">u4").tobytes().hex() for x in (before_h, e)), likeness(before_h, e), likeness(before_h, h), before_p, q)
+                    for c, v in zip(columns, row, strict=True):
+                        out[c].append(v)
                 if mine:
-                    waiting.append((i, t, h))
+                    waiting.append((i, t, p, h))
             return out
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<long>, edited_positions array<long>"
     return map_columns(in_ranges(docs, id_col, text_col), make, schema)

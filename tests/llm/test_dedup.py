@@ -23,7 +23,7 @@ def brute_lines(docs):
     out = []
     for i, t in docs:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(holders[key(x)]) < 3 or max(holders[key(x)]) == (-1 if i is None else i)]
+        kept = [x for x in lines if len(set(holders[key(x)])) < 3 or max(holders[key(x)]) == (-1 if i is None else i)]
         out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out, key=str)
 
@@ -34,6 +34,10 @@ def test_lines_equal_brute_force(spark, odd, none, monkeypatch):
     assert line_dedup.line_report(none).count() == 0
     monkeypatch.setattr(line_dedup, "SHARD", 2)  # many shards
     assert sorted([tuple(r) for r in line_dedup.line_report(odd).collect()], key=str) == brute_lines(docs)
+    again = [(1, "one line of twenty letters\nx"), (1, "one line of twenty letters\ny"), (2, "one line of twenty letters")]
+    for rows in (again, [*again, (3, "ONE line of twenty letters ")], [(None, t) for _, t in again] + again):
+        got = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted([tuple(r) for r in got], key=str) == brute_lines(rows)
     kept = line_dedup.dedup_lines(odd).select("doc.*")
     assert kept.columns == odd.columns
 

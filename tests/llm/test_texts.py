@@ -56,18 +56,37 @@ def test_winnowing(monkeypatch, piece):
     assert set(winnow.selected(winnow.code_points(a))[1].tolist()) & set(winnow.selected(winnow.code_points(b))[1].tolist())
 
 
-def test_edit_pairs(spark, odd, none):
-    docs = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    got = winnow.edit_pairs(odd).collect()
-    want = []
+def brute_edits(docs):
+    """The rows of edit_pairs() for texts in order."""
+    out = []
     for k, (i, t) in enumerate(docs):
-        following = docs[(k + 1) % len(docs)][1]
-        half = len(t) // 2
-        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()))
-    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        following, half = docs[(k + 1) % len(docs)][1], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        own, new, after = (brute_winnow(x, winnow.K, winnow.WINDOW) for x in (t, edited, following))
+        near = lambda a, b: 1.0 if not a and not b else len({h for _, h in a} & {h for _, h in b}) / len({h for _, h in [*a, *b]})
+        hexed = lambda x: "".join(f"{h:08x}" for _, h in x)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(own), hexed(new), near(own, new), near(own, after), [p for p, _ in own], [p for p, _ in new]))
+    return out
+
+
+def test_edit_pairs_equal_brute_force(spark, none):
+    rng = np.random.default_rng(1)
+    docs = [(i, "".join(rng.choice(list("ab cé🤗"), int(n)))) for i, n in enumerate(rng.integers(0, 200, 60))] + [(60, ""), (61, ""), (62, "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in winnow.edit_pairs(frame).collect()) == brute_edits(docs)
     assert winnow.edit_pairs(none).count() == 0
-    assert winnow.fingerprints(odd).where("doc_id = 3").count() == 0
+
+
+def test_edit_pairs_of_one_id(spark, odd):
+    """Rows of one id (and those without one) follow each other in some order, and none is lost or gathered in one range."""
+    texts = [f"text number {k}" for k in range(400)]
+    frame = spark.createDataFrame([(7, t) for t in texts] + [(9, "the last")], "doc_id long, text string")
+    got = winnow.edit_pairs(frame).collect()
+    halves = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a in texts for b in [*texts[:1], "the last"]}
+    assert len(got) == 401 and sum(r.edited_sha256 in halves for r in got) >= 400
+    assert winnow.in_ranges(frame).where("own").groupBy("part").count().count() > 4
+    got = winnow.edit_pairs(odd).collect()
+    assert len(got) == odd.count() and winnow.fingerprints(odd).where("doc_id = 3").count() == 0
 
 
 def test_automaton_accepts_exactly_one_error():
@@ -99,6 +118,7 @@ def test_quotation_weighs_less_than_abuse():
     s = toxicity.Scorer(toxicity.Matcher({"idiot": 2.0}, {}))
     plain, quoted, aimed = (s.evidence(t)[0] for t in ("what an idiot this is", 'the word "idiot" has a long past', "you are an idiot really"))
     assert quoted < plain < aimed and s.evidence("")[0] == 0 and s.evidence("the 1d!ot here")[0] > 0
+    assert s.evidence("*" * 60 + "1d!ot" + "*" * 60)[0] > 0  # whatever its length
 
 
 def test_toxicity_learns(spark, odd, none):
@@ -110,12 +130,25 @@ def test_toxicity_learns(spark, odd, none):
     assert toxicity.toxicity(odd, labels.limit(0)).count() == odd.count()
     assert toxicity.toxicity(none, labels).count() == 0
     model = toxicity.fit(frame, labels)
+    twice = toxicity.fit(frame.union(frame), labels.union(labels.selectExpr("doc_id", "quality", "0")))
+    assert (twice.words, twice.weights) == (model.words, model.weights)  # a document counts once, and is toxic if any label says so
     assert toxicity.without_toxic(odd, model).columns == odd.columns and toxicity.without_toxic(odd, model).count() == odd.count()
 
 
 KEY = b"key of the tests"
 
 
+def test_held_out_documents_are_told_apart(spark):
+    """Quality on the held-out fifth of the labelled documents of sf0.01."""
+    from lagloom.llm import queries
+
+    path = "/root/testdata/sf0.01"
+    got = queries.op3_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").collect()
+    bad, good = ([r.score for r in got if r.toxic == y] for y in (1, 0))
+    auc = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
+    assert auc >= 0.75 and sum(s >= 0.5 for s in good) <= 0.02 * len(good)
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(b"k")
     for n in (1, 2, 10, 97, 256):
