@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,14 +27,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition_by: str, folder: str | None = None) -> DataFrame:
     """df written to a table in the shared folder and read again: lineage ends, lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:12]}" if folder else shared_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """stored() for tables that nothing needs after the block: they are deleted at its end."""
+    path = shared_path(spark, "scratch")
+    yield partial(stored, folder=path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
     """The path of a new file in the shared folder."""
     path = shared_path(spark, name)

@@ -15,7 +15,7 @@ Near copies of texts are linked by these keys first. Fingerprints of texts that
 bits, so what is still apart is compared by the prefixes of its sets of word shingles, which lose no pair.
 
 Large groups of near copies do not become all their pairs: every key's members are first verified against one of
-them, components are formed, and only members of one key that are still in different components are compared.
+them (of texts, the one whose shingles are the most common, which is nearest to the others), components are formed, and only members of one key that are still in different components are compared.
 """
 
 from __future__ import annotations
@@ -29,12 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import folded_words, id_and_text, map_columns, most_frequent, spread, stored
+from lagloom.llm.common import folded_words, id_and_text, map_columns, most_frequent, scratch, spread, stored
 from lagloom.llm.components import components
 
 GENERATOR = 0b110001110101  # of the [23, 12] Golay code
 #: Rows (of three numbers) that may be broadcast instead of moving texts.
 BROADCAST_ROWS = 1_000_000
+#: Shingles (of one number) that may be broadcast instead of moving a set for each pair.
+BROADCAST_SHINGLES = 2_000_000
+#: Bits of a sketch of a set.
+SKETCH = 4096
 #: A shingle of COMMON texts or more of one in SAMPLE is common; so many of them are held at most. They only order shingles.
 SAMPLE, COMMON, COMMON_MOST = 16, 3, 500_000
 #: (first bit, width) of the segments.
@@ -132,64 +136,62 @@ def four_error_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def keyed(nodes: DataFrame, *fps: str) -> DataFrame:
-    """(key, node) of nodes (node, fps...): the keys of each fingerprint, apart from those of the others."""
+def keyed(nodes: DataFrame, fp: str, *carried: str) -> DataFrame:
+    """(key, node, carried...) of nodes (node, fp, carried...): the keys of each fingerprint."""
 
     def make():
-        def step(node, *columns):
-            node, parts = np.array(node, np.int64), []
-            for n, column in enumerate(columns):
-                row, key = four_error_keys(np.array(column, np.int64).view(np.uint64))
-                parts.append((key | n << 61, node[row]))
-            return {c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("key", "node"))}
+        def step(node, fps, *others):
+            row, key = four_error_keys(np.array(fps, np.int64).view(np.uint64))
+            return {"key": key, "node": np.array(node, np.int64)[row], **{c: np.array(v, np.int64)[row] for c, v in zip(carried, others, strict=True)}}
 
         return step
 
-    return map_columns(nodes.select("node", *fps), make, "key long, node long")
+    return map_columns(nodes.select("node", fp, *carried), make, ", ".join(f"{c} long" for c in ("key", "node", *carried)))
 
 
-def shared_rows(rows: DataFrame) -> DataFrame:
+def shared_rows(rows: DataFrame, held=stored) -> DataFrame:
     """The rows whose key others have too. Only counts of keys are gathered by key; few enough keys are broadcast."""
-    keys = stored(rows.groupBy("key").count().where("count > 1").select("key"), "keys")
+    keys = held(rows.groupBy("key").count().where("count > 1").select("key"), "keys")
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    return stored(rows.join(keys, "key", "left_semi"), "shared-keys")
+    return held(rows.join(keys, "key", "left_semi"), "shared-keys")
 
 
-def linked(rows: DataFrame, verify, close=None, known: DataFrame | None = None, rounds: int = 2, finish: bool = True) -> DataFrame:
+def linked(rows: DataFrame, verify, close=None, known: DataFrame | None = None, finish: bool = True) -> DataFrame:
     """Edges (a, b), those known included, that connect what all verified pairs of rows (key, node) of one key connect;
-    verify(pairs) keeps the pairs (a, b) that count. With close, rows have a spot as well, and a pair is only verified if
-    close(spot, spot) holds under one of its keys. With a rank in rows, nodes of a low one are tried first.
+    verify(pairs, held) keeps the pairs (a, b) that count. With close, rows have a spot as well, and a pair is only
+    verified if close(spot, spot) holds under one of its keys.
 
-    Each round compares the members of a key with one of them, the centre: the first by rank whose component has had
-    no centre of this key. Pairs of members that are in different components after that are compared if finish is
-    set; otherwise they may be missing."""
+    The members of a key are first compared with one of them, its centre: the one with the least rank if rows have one, or
+    else the least node. Pairs of members that are in different components after that are compared if finish is set;
+    otherwise they may be missing."""
     spot = ["spot"] if close else []
     near = close or (lambda x, y: F.lit(True))
-    lead = F.struct("rank" if "rank" in rows.columns else F.lit(0).alias("rank"), "node", *spot).alias("lead")
-    shared = shared_rows(rows)
-    edges = known if known is not None else rows.sparkSession.createDataFrame([], "a long, b long")
-    part = components(edges) if known is not None else rows.sparkSession.createDataFrame([], "node long, component long")
-    last = None
-    for _ in range(rounds):
-        held = shared.join(part, "node", "left").select("key", "node", *spot, F.coalesce("component", "node").alias("component"), lead)
-        leads = held.groupBy("key", "component").agg(F.min("lead").alias("lead"))
-        if last is not None:
-            leads = leads.join(last.select("key", F.col("centre").alias("before")), "key").where("lead > before")
-        last = stored(leads.groupBy("key").agg(F.min(F.struct("lead.*", "component")).alias("first")).select("key", F.struct(*[f"first.{c}" for c in ("rank", "node", *spot)]).alias("centre"), F.col("first.component").alias("of")), "centres")
-        star = held.join(last, "key").where(F.col("component") != F.col("of"))
-        star = star.select("node", *spot, F.col("centre.node").alias("other"), *[F.col("centre.spot").alias("other_spot") for _ in spot])
-        star = star.where(near("spot", "other_spot")).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"))
-        edges = stored(edges.union(verify(star.distinct())), "star-edges")
-        part = components(edges)
-    if not finish:
-        return edges
-    held = shared.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), *spot)
-    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    held = stored(held.join(mixed, "key"), "open-keys")
-    x, y = held.toDF("key", "a", "part_a", *[f"{c}_a" for c in spot]), held.toDF("key", "b", "part_b", *[f"{c}_b" for c in spot])
-    rest = x.join(y, (x.key == y.key) & (x.a > y.b) & (x.part_a != y.part_b) & near("spot_a", "spot_b")).select("a", "b").distinct()
-    return stored(edges.union(verify(rest)), "links")
+    pair = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    lead = F.struct("rank" if "rank" in rows.columns else F.lit(0).alias("rank"), "node", *spot)
+    with scratch(rows.sparkSession) as held:
+        shared = shared_rows(rows, held)
+        part = components(known) if known is not None else None
+        if part is not None:
+            shared = shared.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        else:
+            shared = shared.withColumn("part", F.col("node"))
+        centres = shared.groupBy("key").agg(F.min(F.struct(lead.alias("lead"), "part")).alias("first")).select("key", "first.*")
+        star = shared.join(centres.select("key", "lead", F.col("part").alias("of")), "key").where(F.col("part") != F.col("of"))
+        star = star.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), *spot, *[F.col("lead.spot").alias("lead_spot") for _ in spot])
+        tried = held(star.where(near("spot", "lead_spot")).select(*pair).distinct(), "star-pairs")
+        edges = verify(tried, held)
+        if known is not None:
+            edges = edges.union(known)
+        if not finish:
+            return stored(edges, "links")
+        edges = held(edges, "star-edges")
+        open_ = shared.drop("part").join(components(edges), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"), *spot)
+        mixed = open_.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+        open_ = held(open_.join(mixed, "key"), "open-keys")
+        x, y = open_.toDF("key", "a", "part_a", *[f"{c}_a" for c in spot]), open_.toDF("key", "b", "part_b", *[f"{c}_b" for c in spot])
+        rest = x.join(y, (x.key == y.key) & (x.a > y.b) & (x.part_a != y.part_b) & near("spot_a", "spot_b")).select("a", "b").distinct()
+        return stored(edges.union(verify(rest.join(tried, ["a", "b"], "left_anti"), held)), "links")
 
 
 def overlapping(similarity: float):
@@ -207,7 +209,7 @@ def overlapping(similarity: float):
 
 def within(distance: int):
     """A filter of pairs of nodes that are fingerprints themselves."""
-    return lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return lambda pairs, held: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,6 +249,13 @@ def shingle_set(text: str, k: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(folded_words(text), k), np.uint64)).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bitmap of the shingles modulo SKETCH: what it has and another has not is in the one set alone."""
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[shingles & (SKETCH - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts), by hash: the shingles of COMMON texts or more in a sample of texts (text), COMMON_MOST at most."""
 
@@ -309,10 +318,24 @@ def text_classes(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_
 def similar(texts: DataFrame, named: DataFrame, k: int, similarity: float):
     """A filter of pairs (a, b) of nodes: those with sets of k-word shingles of that Jaccard similarity or more. texts
     (doc_id, raw, text) are read for one document (named: node, raw, one_id) of each node that is in a pair; few enough
-    of them are broadcast, so no text moves."""
+    of them are broadcast, so no text moves. Sketches of the sets rule most pairs out before sets meet."""
 
     def shingles():
-        return lambda nodes, texts: {"node": nodes, "shingles": [shingle_set(t, k) for t in texts]}
+        def step(nodes, texts):
+            sets = [shingle_set(t, k) for t in texts]
+            return {"node": nodes, "n": [len(x) for x in sets], "bits": [sketch(x) for x in sets], "shingles": sets}
+
+        return step
+
+    def possible():
+        def step(a, b, m, n, x, y):
+            m, n, x, y = np.array(m), np.array(n), *(np.frombuffer(b"".join(z), np.uint8).reshape(len(a), -1) for z in (x, y))
+            apart = lambda p, q: np.bitwise_count(p & ~q).sum(1, dtype=np.int64)  # noqa: E731  shingles of one that the other has not, at least
+            most = np.minimum(m - apart(x, y), n - apart(y, x))
+            keep = np.flatnonzero(most >= similarity * (m + n - most))
+            return {"a": np.array(a, np.int64)[keep], "b": np.array(b, np.int64)[keep]}
+
+        return step
 
     def judged():
         def step(a, b, x, y):
@@ -324,18 +347,21 @@ def similar(texts: DataFrame, named: DataFrame, k: int, similarity: float):
 
         return step
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "candidates")
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = stored(named.join(used, "node"), "wanted")
+    def verify(pairs: DataFrame, held) -> DataFrame:
+        pairs = held(pairs, "candidates")
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = held(named.join(used, "node"), "wanted")
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
-        held = texts.join(wanted, (texts.raw == wanted.raw) & texts.doc_id.eqNullSafe(wanted.one_id)).select("node", "text")
-        sets = stored(map_columns(held, shingles, "node long, shingles array<long>"), "shingles")
+        rows = texts.join(wanted, (texts.raw == wanted.raw) & texts.doc_id.eqNullSafe(wanted.one_id)).select("node", "text")
+        sets = held(map_columns(rows, shingles, "node long, n long, bits binary, shingles array<long>"), "shingles")
+        small, sets = sets.select("node", "n", "bits"), sets.select("node", "shingles")
+        both = pairs.join(small.toDF("a", "m", "x"), "a").join(small.toDF("b", "n", "y"), "b")
+        pairs = held(map_columns(both.select("a", "b", "m", "n", "x", "y"), possible, "a long, b long"), "possible")
+        if (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+            sets = F.broadcast(sets)
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        # sets of very unequal sizes cannot be similar
-        both = both.where(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
-        return map_columns(both.select("a", "b", "x", "y"), judged, "a long, b long, keep boolean").where("keep").select("a", "b")
+        return held(map_columns(both.select("a", "b", "x", "y"), judged, "a long, b long, keep boolean").where("keep").select("a", "b"), "verified")
 
     return verify
 
@@ -351,11 +377,13 @@ def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id
     known = stored(text_classes(docs, k, similarity, id_col, text_col), "text-classes")
     texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("raw"), "text")
     named = known.groupBy("node").agg(F.min(F.struct("raw", "doc_id")).alias("one")).select("node", "one.raw", F.col("one.doc_id").alias("one_id"))
-    verify = similar(texts, named, k, similarity)
-    near = linked(keyed(spread(known.select("node", "fp").distinct(), "node"), "fp"), verify, rounds=1, finish=False)
+    named = stored(named, "nodes")
+    verify, near, length = similar(texts, named, k, similarity), overlapping(similarity), F.shiftleft("n", 32)
+    fuzzy = keyed(spread(known.select("node", "fp", length.alias("spot")).distinct(), "node"), "fp", "spot")
+    edges = linked(fuzzy, verify, near, finish=False)
     keys = known.dropDuplicates(["node"]).select("node", "n", "rank", F.posexplode("keys").alias("place", "key"))
-    keys = keys.select("key", "node", "rank", F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("spot"))
-    parts = components(linked(keys, verify, overlapping(similarity), near))
+    keys = keys.select("key", "node", "rank", length.bitwiseOR(F.col("place").cast("long")).alias("spot"))
+    parts = components(linked(keys, verify, near, edges))
     placed = known.join(parts, "node", "left").select("doc_id", "raw", F.coalesce("component", "node").alias("part"))
     best = placed.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.raw").alias("kept_raw"))
