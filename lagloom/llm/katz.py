@@ -80,14 +80,9 @@ class Unigrams:
 class Known:
     """The frequent words: hashes in order and counts. A word's code is its place among them, or -1 - hash."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, uni: Unigrams, buckets: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, uni: Unigrams, buckets: int, least: int):
         self.hashes, self.counts, self.uni, self.buckets = hashes, counts, uni, buckets
-
-    def __getstate__(self):
-        return self.hashes, self.counts, self.uni, self.buckets
-
-    def __setstate__(self, state):
-        self.hashes, self.counts, self.uni, self.buckets = state
+        self.least = least  # every word of so many is known
 
     def coder(self):
         hashes, memo = array("q", self.hashes.tobytes()), {}
@@ -149,10 +144,11 @@ def known_words(counts: DataFrame, n_docs: int, uni: Unigrams, most: int) -> Kno
     """The most frequent words, at most `most`, and the beginning with its count as a history."""
     rows = most_frequent(counts, most, "c").select("word", "c").toArrow()
     hashes, c = (rows[n].to_numpy().astype(np.int64) for n in ("word", "c"))
+    least = int(c.min()) if len(c) else 1 << 62
     hashes, c = np.append(hashes, word_hash(BEGIN)), np.append(c, n_docs)
     order = np.argsort(hashes)
     pairs = max(1, (uni.n + n_docs) * 10 // 9)
-    return Known(hashes[order], c[order], uni, max(1, -(-pairs // BUCKET)))
+    return Known(hashes[order], c[order], uni, max(1, -(-pairs // BUCKET)), least)
 
 
 REQUEST = (
@@ -223,8 +219,9 @@ def _requests(docs: DataFrame, known) -> DataFrame:
 
 #: What buckets return, packed: k1, k2, k3 and x mean by kind
 #:   info: ids, token counts, known words, base terms of a chunk's documents
-#:   sums: of a chunk's documents, the log terms of seen pairs (x) and pairs by count 1..5 and above (k3)
-#:   bigram: history codes (k1), next codes (k2), run lengths and counts (k3)
+#:   sums: of those of a chunk's documents that have pairs in the bucket, places (each less the one before) and pairs by
+#:     count 1..5 and above (k3), the log terms of seen pairs (x)
+#:   bigram: history codes (k1), next codes (each less the one before, k2), run lengths and counts (k3)
 #:   history: hashes (k1), their count and that of pairs above the cutoff (k2), pairs seen 1..6 times (k3), p of seen words (x)
 #:   rare_next: pairs seen whose next word is not a known one: history, word
 #:   unseen: unseen pairs of seen histories: history, document
@@ -272,7 +269,7 @@ def _count(known):
 
         seen = c > 0
         # model tables
-        add("bigram", h, pw[seen], np.concatenate([np.add.reduceat(seen.astype(np.int64), hist), np.minimum(c[seen], 2**31 - 1)]))
+        add("bigram", h, np.diff(pw[seen], prepend=0), np.concatenate([np.add.reduceat(seen.astype(np.int64), hist), np.minimum(c[seen], 2**31 - 1)]))
         classes = np.stack([np.add.reduceat((c == r).astype(np.int64), hist) for r in range(1, CUTOFF + 2)], axis=1)
         p = np.where(seen & (pw >= 0), 10.0 ** log_p[np.maximum(pw, 0)], 0.0)
         live = ch > 0
@@ -285,9 +282,11 @@ def _count(known):
         log_seen = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(ch[of_pair], 1)), np.where(pw >= 0, log_p[np.maximum(pw, 0)], 0.0))
         total = np.bincount(doc, np.repeat(log_seen, times), base[-1])
         level = np.repeat(np.minimum(c, CUTOFF + 1), times)
-        by_level = np.bincount(doc * (CUTOFF + 2) + level, minlength=int(base[-1]) * (CUTOFF + 2)).reshape(-1, CUTOFF + 2)[:, 1:]
+        by_level = np.bincount(doc * (CUTOFF + 2) + level, minlength=int(base[-1]) * (CUTOFF + 2)).reshape(-1, CUTOFF + 2)
+        here = by_level.any(axis=1)
         for chunk, a, b in zip(rows.chunk, base, base[1:], strict=False):
-            add("sums", k3=by_level[a:b].ravel(), x=total[a:b], chunk=int(chunk))
+            places = np.flatnonzero(here[a:b])
+            add("sums", k3=np.concatenate([np.diff(places, prepend=0), by_level[a:b][places, 1:].T.ravel()]), x=total[a:b][places], chunk=int(chunk))
         missed = np.repeat(~seen & live[of_pair], times)
         add("unseen", np.repeat(k.hash_of(h)[of_pair], times)[missed], keys[doc[missed]])
         rare = w < 0
@@ -304,8 +303,9 @@ def _chunk_sums(rows: pd.DataFrame) -> pd.DataFrame:
     n = len(info.k2)
     total, levels = np.zeros(n), np.zeros((n, CUTOFF + 1), np.int64)
     for k3, x in zip(sums.k3, sums.x, strict=True):
-        total += x
-        levels += np.asarray(k3).reshape(n, -1)
+        places = np.cumsum(k3[: len(x)])
+        total[places] += x
+        levels[places] += np.asarray(k3[len(x) :]).reshape(-1, len(x)).T
     out = {"key": (chunk << 16) + np.arange(n), "doc_id": pd.array(list(info.k1), dtype="Int64"), "n_tokens": info.k2, "n_known": info.k3, "base": info.x, "total": total}
     return pd.DataFrame(out | {"levels": list(levels)})
 
@@ -313,8 +313,8 @@ def _chunk_sums(rows: pd.DataFrame) -> pd.DataFrame:
 class KatzModel:
     """The stored tables of a fitted model, and the answers for the documents it was fitted beside."""
 
-    def __init__(self, unigrams: DataFrame, answers: DataFrame, uni: Unigrams):
-        self.unigrams, self.answers, self.uni = unigrams, answers, uni
+    def __init__(self, unigrams: DataFrame, answers: DataFrame, uni: Unigrams, least_known: int):
+        self.unigrams, self.answers, self.uni, self.least_known = unigrams, answers, uni, least_known
         kind = lambda k: answers.where(F.col("kind") == k)
         self.bigrams = kind("bigram").select("bucket", "k1", "k2", "k3")
         pair = lambda k, a, b: kind(k).select(F.explode(F.arrays_zip(F.col("k1").alias(a), F.col("k2").alias(b))).alias("x")).select("x.*")
@@ -335,7 +335,39 @@ class KatzModel:
         whole = whole.join(rest, "history", "left").withColumn("left", 1 - kept)
         #: (history, c, log_weight): log10 of the backoff weight
         self.backoff = whole.select("history", "c", F.log10(F.col("left") / (1 - F.col("p_seen") - F.coalesce("p_rare", F.lit(0.0)))).alias("log_weight"))
-        self.unseen, self.rare = pair("unseen", "history", "key"), kind("rare").select(F.explode(F.arrays_zip("k1", "k2", "k3")).alias("x")).select(F.col("x.k1").alias("word"), F.col("x.k2").alias("key"), F.col("x.k3").alias("unseen"))
+        self.backoff = stored(self.backoff, "backoff")
+        self.unseen, self.rare = kind("unseen").select("k1", "k2"), kind("rare").select(F.explode(F.arrays_zip("k1", "k2", "k3")).alias("x")).select(F.col("x.k1").alias("word"), F.col("x.k2").alias("key"), F.col("x.k3").alias("unseen"))
+
+    def backed_off(self) -> DataFrame:
+        """(key, weights): the sums of the log weights of documents' unseen pairs. Those of known words, as many at most as
+        are known, are added up where the pairs are; others meet their weights by history."""
+        rows = self.backoff.where((F.col("c") >= self.least_known) | (F.col("history") == word_hash(BEGIN))).select("history", "log_weight").toArrow()
+        hashes, weights = rows["history"].to_numpy().astype(np.int64), rows["log_weight"].to_numpy().astype(np.float64)
+        order = np.argsort(hashes)
+        known = self.unseen.sparkSession.sparkContext.broadcast((hashes[order], weights[order]))
+
+        def make():
+            hashes, weights = known.value
+
+            def step(histories, keys):
+                out: dict[str, list] = {"key": [], "weights": [], "history": []}
+                for h, key in zip(histories, keys, strict=True):
+                    h, key = np.array(h, np.int64), np.array(key, np.int64)
+                    if not len(h):
+                        continue
+                    at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+                    here = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+                    one, place = np.unique(key[here], return_inverse=True)
+                    out["key"] += [*one.tolist(), *key[~here].tolist()]
+                    out["weights"] += [*np.bincount(place, weights[at[here]], len(one)).tolist(), *[0.0] * int((~here).sum())]
+                    out["history"] += [*[None] * len(one), *h[~here].tolist()]
+                return out
+
+            return step
+
+        sums = map_columns(self.unseen, make, "key long, weights double, history long")
+        rare = sums.where("history IS NOT NULL").join(self.backoff, "history").select("key", F.col("log_weight").alias("weights"))
+        return sums.where("history IS NULL").select("key", "weights").union(rare).groupBy("key").agg(F.sum("weights").alias("weights"))
 
     def scores(self) -> DataFrame:
         """(doc_id, n_tokens, n_known, base_score, score)."""
@@ -344,7 +376,7 @@ class KatzModel:
         )
         logs = [math.log10(d) for d in (*self.d, 1 - TAIL)]
         seen = F.col("total") + sum(F.get("levels", r) * x for r, x in enumerate(logs))
-        backed = self.unseen.groupBy("history", "key").count().join(self.backoff, "history").groupBy("key").agg(F.sum(F.col("count") * F.col("log_weight")).alias("weights"))
+        backed = self.backed_off()
         c = F.coalesce("c", F.lit(0))
         odd = self.rare.groupBy("word", "key").agg(F.count("*").alias("n"), F.sum("unseen").alias("unseen")).join(self.unigrams, "word", "left").groupBy("key").agg(
             F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known_rare"), F.sum(F.col("n") * F.log10(c + 0.1)).alias("base_rare"),
@@ -369,7 +401,7 @@ def fit(docs: DataFrame, known_most: int = KNOWN_WORDS, id_col: str = "doc_id",
     n_docs = training.count()
     known = docs.sparkSession.sparkContext.broadcast(known_words(unigrams, n_docs, uni, known_most))
     answers = stored(_requests(texts, known).groupBy("bucket").applyInPandas(_count(known), ANSWER), "answers", "kind")
-    return KatzModel(unigrams, answers, uni)
+    return KatzModel(unigrams, answers, uni, known.value.least)
 
 
 def score_texts(docs: DataFrame, known_most: int = KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
