@@ -19,12 +19,23 @@ def arrays(panel: DataFrame, *keys: str) -> DataFrame:
     return packed.select(*keys, "series", F.col("p.v").alias("x"))
 
 
+def _complex_rows(arrays_: DataFrame, place: str) -> DataFrame:
+    """Rows of (keys..., re, im) with arrays spread over their places."""
+    keys = [c for c in arrays_.columns if c not in ("re", "im")]
+    rows = arrays_.select(*keys, F.posexplode(F.arrays_zip("re", "im")).alias(place, "z"))
+    return rows.select(*keys, place, "z.re", "z.im")
+
+
 def dft(panel: DataFrame) -> DataFrame:
-    """(series, f, re, im): the discrete Fourier transform; lengths are short, so sums over time are taken directly."""
-    n = panel.groupBy("series").agg(F.max("t").alias("last"))
-    rows = panel.join(n, "series").select("series", "t", "v", (F.col("last") + 1).alias("n"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("f"))
-    angle = 2 * np.pi * F.pmod(F.col("f") * F.col("t"), F.col("n")) / F.col("n")
-    return rows.groupBy("series", "f").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(-F.col("v") * F.sin(angle)).alias("im"))
+    """(series, f, re, im): the discrete Fourier transform of each series, as an array."""
+    kind = panel.schema["series"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            z = [np.fft.fft(np.asarray(x, float)) for x in df.x]
+            yield pd.DataFrame({"series": df.series, "re": [x.real for x in z], "im": [x.imag for x in z]})
+
+    return _complex_rows(arrays(panel).select("series", "x").mapInPandas(run, f"series {kind}, re array<double>, im array<double>"), "f")
 
 
 def inverse_dft(spectrum: DataFrame) -> DataFrame:
@@ -51,13 +62,19 @@ def circulant_adjoint(entries: DataFrame, n: int) -> DataFrame:
     return entries.groupBy("series", F.pmod(F.col("b") - F.col("a"), F.lit(n)).cast("int").alias("t")).agg(F.sum("v").alias("v"))
 
 
-def bispectrum(spectrum: DataFrame, n: int) -> DataFrame:
-    """(series, f1, f2, re, im) of x[f1] conj(x[f2]) x[f2 - f1]."""
-    a, b, c = (spectrum.select("series", F.col("f").alias(f), F.col("re").alias(f"re_{f}"), F.col("im").alias(f"im_{f}")) for f in ("f1", "f2", "f3"))
-    rows = a.join(b, "series").withColumn("f3", F.pmod(F.col("f2") - F.col("f1"), F.lit(n)).cast("int")).join(c, ["series", "f3"])
-    re = F.col("re_f1") * F.col("re_f2") + F.col("im_f1") * F.col("im_f2")
-    im = F.col("im_f1") * F.col("re_f2") - F.col("re_f1") * F.col("im_f2")
-    return rows.select("series", "f1", "f2", (re * F.col("re_f3") - im * F.col("im_f3")).alias("re"), (re * F.col("im_f3") + im * F.col("re_f3")).alias("im"))
+def bispectrum(spectrum: DataFrame) -> DataFrame:
+    """(series, f1, f2, re, im) of x[f1] conj(x[f2]) x[f2 - f1]: a series' spectrum is one array, a frequency's row one more."""
+    kind = spectrum.schema["series"].dataType.simpleString()
+    whole = spectrum.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("f", "re", "im"))).alias("z")).select("series", "z.re", "z.im")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for series, re, im in zip(df.series, df.re, df.im, strict=True):
+                x = np.asarray(re) + 1j * np.asarray(im)
+                rows = [x[f] * np.conj(x) * np.roll(x, f) for f in range(len(x))]
+                yield pd.DataFrame({"series": series, "f1": np.arange(len(x), dtype=np.int32), "re": [r.real for r in rows], "im": [r.imag for r in rows]})
+
+    return _complex_rows(whole.mapInPandas(run, f"series {kind}, f1 int, re array<double>, im array<double>"), "f2")
 
 
 def invariants(obs: DataFrame, n: int, weight: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

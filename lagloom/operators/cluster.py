@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagloom.operators.align import assignment, lags_to_reference
+from lagloom.operators.align import DIGITS, assignment, lags_to_reference
 
 
 def negative_share(pairs: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def nearest_signal(panel: DataFrame, signals: DataFrame, n: int, max_lag: int |
     """(series, cls, lag, score): the signal (cls, t, v) with the largest score at its best lag; the least cls of equals."""
     m = max_lag or n // 2
     each = lags_to_reference(panel, signals, list(range(-m, m)), n)
-    best = each.groupBy("series").agg(F.max_by(F.struct("cls", "lag", "score"), F.struct("score", -F.col("cls"))).alias("b"))
+    best = each.groupBy("series").agg(F.max_by(F.struct("cls", "lag", "score"), F.struct(F.round("score", DIGITS), -F.col("cls"))).alias("b"))
     return best.select("series", "b.cls", "b.lag", "b.score")
 
 

@@ -199,33 +199,25 @@ def _(spark, d):
     return rounded(S.inverse_dft(S.dft(nation_returns(spark, d))), "v")
 
 
-SMALL = "small AS (SELECT series, t, v FROM rets WHERE series < 4 AND t < 12)"
-
-
-def small(spark, d):
-    return nation_returns(spark, d).where("series < 4 AND t < 12")
-
-
-@query("circulant", f"{R}, {SMALL} SELECT series, a, ((a + t) % 12)::INT AS b, round(v, 6) AS v FROM small, (SELECT unnest(range(0, 12))::INT AS a)")
+@query("circulant", f"{R}, len AS (SELECT max(t) + 1 AS n FROM rets) SELECT series, a, ((a + t) % n)::INT AS b, round(v, 6) AS v FROM rets, len, (SELECT unnest(range(0, (SELECT n FROM len)))::INT AS a)")
 def _(spark, d):
-    return rounded(S.circulant(small(spark, d)), "v")
+    return rounded(S.circulant(nation_returns(spark, d)), "v")
 
 
-@query("circulant_adjoint", f"{R}, {SMALL} SELECT series, t, round(12 * v, 6) AS v FROM small")
+@query("circulant_adjoint", f"{R} SELECT series, t, round((SELECT max(t) + 1 FROM rets) * v, 6) AS v FROM rets")
 def _(spark, d):
-    return rounded(S.circulant_adjoint(S.circulant(small(spark, d)), 12), "v")
+    r = nation_returns(spark, d)
+    return rounded(S.circulant_adjoint(S.circulant(r), r.agg(F.max("t")).first()[0] + 1), "v")
 
 
-SSPEC = f"""{R}, {SMALL}, sspec AS (
-  SELECT series, f, sum(v * cos(2 * pi() * ((f * t) % 12) / 12)) AS re, sum(-v * sin(2 * pi() * ((f * t) % 12) / 12)) AS im FROM small, (SELECT unnest(range(0, 12))::INT AS f) GROUP BY 1, 2),
-bis AS (SELECT a.series, a.f AS f1, b.f AS f2,
+BISPECTRUM = f"""{D}, bis AS (SELECT a.series, a.f AS f1, b.f AS f2,
   (a.re * b.re + a.im * b.im) * c.re - (a.im * b.re - a.re * b.im) * c.im AS re, (a.re * b.re + a.im * b.im) * c.im + (a.im * b.re - a.re * b.im) * c.re AS im
-  FROM sspec a JOIN sspec b ON a.series = b.series JOIN sspec c ON c.series = a.series AND c.f = ((b.f - a.f) % 12 + 12) % 12)"""
+  FROM spec a CROSS JOIN len JOIN spec b ON a.series = b.series JOIN spec c ON c.series = a.series AND c.f = ((b.f - a.f) % n + n) % n)"""
 
 
-@query("bispectrum", f"{SSPEC} SELECT series, f1, f2, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM bis")
+@query("bispectrum", f"{BISPECTRUM} SELECT series, f1, f2, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM bis")
 def _(spark, d):
-    return rounded(S.bispectrum(S.dft(small(spark, d)), 12), "re", "im")
+    return rounded(S.bispectrum(S.dft(nation_returns(spark, d))), "re", "im")
 
 
 @query("invariant_mean", f"{R} SELECT round(avg(v), 9) + 0.0 AS mean FROM rets")
@@ -242,9 +234,11 @@ def _(spark, d):
     return rounded(S.invariants(obs, n)[1], "p")
 
 
-@query("invariant_bispectrum", f"{SSPEC} SELECT f1, f2, round(avg(re), 6) + 0.0 AS re, round(avg(im), 6) + 0.0 AS im FROM bis GROUP BY 1, 2")
+@query("invariant_bispectrum", f"{BISPECTRUM} SELECT f1, f2, round(avg(re), 6) + 0.0 AS re, round(avg(im), 6) + 0.0 AS im FROM bis GROUP BY 1, 2")
 def _(spark, d):
-    return rounded(S.invariants(S.arrays(small(spark, d)), 12)[2], "re", "im")
+    obs = S.arrays(nation_returns(spark, d))
+    n = obs.select(F.size("x")).first()[0]
+    return rounded(S.invariants(obs, n)[2], "re", "im")
 
 
 @query("invariant_power_weighted", f"{D} SELECT f, round(sum((series + 1) * (re * re + im * im)) / sum(series + 1), 6) AS p FROM spec GROUP BY 1")
