@@ -90,4 +90,4 @@ def simulated_bundle(spark: SparkSession, n: int, copies: int, sigma: float, see
     shifted, truth = observations(signal, [copies], n, -1, 0.0, seed=seed)
     noisy, _ = observations(signal, [copies], n, -1, sigma, seed=seed)
     spectrum = spectral.dft(noisy)
-    return {"signal": signal, "truth": truth, "shifted": shifted, "noisy": noisy, "dft": spectrum, "power": spectral.power(spectrum), "bispectrum": spectral.bispectrum(spectrum, n)}
+    return {"signal": signal, "truth": truth, "shifted": shifted, "noisy": noisy, "dft": spectrum, "power": spectral.power(spectrum), "bispectrum": spectral.bispectrum(spectrum)}

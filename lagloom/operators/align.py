@@ -6,6 +6,7 @@ on the order of a sum. Linear scores do not wrap, search -m to m, and are positi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from lagloom.functions.spectral import arrays
 
 PAIRS = "i long, j long, lag int, score double"
+#: Values of references that a task holds at once.
+REFERENCES = 4_000_000
 #: Decimals of a score that count when the largest is chosen.
 DIGITS = 9
 
@@ -37,15 +40,18 @@ def pair_scores(a: np.ndarray, b: np.ndarray, max_lag: int, circular: bool = Tru
     return lags[best], np.take_along_axis(all_, best[None], axis=0)[0]
 
 
-def lag_pairs(panel: DataFrame, max_lag: int, circular: bool = True, block: int = 256) -> DataFrame:
+def lag_pairs(panel: DataFrame, max_lag: int, circular: bool = True, block: int = 256, key: str | None = None) -> DataFrame:
     """(i, j, lag, score) of all pairs i < j. Series are dealt to blocks and every two blocks meet in one task, so the
-    work spreads over block pairs and a task holds two blocks of arrays, however many series there are."""
-    obs = arrays(panel).select(F.col("series").cast("long").alias("series"), "x")
-    blocks = max(1, -(-obs.count() // block))
+    work spreads over block pairs and a task holds two blocks of arrays, however many series there are. With a key (such
+    as the start of a window), pairs are those of one key, which comes first in the result."""
+    keys = [key] if key else []
+    obs = arrays(panel, *keys).select(*keys, F.col("series").cast("long").alias("series"), "x")
+    sizes = obs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    blocks = max(1, -(-sizes // block))
     here = F.pmod(F.xxhash64("series"), F.lit(blocks)).cast("int")
     # a block goes to each pair of blocks that it is in
     sent = obs.withColumn("b", here).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = sent.select("series", "x", "b", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"))
+    sent = sent.select(*keys, "series", "x", "b", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"))
 
     def meet(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("series")
@@ -60,9 +66,13 @@ def lag_pairs(panel: DataFrame, max_lag: int, circular: bool = True, block: int
             out.append(pd.DataFrame({"i": i[r], "j": j[c], "lag": lag[r, c].astype(np.int32), "score": score[r, c]}))
             if df.p.iloc[0] == df.q.iloc[0]:
                 break
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "lag": [], "score": []})
+        found = pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "lag": [], "score": []})
+        if key:
+            found.insert(0, key, df[key].iloc[0])
+        return found
 
-    return sent.groupBy("p", "q").applyInPandas(meet, PAIRS)
+    fields = f"{key} {panel.schema[key].dataType.simpleString()}, {PAIRS}" if key else PAIRS
+    return sent.groupBy(*keys, "p", "q").applyInPandas(meet, fields)
 
 
 def best_lag(scores: DataFrame, *keys: str) -> DataFrame:
@@ -72,11 +82,39 @@ def best_lag(scores: DataFrame, *keys: str) -> DataFrame:
 
 
 def lags_to_reference(panel: DataFrame, reference: DataFrame, lags: list[int], n: int) -> DataFrame:
-    """(cls, series, lag, score) of every series against every reference (cls, t, v): circular, over the given lags."""
-    ref = reference.select("cls", F.col("t").alias("rt"), F.col("v").alias("rv"), F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"))
-    ref = ref.withColumn("t", F.pmod(F.col("rt") + F.col("lag"), F.lit(n)).cast("int"))
-    scores = panel.join(F.broadcast(ref), "t").groupBy("cls", "series", "lag").agg(F.sum(F.col("v") * F.col("rv")).alias("score"))
-    return best_lag(scores, "cls", "series")
+    """(cls, series, lag, score) of every series against every reference (cls, t, v): circular, over the given lags.
+
+    Series are arrays; a batch of them meets all references in one matrix product a lag. Tasks hold REFERENCES values of
+    references at a time, in as many passes as that takes."""
+    order = np.array(sorted(lags))
+    whole = arrays(reference.withColumnRenamed("cls", "series"))
+    width = max(1, REFERENCES // n)
+    passes = max(1, -(-whole.count() // width))
+    obs = arrays(panel).select("series", "x")
+    kind = ", ".join(f"{c} {t.simpleString()}" for c, t in (("cls", reference.schema["cls"].dataType), ("series", panel.schema["series"].dataType)))
+
+    def scores(part: pd.DataFrame):
+        names, refs = part.series.to_numpy(), np.array(part.x.to_list(), float)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                x = np.array(df.x.to_list(), float)
+                for at in range(0, len(x), 256):  # a bounded block of scores at a time
+                    all_ = np.stack([rolled(x[at : at + 256], int(d)) @ refs.T for d in order])
+                    best = all_.round(DIGITS).argmax(axis=0)
+                    score = np.take_along_axis(all_, best[None], axis=0)[0]
+                    rows = np.repeat(df.series.to_numpy()[at : at + 256], len(names))
+                    yield pd.DataFrame({"cls": np.tile(names, len(best)), "series": rows, "lag": order[best].ravel().astype(np.int32), "score": score.ravel()})
+
+        return run
+
+    out = None
+    for k in range(passes):
+        part = whole.where(F.pmod(F.xxhash64("series"), F.lit(passes)) == k).toPandas()  # about REFERENCES numbers
+        if len(part):
+            found = obs.mapInPandas(scores(part), f"{kind}, lag int, score double")
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else panel.sparkSession.createDataFrame([], f"{kind}, lag int, score double")
 
 
 def shifted(panel: DataFrame, lags: DataFrame, n: int, circular: bool = True, sign: int = 1) -> DataFrame:

@@ -54,14 +54,21 @@ def _(spark, d):
     return rounded(A.lag_pairs(nation_z(spark, d), M, circular=False), "score")
 
 
-@query("lag_matrix_embeddings", f"""{E}, z AS (SELECT series, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM vecs WINDOW w AS (PARTITION BY series)), {LAGS_SQL}
-SELECT i, j, lag::INT AS lag, round(score, 6) + 0.0 AS score FROM best""")
+def vector_lags_sql(m: int) -> str:
+    """The lags of all pairs of vectors, scores by products of turned lists."""
+    return f"""{E}, z AS (SELECT series, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM vecs WINDOW w AS (PARTITION BY series)),
+x AS (SELECT series, list(v ORDER BY t) AS x FROM z GROUP BY 1),
+turned AS (SELECT series, l AS lag, x[((l % len(x) + len(x)) % len(x)) + 1:] || x[:(l % len(x) + len(x)) % len(x)] AS x FROM x, (SELECT unnest(range(-{m}, {m})) AS l)),
+scores AS (SELECT a.series AS i, b.series AS j, a.lag, list_dot_product(a.x, b.x) AS score FROM turned a JOIN x b ON a.series < b.series)
+SELECT i, j, lag::INT AS lag, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY round(score, 9) DESC, lag) AS r FROM scores) WHERE r = 1"""
+
+
+@query("lag_matrix_embeddings", vector_lags_sql(M))
 def _(spark, d):
     return rounded(A.lag_pairs(P.zscored(src.embedding_series(spark, d)), M), "score")
 
 
-@query("lag_matrix_all_embeddings", f"""{E}, z AS (SELECT series, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM vecs WINDOW w AS (PARTITION BY series)), {LAGS_SQL.replace("range(-3, 3)", "range(-5, 5)")}
-SELECT i, j, lag::INT AS lag, round(score, 6) + 0.0 AS score FROM best""")
+@query("lag_matrix_all_embeddings", vector_lags_sql(5))
 def _(spark, d):
     """Every pair of all vectors over ten lags: the heavy one."""
     return rounded(A.lag_pairs(P.zscored(src.embedding_series(spark, d)), 5), "score")

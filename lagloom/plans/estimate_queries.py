@@ -11,7 +11,7 @@ from lagloom.functions import synth
 from lagloom.operators import estimate as E
 from lagloom.operators import evaluate as V
 from lagloom.plans import experiments as X
-from lagloom.plans.panel_queries import nation_returns
+from lagloom.plans.panel_queries import R, nation_returns, rounded
 from lagloom.plans.registry import query
 
 LENGTH = 15
@@ -38,9 +38,10 @@ def _(spark, d):
     return out
 
 
-@query("train_test_split")
+@query("train_test_split", f"{R} SELECT series, t, round(v, 9) + 0.0 AS v, CASE WHEN t < floor(0.5 * ((SELECT max(t) FROM rets) + 1)) THEN 'train' ELSE 'test' END AS split FROM rets")
 def _(spark, d):
-    return synth.split_in_time(nation_returns(spark, d), 0.5, 78)
+    r = nation_returns(spark, d)
+    return rounded(synth.split_in_time(r, 0.5, r.agg(F.max("t")).first()[0] + 1), "v", digits=9)
 
 
 @query("discrete_sample")
@@ -67,9 +68,10 @@ def _(spark, d):
 
 @query("latent_signal_nations")
 def _(spark, d):
-    """The signals behind the standardised returns of nations, for one to three classes."""
-    z = P.zscored(nation_returns(spark, d)).where("t < 24")
-    return E.signals_of(E.best_starts(E.estimate(z, 24, 1.0, [1, 2, 3], starts=2)))
+    """The signals behind the standardised quarterly returns of nations, for one to three classes."""
+    quarters = nation_returns(spark, d).groupBy("series", F.floor(F.col("t") / 3).cast("int").alias("t")).agg(F.sum("v").alias("v"))
+    z = P.zscored(quarters)
+    return E.signals_of(E.best_starts(E.estimate(z, z.agg(F.max("t")).first()[0] + 1, 1.0, [1, 2, 3], starts=2)))
 
 
 @query("em_homogeneous")

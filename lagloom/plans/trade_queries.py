@@ -146,9 +146,10 @@ def _(spark, d):
 VOL = "vol AS (SELECT series, 1 / nullif(stddev_samp(v), 0) AS w FROM rets WHERE t >= 30 AND t < 50 GROUP BY 1), iv AS (SELECT series, least(greatest(w, (SELECT quantile_cont(w, 0.05) FROM vol)), (SELECT quantile_cont(w, 0.95) FROM vol)) AS weight FROM vol)"
 
 
-@query("volatility", f"{R} SELECT series, round(stddev_samp(v), 6) AS sd, round(var_samp(v), 6) AS variance, round(avg(v * v), 6) AS square FROM rets WHERE t >= 30 AND t < 50 GROUP BY 1")
+@query("volatility", f"{R} SELECT series, round(stddev_samp(v), 6) AS sd, round(var_samp(v), 6) AS variance, round(avg(v * v), 6) AS square FROM rets WHERE t > (SELECT max(t) FROM rets) - 20 GROUP BY 1")
 def _(spark, d):
-    past = nation_returns(spark, d).where("t >= 30 AND t < 50")
+    r = nation_returns(spark, d)
+    past = r.where(F.col("t") > r.agg(F.max("t")).first()[0] - 20)
     return rounded(past.groupBy("series").agg(F.stddev_samp("v").alias("sd"), F.var_samp("v").alias("variance"), F.avg(F.col("v") * F.col("v")).alias("square")), "sd", "variance", "square")
 
 
@@ -287,14 +288,15 @@ def _(spark, d):
     return rounded(T.rolled_up(p), "total", digits=4)
 
 
-WALK = f"{R}, w AS (SELECT i::INT AS start, (i + 30)::INT AS stop FROM (SELECT unnest(range(0, 40, 10)) AS i))"
+WALK = f"{R}, w AS (SELECT i::INT AS start, (i + 30)::INT AS stop FROM (SELECT unnest(range(0, (SELECT greatest(0, max(t) + 1 - 30) + 1 FROM rets)::INT, 10)) AS i))"
 
 
 @query("walk_forward_windows", f"{WALK} SELECT start, stop AS \"end\", series, count(*) AS n, round(avg(v), 6) + 0.0 AS mean FROM w JOIN rets ON t >= start AND t < stop GROUP BY 1, 2, 3")
 def _(spark, d):
-    from lagloom.plans.walk import in_windows, windows
+    from lagloom.plans.walk import in_windows, whole_schedule
 
-    r = in_windows(nation_returns(spark, d), windows(spark, 0, 40, 30, 10))
+    r = nation_returns(spark, d)
+    r = in_windows(r, whole_schedule(r, 30, 10))
     return rounded(r.groupBy("start", "end", "series").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), "mean")
 
 
@@ -303,7 +305,45 @@ b AS (SELECT start, stop, arg_max(series, (round(m, 9), -series)) AS series FROM
 def _(spark, d):
     from lagloom.plans.walk import best_series_out_of_sample
 
-    return rounded(best_series_out_of_sample(nation_returns(spark, d), spark, 0, 40, 30, 10), "pnl")
+    return rounded(best_series_out_of_sample(nation_returns(spark, d), 30, 10), "pnl")
+
+
+WALK_LAGS = f"""{WALK}, wz AS (SELECT start, series, t - start AS t, (v - avg(v) OVER p) / nullif(stddev_pop(v) OVER p, 0) AS v FROM w JOIN rets ON t >= start AND t < stop WINDOW p AS (PARTITION BY start, series)),
+wl AS (SELECT a.start, a.series AS i, b.series AS j, m, l AS lag, sum(a.v * b.v) AS score FROM wz b CROSS JOIN (SELECT unnest([1, 2, 3]) AS m) CROSS JOIN (SELECT unnest(range(-3, 3)) AS l)
+  JOIN wz a ON a.start = b.start AND a.t = ((b.t + l) % 30 + 30) % 30 AND a.series < b.series WHERE l >= -m AND l < m AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL),
+wb AS (SELECT start, m, i, j, lag, score FROM (SELECT *, row_number() OVER (PARTITION BY start, m, i, j ORDER BY round(score, 9) DESC, lag) AS r FROM wl) WHERE r = 1)"""
+
+
+@query("walk_forward_lag_matrices", f"{WALK_LAGS} SELECT start, i::BIGINT AS i, j::BIGINT AS j, lag::INT AS lag, round(score, 6) + 0.0 AS score FROM wb WHERE m = 3")
+def _(spark, d):
+    from lagloom.plans.walk import walk_lag_pairs, whole_schedule
+
+    r = nation_returns(spark, d)
+    return rounded(walk_lag_pairs(r, whole_schedule(r, 30, 10), 3), "score")
+
+
+BACKTEST = f"""{WALK_LAGS}, wm AS (SELECT start, m, i, j, lag FROM wb UNION ALL SELECT start, m, j, i, -lag FROM wb),
+ws AS (SELECT start, m, i AS series, sum(lag) AS s FROM wm GROUP BY ALL),
+wv AS (SELECT start, m, series, round_even((s - min(s) OVER p) / count(*) OVER p, 0) AS lag FROM ws WINDOW p AS (PARTITION BY start, m)),
+halves AS (SELECT start, m, series, 2 * row_number() OVER (PARTITION BY start, m ORDER BY lag, series) <= count(*) OVER (PARTITION BY start, m) AS leads FROM wv),
+means AS (SELECT start, stop, m, t, avg(v) FILTER (WHERE leads) AS lead, avg(v) FILTER (WHERE NOT leads) AS follow FROM w JOIN rets ON t >= start AND t < stop + 10 JOIN halves USING (start, series) GROUP BY ALL),
+pnl AS (SELECT a.start, a.stop, a.m, a.t, sign(round(b.lead, 12)) * a.follow AS pnl FROM means a JOIN means b ON a.start = b.start AND a.m = b.m AND a.t = b.t + 1),
+best AS (SELECT start, m FROM (SELECT start, m, row_number() OVER (PARTITION BY start ORDER BY round(avg(pnl), 9) DESC, m) AS r FROM pnl WHERE t < stop GROUP BY 1, 2) WHERE r = 1),
+ahead AS (SELECT start, t, m, pnl FROM pnl JOIN best USING (start, m) WHERE t >= stop)"""
+
+
+@query("walk_forward_backtest", f"{BACKTEST} SELECT start, t, m, round(pnl, 6) + 0.0 AS pnl FROM ahead")
+def _(spark, d):
+    from lagloom.plans.walk import walk_forward_backtest
+
+    return rounded(walk_forward_backtest(nation_returns(spark, d), 30, 10, [1, 2, 3], 10), "pnl")
+
+
+@query("walk_forward_pnl", f"{BACKTEST} SELECT t, round(arg_max(pnl, start), 6) + 0.0 AS pnl FROM ahead GROUP BY 1")
+def _(spark, d):
+    from lagloom.plans.walk import concatenated, walk_forward_backtest
+
+    return rounded(concatenated(walk_forward_backtest(nation_returns(spark, d), 30, 10, [1, 2, 3], 10)), "pnl")
 
 
 @query("sliding_window_moments", """WITH w AS (SELECT event_type AS series, value AS v, unnest([time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 day', ts) - INTERVAL '1 day', time_bucket(INTERVAL '1 day', ts) - INTERVAL '2 days']) AS start FROM events)
