@@ -165,6 +165,33 @@ def phases_from_bispectrum(b: np.ndarray, rounds: int = 500, starts: int = 6, se
     return best
 
 
+def complex_phases_from_bispectrum(b: np.ndarray, first: np.ndarray | None = None, rounds: int = 2000, starts: int = 20, seed: int = 0) -> np.ndarray:
+    """Unit phases z of a complex signal that make Re z* (B o conj circ(z)) z largest, from the guess first (its phases;
+    no zeros) or from several random starts. Unlike those of a real signal they have no symmetry and z[0] is free. They
+    are known up to a shift of the signal; B may carry weights. Steps go along the whole gradient, as the form is not
+    Hermitian in z."""
+    n = len(b)
+    if b.shape != (n, n):
+        raise ValueError("the bispectrum must be square")
+    if first is not None and (np.shape(first) != (n,) or np.any(np.abs(first) == 0)):
+        raise ValueError("the guess must hold one phase a frequency, none of them zero")
+    at = (np.arange(n)[None, :] - np.arange(n)[:, None]) % n
+    inertia = np.abs(b).sum() / (2 * n)
+    rng, best, top = np.random.default_rng(seed), None, -np.inf
+    for _ in range(1 if first is not None else starts):
+        z = first / np.abs(first) if first is not None else np.exp(2j * np.pi * rng.random(n))
+        for _ in range(rounds):
+            m = b * np.conj(z[at])
+            new = 2 * m @ z + m.conj().T @ z + inertia * z
+            new = np.where(np.abs(new) > 1e-300, new / np.maximum(np.abs(new), 1e-300), z)
+            moved, z = np.abs(new - z).max(), new
+            if moved < 1e-12:
+                break
+        if (v := float(np.real(np.conj(z) @ (b * np.conj(z[at])) @ z))) > top:
+            best, top = z, v
+    return best
+
+
 def signal_from_invariants(mean: float, power_: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A real signal, up to a shift, with the mean, power spectrum and bispectrum given."""
     h = np.sqrt(np.maximum(power_, 0)) * phases_from_bispectrum(b)

@@ -4,10 +4,16 @@ A panel is (series, t, v): series by any key, t dense from 0, v double (null whe
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Names of runs sort by time and are read back as text, not as numbers.
+RUN_FORMAT = "%Y-%m-%dT%Hh%Mm%S"
+
 MESSAGE = T.StructType(
     [T.StructField(n, t) for n, t in (("time", T.DoubleType()), ("event_type", T.IntegerType()), ("order_id", T.LongType()), ("size", T.IntegerType()), ("price", T.LongType()), ("direction", T.IntegerType()))]
 )
@@ -55,6 +61,41 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def read_signals(spark: SparkSession, path: str, first: int | None = None, **layout) -> DataFrame:
+    """Rows of a table stored by write_table with partitions (sigma, max_shift, k, start ...); layout picks partitions,
+    first keeps the series below that number. Both reach the scan."""
+    df = spark.read.parquet(path)
+    for name, value in layout.items():
+        df = df.where(F.col(name) == value)
+    return df if first is None else df.where(F.col("series") < first)
+
+
+def write_parameters(spark: SparkSession, path: str, **parameters) -> None:
+    """The parameters of a run as a table of one row with one JSON object; names in order."""
+    spark.createDataFrame([(json.dumps(parameters, sort_keys=True),)], "parameters string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_parameters(spark: SparkSession, path: str) -> dict:
+    """What write_parameters stored; an error if there is not one row of parameters."""
+    found = spark.read.text(path).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} does not hold one row of parameters")
+    return json.loads(found[0][0])
+
+
+def write_run(df: DataFrame, path: str, run_ts: datetime) -> None:
+    """df as the partition run_ts of a table of runs. The same run written again is replaced; others stay."""
+    out = df.withColumn("run_ts", F.lit(run_ts.strftime(RUN_FORMAT)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str, run_ts: datetime | None = None) -> DataFrame:
+    """One run of a table of runs, the last by default."""
+    runs = spark.read.parquet(path)
+    name = run_ts.strftime(RUN_FORMAT) if run_ts else runs.agg(F.max("run_ts")).first()[0]
+    return runs.where(F.col("run_ts") == name).drop("run_ts")
+
+
 def between(panel: DataFrame, start: int | None, end: int | None) -> DataFrame:
     """Times in [start, end)."""
     if start is not None:

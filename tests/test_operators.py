@@ -233,3 +233,37 @@ def test_smoothing_and_interpolation(spark):
     at = spark.createDataFrame([(0.5,), (-3.0,), (99.0,)], "x double")
     spots = {r.x: r.v for r in P.interpolated(long(spark, np.array([1.0, 2.0, 4.0])), at).collect()}
     assert spots == {0.5: 1.5, -3.0: 1.0, 99.0: 4.0} and not math.isnan(spots[0.5])
+
+
+def test_complex_phases_from_a_bispectrum():
+    for n, seed in ((5, 0), (8, 1), (11, 2)):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=n) + 1j * rng.normal(size=n)
+        y = np.fft.fft(x)
+        f = np.arange(n)
+        b = y[:, None] * np.conj(y)[None, :] * y[(f[None, :] - f[:, None]) % n]
+        found = np.fft.ifft(np.abs(y) * S.complex_phases_from_bispectrum(b))
+        error = min(np.linalg.norm(np.roll(found, k) - x) for k in range(n)) / np.linalg.norm(x)
+        assert error < 1e-6
+        z = S.complex_phases_from_bispectrum(b, first=y * np.exp(0.05j * rng.normal(size=n)))
+        assert np.allclose(z, y / np.abs(y), atol=1e-6)
+    with pytest.raises(ValueError):
+        S.complex_phases_from_bispectrum(np.ones((3, 3)), first=np.array([1, 0, 1]))
+
+
+def test_parameters_runs_and_layouts(spark, tmp_path):
+    from datetime import datetime
+
+    src.write_parameters(spark, f"{tmp_path}/params", k=[1, 2], sigma=0.5, note='a "b"\\c')
+    assert src.read_parameters(spark, f"{tmp_path}/params") == {"k": [1, 2], "sigma": 0.5, "note": 'a "b"\\c'}
+    x = long(spark, np.arange(6).reshape(3, 2))
+    early, late = datetime(2020, 1, 2, 3, 4, 5), datetime(2021, 1, 1)
+    for when, more in ((late, 10), (early, 0), (early, 1)):
+        src.write_run(x.withColumn("v", F.col("v") + more), f"{tmp_path}/runs", when)
+    total = lambda df: df.agg(F.sum("v")).first()[0]
+    assert total(src.read_run(spark, f"{tmp_path}/runs")) == 15 + 60
+    assert total(src.read_run(spark, f"{tmp_path}/runs", early)) == 15 + 6
+    both = x.withColumn("sigma", F.lit(0.5)).union(x.withColumn("sigma", F.lit(1.5)).withColumn("v", -F.col("v")))
+    src.write_table(both, f"{tmp_path}/signals", "sigma")
+    cut = src.read_signals(spark, f"{tmp_path}/signals", first=2, sigma=1.5)
+    assert sorted((r.series, r.t, r.v) for r in cut.collect()) == [(0, 0, 0.0), (0, 1, -1.0), (1, 0, -2.0), (1, 1, -3.0)]
