@@ -143,11 +143,18 @@ def group_weights(signals: DataFrame, *keys: str) -> DataFrame:
     return signals.withColumn("w", F.coalesce(F.try_divide(F.col("signal"), total), F.lit(0.0))).select(*keys, "lag", "t", "w")
 
 
-def group_pnl(groups: DataFrame, *keys: str, watch: int = 1, hold: int = 1) -> DataFrame:
-    """(keys..., t, pnl) of trading lag groups (keys..., lag, t, v) on the groups before them."""
+def group_trades(groups: DataFrame, *keys: str, watch: int = 1, hold: int = 1) -> DataFrame:
+    """(keys..., t, pnl, w, lead) of trading lag groups (keys..., lag, t, v) on the groups before them: profit, net exposure
+    and what the first group made; days without a held return have no exposure."""
     rolled = groups.withColumn("s", rolling_sum(F.col("v"), watch, *keys, "lag")).withColumn("r", rolling_sum(F.col("v"), hold, *keys, "lag"))
     w = group_weights(received_signals(rolled.select(*keys, "lag", "t", F.col("s").alias("v")), *keys), *keys)
-    return rolled.join(w, [*keys, "lag", "t"]).groupBy(*keys, "t").agg(F.sum(F.col("w") * F.col("r")).alias("pnl"))
+    net, first = F.when(F.col("r").isNotNull(), F.col("w")), F.when(F.col("lag") == 0, F.col("r"))
+    return rolled.join(w, [*keys, "lag", "t"]).groupBy(*keys, "t").agg(F.sum(F.col("w") * F.col("r")).alias("pnl"), F.sum(net).alias("w"), F.max(first).alias("lead"))
+
+
+def group_pnl(groups: DataFrame, *keys: str, watch: int = 1, hold: int = 1) -> DataFrame:
+    """(keys..., t, pnl) of trading lag groups (keys..., lag, t, v) on the groups before them."""
+    return group_trades(groups, *keys, watch=watch, hold=hold).select(*keys, "t", "pnl")
 
 
 def inverse_volatility(panel: DataFrame, start: int, days: int = 20, measure: str = "sd") -> DataFrame:
@@ -216,6 +223,21 @@ def class_weighted_pnl(pnl: DataFrame) -> DataFrame:
     return pnl.groupBy("t").agg((F.sum(F.col("pnl") * F.col("n_cls")) / F.sum("n_cls")).alias("pnl"))
 
 
+def class_strategy(panel: DataFrame, held: DataFrame, market: DataFrame, watch: int = 1, hold: int = 1) -> DataFrame:
+    """(t, raw, mkt_excess, lead_excess, lead_raw, lead_mkt_excess): the lag groups of every class (held: cls, lag, series,
+    n_cls, as of tradable_groups) traded on the groups before them, plain and less exposure to the market (t, v) or to
+    the leaders; days of a class count by its size. A class has no day where its leaders or the market made no return."""
+    sizes = held.select("cls", "n_cls").distinct()
+    rolled = market.select("t", rolling_sum(F.col("v"), hold).alias("v"))
+    days = group_trades(group_returns(panel, held.select("cls", "lag", "series"), "cls"), "cls", watch=watch, hold=hold)
+    days = days.where("lead IS NOT NULL").join(rolled.where("v IS NOT NULL"), "t").join(sizes, "cls")
+    kinds = {
+        "raw": F.col("pnl"), "mkt_excess": F.col("pnl") - F.col("w") * F.col("v"), "lead_excess": F.col("pnl") - F.col("w") * F.col("lead"),
+        "lead_raw": F.col("lead"), "lead_mkt_excess": F.col("lead") - F.col("v"),
+    }
+    return days.groupBy("t").agg(*[(F.sum(x * F.col("n_cls")) / F.sum("n_cls")).alias(name) for name, x in kinds.items()])
+
+
 def ranked_strategy(panel: DataFrame, pairs: DataFrame, share: float = 0.2, lag: int = 1) -> DataFrame:
     """(t, signal, ret, pnl): series ranked by the mean sign of their lags (ties by name); the first share leads, the
     last follows; followers' mean return is traded on the sign of leaders' mean return `lag` days before."""

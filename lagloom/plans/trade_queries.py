@@ -242,6 +242,16 @@ def _(spark, d):
     return T.tradable_groups(groups(nation_returns(spark, d)), 25, 3, 4)
 
 
+@query("class_strategy", f"""{REC}, p AS (SELECT cls, t, sum(w * v) AS pnl, sum(w) AS w FROM gr JOIN gw USING (cls, lag, t) GROUP BY 1, 2), m AS (SELECT t, avg(v) AS m FROM rets GROUP BY 1),
+l AS (SELECT cls, t, v AS l FROM gr WHERE lag = 0), n AS (SELECT cls, count(*) AS n FROM groups GROUP BY 1)
+SELECT t, round(sum(pnl * n) / sum(n), 6) + 0.0 AS raw, round(sum((pnl - w * m) * n) / sum(n), 6) + 0.0 AS mkt_excess, round(sum((pnl - w * l) * n) / sum(n), 6) + 0.0 AS lead_excess,
+round(sum(l * n) / sum(n), 6) + 0.0 AS lead_raw, round(sum((l - m) * n) / sum(n), 6) + 0.0 AS lead_mkt_excess FROM p JOIN l USING (cls, t) JOIN m USING (t) JOIN n USING (cls) GROUP BY 1""")
+def _(spark, d):
+    r = nation_returns(spark, d)
+    out = T.class_strategy(r, T.tradable_groups(groups(r), 25, 3, 4), r.groupBy("t").agg(F.avg("v").alias("v")))
+    return rounded(out, "raw", "mkt_excess", "lead_excess", "lead_raw", "lead_mkt_excess")
+
+
 RANK = f"""{L}, sc AS (SELECT i AS series, avg(sign(lag)) AS s FROM mirror GROUP BY 1), pl AS (SELECT series, row_number() OVER (ORDER BY s, series) AS r, count(*) OVER () AS n FROM sc),
 le AS (SELECT t, avg(v) AS v FROM rets WHERE series IN (SELECT series FROM pl WHERE r <= greatest(1, floor(n * 0.2))) GROUP BY 1), fo AS (SELECT t, avg(v) AS v FROM rets WHERE series IN (SELECT series FROM pl WHERE r > n - greatest(1, floor(n * 0.2))) GROUP BY 1)"""
 
