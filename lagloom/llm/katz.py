@@ -9,6 +9,10 @@ word. All distributions sum to one over the training words, the end and the unkn
              = p(w)                         if it was not
     p(w)     = d(c(w)) c(w) / N, and what is left for an unknown word.
 
+`KatzModel.score` reads the stored tables to score any texts, the query's own documents or others: each distinct pair of
+a chunk meets the bigram table, then the backoff weights by history and the unigram table by word. `score_texts` gets the
+same figures for the documents it learns beside, whose pairs it need not send a second time.
+
 Scale: a chunk of documents sends its word pairs once, packed in arrays, to the buckets of their histories; a bucket adds
 up the training counts and answers each chunk with sums for its documents. The most frequent words (a bounded
 number, by whole-corpus counts) are known to all tasks with their counts; whatever else a sum needs is fetched by
@@ -296,6 +300,63 @@ def _count(known):
     return run
 
 
+PAIRS = "chunk long, history long, word long, docs array<int>, times array<int>, ids array<long>, n_tokens array<long>"
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    """The distinct word pairs of each chunk of documents with the places of the documents that hold them, and a row
+    without a history for each chunk: the documents' ids and token counts."""
+
+    def make():
+        from pyspark import TaskContext
+
+        begin, end = word_hash(BEGIN), word_hash(END)
+        chunk_id = iter(range(TaskContext.get().partitionId() << 32, 1 << 62))
+        memo: dict[bytes, int] = {}
+
+        def hashed(text: str) -> np.ndarray:
+            words = folded_words(text)
+            got = list(map(memo.get, words))
+            if None in got:
+                for k, g in enumerate(got):
+                    if g is None:
+                        got[k] = word_hash(words[k])
+                        if len(memo) < MEMO:
+                            memo[words[k]] = got[k]
+            return np.array([begin, *got, end], np.int64)
+
+        def emit(out, ids, codes):
+            chunk = next(chunk_id)
+            u, w = (np.concatenate([c[a : len(c) - 1 + a] for c in codes]) for a in (0, 1))
+            n = np.array([len(c) - 1 for c in codes])
+            doc = np.repeat(np.arange(len(codes)), n)
+            order = np.lexsort((doc, w, u))
+            u, w, doc = u[order], w[order], doc[order]
+            pair = np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+            held = np.flatnonzero(pair | np.concatenate([[True], doc[1:] != doc[:-1]]))  # a pair in a document
+            times, cuts = np.diff(np.append(held, len(u))), np.flatnonzero(pair[held])[1:]
+            for k, d, t in zip(np.flatnonzero(pair), np.split(doc[held], cuts), np.split(times, cuts), strict=True):
+                for c, v in zip(out, (chunk, u[k], w[k], d, t, None, None), strict=True):
+                    out[c].append(v)
+            for c, v in zip(out, (chunk, None, None, None, None, ids, n), strict=True):
+                out[c].append(v)
+
+        def step(ids, texts):
+            out: dict[str, list] = {c.split()[0]: [] for c in PAIRS.split(", ")}
+            codes, first, size = [], 0, 0
+            for k, t in enumerate(texts):
+                codes.append(hashed(t))
+                size += len(codes[-1])
+                if size > CHUNK or k == len(texts) - 1:
+                    emit(out, ids[first : k + 1], codes)
+                    codes, first, size = [], k + 1, 0
+            return out
+
+        return step
+
+    return map_columns(texts.select(F.col("doc_id").cast("long"), "text"), make, PAIRS)
+
+
 def _chunk_sums(rows: pd.DataFrame) -> pd.DataFrame:
     """The documents of a chunk: what its buckets answered, added up."""
     chunk, info = int(rows.chunk.iloc[0]), rows[rows.kind == "info"].iloc[0]
@@ -313,8 +374,9 @@ def _chunk_sums(rows: pd.DataFrame) -> pd.DataFrame:
 class KatzModel:
     """The stored tables of a fitted model, and the answers for the documents it was fitted beside."""
 
-    def __init__(self, unigrams: DataFrame, answers: DataFrame, uni: Unigrams, least_known: int):
-        self.unigrams, self.answers, self.uni, self.least_known = unigrams, answers, uni, least_known
+    def __init__(self, unigrams: DataFrame, answers: DataFrame, uni: Unigrams, known):
+        self.unigrams, self.answers, self.uni, self.known = unigrams, answers, uni, known
+        self.least_known = known.value.least
         kind = lambda k: answers.where(F.col("kind") == k)
         self.bigrams = kind("bigram").select("bucket", "k1", "k2", "k3")
         pair = lambda k, a, b: kind(k).select(F.explode(F.arrays_zip(F.col("k1").alias(a), F.col("k2").alias(b))).alias("x")).select("x.*")
@@ -369,8 +431,52 @@ class KatzModel:
         rare = sums.where("history IS NOT NULL").join(self.backoff, "history").select("key", F.col("log_weight").alias("weights"))
         return sums.where("history IS NULL").select("key", "weights").union(rare).groupBy("key").agg(F.sum("weights").alias("weights"))
 
+    def bigram_counts(self) -> DataFrame:
+        """(history, word, n): the counts of pairs of word hashes, read from the stored table."""
+        known = self.known
+
+        def make():
+            k: Known = known.value
+
+            def step(histories, words, runs_and_counts):
+                u, w, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for h, next_words, rest in zip(histories, words, runs_and_counts, strict=True):
+                    u.append(np.repeat(np.array(h, np.int64), rest[: len(h)]))
+                    w.append(np.cumsum(np.array(next_words, np.int64)))
+                    n.append(np.array(rest[len(h) :], np.int64))
+                return {"history": k.hash_of(np.concatenate(u)), "word": k.hash_of(np.concatenate(w)), "n": np.concatenate(n)}
+
+            return step
+
+        return map_columns(self.bigrams.select("k1", "k2", "k3"), make, "history long, word long, n long")
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc_id, n_tokens, n_known, base_score, score) of any texts, from the stored tables: a pair's discounted count if
+        it was seen, else its history's backoff weight and the word's own probability. A frequent pair joins with one row of
+        each chunk, not one of each occurrence, and a joined partition that is still too large is split by Spark."""
+        pairs = stored(_pairs(id_and_text(docs, id_col, text_col)), "pairs")
+        met = (
+            pairs.where("history IS NOT NULL").select("chunk", "history", "word", "docs", "times")
+            .join(self.bigram_counts(), ["history", "word"], "left")
+            .join(self.backoff.withColumnRenamed("c", "c_history"), "history", "left")
+            .join(self.unigrams, "word", "left")
+        )
+        d = F.coalesce(*[F.when(F.col("n") == r + 1, F.lit(x)) for r, x in enumerate(self.d)], F.lit(1 - TAIL))
+        backed = F.coalesce("log_weight", F.lit(0.0)) + F.log10(self.uni.column(F.col("c")))
+        log_p = F.when(F.col("n") > 0, F.log10(d * F.col("n") / F.col("c_history"))).otherwise(backed)
+        c = F.coalesce("c", F.lit(0))
+        each = met.select("chunk", log_p.alias("log_p"), c.alias("c"), F.log10(c + 0.1).alias("log_c"), F.explode(F.arrays_zip("docs", "times")).alias("x"))
+        times = F.col("x.times")
+        sums = each.groupBy("chunk", F.col("x.docs").alias("place")).agg(
+            F.sum(F.when(F.col("c") > 0, times).otherwise(0)).alias("n_known"), F.sum(times * F.col("log_c")).alias("base"), F.sum(times * F.col("log_p")).alias("score")
+        )
+        rows = pairs.where("history IS NULL").select("chunk", F.posexplode(F.arrays_zip("ids", "n_tokens")).alias("place", "x"))
+        rows = rows.select("chunk", "place", F.col("x.ids").alias("doc_id"), F.col("x.n_tokens").alias("n_tokens"))
+        whole = math.log10(self.uni.n + 0.1 * (self.uni.v + 1))
+        return rows.join(sums, ["chunk", "place"]).select("doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * whole).alias("base_score"), "score")
+
     def scores(self) -> DataFrame:
-        """(doc_id, n_tokens, n_known, base_score, score)."""
+        """(doc_id, n_tokens, n_known, base_score, score) of the documents it was fitted beside."""
         docs = self.answers.where(F.col("kind").isin("info", "sums")).groupBy("chunk").applyInPandas(
             _chunk_sums, "key long, doc_id long, n_tokens long, n_known long, base double, total double, levels array<long>"
         )
@@ -401,7 +507,7 @@ def fit(docs: DataFrame, known_most: int = KNOWN_WORDS, id_col: str = "doc_id",
     n_docs = training.count()
     known = docs.sparkSession.sparkContext.broadcast(known_words(unigrams, n_docs, uni, known_most))
     answers = stored(_requests(texts, known).groupBy("bucket").applyInPandas(_count(known), ANSWER), "answers", "kind")
-    return KatzModel(unigrams, answers, uni, known.value.least)
+    return KatzModel(unigrams, answers, uni, known)
 
 
 def score_texts(docs: DataFrame, known_most: int = KNOWN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,9 +56,32 @@ def test_scores_equal_brute_force(spark, monkeypatch, known, bucket):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+@pytest.mark.parametrize("known, bucket", [(katz.KNOWN_WORDS, katz.BUCKET), (3, 20)])
+def test_stored_tables_score_other_texts(spark, monkeypatch, known, bucket):
+    monkeypatch.setattr(katz, "BUCKET", bucket)
+    docs = [(i, f"{t} w{i % 7}" if t and i % 3 else t) for i, t in enumerate(TEXTS)]
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    new = ["the dog sat on a mat", "unheard words the cat", "", None, "mat mat mat the cat the cat", "THE LOG"]
+    model = katz.fit(spark.createDataFrame(docs, "doc_id long, text string"), known)
+    same = {r.doc_id: r for r in model.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want, _ = brute(docs)
+    assert len(same) == len(docs)
+    for i, (n, k, _, base, score) in want.items():
+        assert (same[i].n_tokens, same[i].n_known) == (n, k)
+        assert same[i].base_score == pytest.approx(base) and same[i].score == pytest.approx(score)
+    rows = model.score(spark.createDataFrame([(t,) for t in new * 2], "text string").selectExpr("null AS doc_id", "text")).collect()
+    assert len(rows) == 12
+    for t in new:  # a held-out document of the same text scores the same
+        *_, score = brute([*docs, (held, t)])[0][held]
+        assert sum(r.score == pytest.approx(score) for r in rows) >= 2
+
+
 def test_odd_tables(spark, odd, none):
     rows = katz.score_texts(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) for r in rows)
     assert katz.score_texts(none).count() == 0
+    model = katz.fit(odd)
+    assert model.score(odd).count() == odd.count() and model.score(none).count() == 0
+    assert all(r.score == 0.0 for r in katz.fit(none).score(odd).collect())
     only = spark.createDataFrame([(i, "no training here") for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {(r.train_tokens, r.n_known, r.score) for r in katz.score_texts(only).collect()} == {(0, 0, 0.0)}
