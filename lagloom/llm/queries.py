@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lagloom.llm import sharding
 from lagloom.llm.common import documents
+from lagloom.llm.query_sql import OP13_SQL
 
 #: Where the public vocabularies are; an empty value stands for the installed package's folder.
 TOKENIZERS = ""
@@ -127,6 +128,14 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof; a document in five is checked as if its capitals had been lower-cased."""
+    from lagloom.llm.merkle import manifest
+
+    id_bytes = F.col("doc_id").cast("string").cast("binary")
+    return manifest(documents(spark, sf_dir), tampered=F.coalesce(F.crc32(id_bytes) % 5 == 0, F.lit(False)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": op1_katz_scores,
     "op2_line_dedup": op2_line_dedup,
@@ -138,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_template_leaks": op10_template_leaks,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_shard_placement": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_shard_placement": OP4_SQL, "op13_merkle_manifest": OP13_SQL}
