@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagloom.llm import sharding
 from lagloom.llm.common import documents
-from lagloom.llm.query_sql import OP13_SQL
+from lagloom.llm.query_sql import OP12_SQL, OP13_SQL
 
 #: Where the public vocabularies are; an empty value stands for the installed package's folder.
 TOKENIZERS = ""
@@ -128,6 +128,12 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagloom.llm.variants import spelling_variants
+
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof; a document in five is checked as if its capitals had been lower-cased."""
     from lagloom.llm.merkle import manifest
@@ -147,7 +153,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_template_leaks": op10_template_leaks,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_shard_placement": OP4_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_shard_placement": OP4_SQL, "op12_spelling_variants": OP12_SQL, "op13_merkle_manifest": OP13_SQL}

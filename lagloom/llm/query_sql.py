@@ -51,3 +51,30 @@ root AS (SELECT h AS root FROM above WHERE n = 1)
 SELECT l.doc_id, l.leaf, t.h AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM ends e JOIN leaves l ON l.tree = e.tree AND l.i = e.leaf_no JOIN tops t ON t.tree = e.tree, root WHERE last = 1
 """
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, {crc32_sql("list_transform(range(1, strlen(doc_id || ':' || run) + 1), lambda k: ('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * k - 1, 2))::BIGINT)")} AS h
+  FROM counted, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, k, left(word, k) || substr(word, k + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS form_n, arg_min(near, (-n, near)) AS form FROM near GROUP BY word),
+led AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+steps(word, root, step) AS (
+  SELECT word, word, 0 FROM led UNION ALL SELECT s.word, l.form, step + 1 FROM steps s JOIN led l ON l.word = s.root WHERE l.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
+SELECT l.word, form, root, n, n_near, form_n FROM led l JOIN ends e ON e.word = l.word
+"""
