@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagloom.llm import sharding
 from lagloom.llm.common import documents
-from lagloom.llm.query_sql import OP12_SQL, OP13_SQL
+from lagloom.llm.query_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 #: Where the public vocabularies are; an empty value stands for the installed package's folder.
 TOKENIZERS = ""
@@ -128,6 +128,12 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lagloom.llm.suffix_array import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lagloom.llm.variants import spelling_variants
 
@@ -153,8 +159,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_template_leaks": op10_template_leaks,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_shard_placement": OP4_SQL, "op12_spelling_variants": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_shard_placement": OP4_SQL, "op11_suffix_array_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_merkle_manifest": OP13_SQL}

@@ -78,3 +78,18 @@ steps(word, root, step) AS (
 ends AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
 SELECT l.word, form, root, n, n_near, form_n FROM led l JOIN ends e ON e.word = l.word
 """
+
+OP11_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, h, unnest(range(0, greatest(strlen(h) // 2 - 99, 0), 512)) AS a FROM bytes),
+cut AS (SELECT doc_id, a, substr(h, 2 * a + 1, 2 * (512 + 99)) AS h FROM parts),
+starts AS (SELECT doc_id, a + k AS s, md5_number(substr(h, 2 * k + 1, 200)) AS m FROM (SELECT doc_id, a, h, unnest(range(least(512, strlen(h) // 2 - 99))) AS k FROM cut)),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, s) AS r FROM starts),
+gaps AS (SELECT doc_id, s, s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 AS apart FROM ranked WHERE r > 1),
+islands AS (SELECT doc_id, s, sum(coalesce(apart, true)::INT) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM gaps),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM islands GROUP BY doc_id, island),
+edges AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT b.doc_id, strlen(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(list_zip(list_prepend(0, ends), list_append(starts, strlen(h) // 2)), lambda x: substr(h, 2 * x[1] + 1, 2 * (x[2] - x[1]))), '') END)) AS kept_sha256
+FROM bytes b LEFT JOIN edges e ON e.doc_id = b.doc_id
+"""
