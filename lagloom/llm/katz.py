@@ -155,6 +155,12 @@ def known_words(counts: DataFrame, n_docs: int, uni: Unigrams, most: int) -> Kno
     return Known(hashes[order], c[order], uni, max(1, -(-pairs // BUCKET)), least)
 
 
+def chunk_numbers(task: int) -> range:
+    """Numbers of a task's chunks. A chunk has CHUNK tokens and 20,000 documents at most, so 2 ** 22 of them are more than
+    any task has, and the number of a document, chunk << 16 and its place, is below 2 ** 63 for 33 million tasks."""
+    return range(task << 22, (task + 1) << 22)
+
+
 REQUEST = (
     "bucket int, chunk long, train binary, n_docs int, u array<long>, run array<int>, w array<int>, rare array<long>, doc array<smallint>, "
     "ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>"
@@ -172,7 +178,7 @@ def _requests(docs: DataFrame, known) -> DataFrame:
         code, memo = k.coder()
         begin, end = code(BEGIN), code(END)
         log_base = np.log10(k.counts + 0.1)
-        chunk_id = iter(range(TaskContext.get().partitionId() << 32, 1 << 62))
+        chunk_id = iter(chunk_numbers(TaskContext.get().partitionId()))
 
         def pairs_of(text: str) -> np.ndarray:
             words = folded_words(text)
@@ -311,7 +317,7 @@ def _pairs(texts: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         begin, end = word_hash(BEGIN), word_hash(END)
-        chunk_id = iter(range(TaskContext.get().partitionId() << 32, 1 << 62))
+        chunk_id = iter(chunk_numbers(TaskContext.get().partitionId()))
         memo: dict[bytes, int] = {}
 
         def hashed(text: str) -> np.ndarray:

@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lagloom.llm import katz
@@ -85,3 +86,10 @@ def test_odd_tables(spark, odd, none):
     assert all(r.score == 0.0 for r in katz.fit(none).score(odd).collect())
     only = spark.createDataFrame([(i, "no training here") for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {(r.train_tokens, r.n_known, r.score) for r in katz.score_texts(only).collect()} == {(0, 0, 0.0)}
+
+
+def test_numbers_of_documents_do_not_overflow():
+    for task in (0, 32_768, 10**6, 33_000_000):
+        last = katz.chunk_numbers(task)[-1]
+        assert np.int64((last << 16) + 65_535) == (last << 16) + 65_535
+        assert katz.chunk_numbers(task + 1)[0] == last + 1
