@@ -392,4 +392,4 @@ def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"))
     rows = rows.select("doc", "raw", mixed(f"doc.{id_col}", "raw"))
     rows = rows.join(kept, (rows.place == kept.place) & (rows.raw == kept.raw) & F.col(f"doc.{id_col}").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.groupBy("place", "raw").agg(F.first("doc").alias("doc")).select("doc.*")
+    return rows.groupBy("place", "raw").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")

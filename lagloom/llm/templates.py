@@ -252,11 +252,19 @@ def _leaks(
     whole = met.drop("doc_at").distinct().join(index, ["window", "size"]).withColumn("spot", spot(0, F.lit(0)))
     of = ["doc_id", "raw", "item_id", "item", "spot", "n", "n_typed"]
     pairs = apart.select(*(columns := [*of, "at", "typed", "slots", "doc_slots"])).union(whole.select(*columns))
-    # of each item value, the documents' values by how often they stand for it
+    # of each item value, the documents' values by how often they stand for it, and the other way round: one for one
     pairs = pairs.select(*of, F.struct("at", "typed").alias("at"), F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("slot"))
     each = pairs.groupBy(*of, F.col("slot.slots").alias("value"), F.col("slot.doc_slots").alias("stands")).agg(F.count("slot").alias("times"), F.collect_set("at").alias("ats"))
-    value = each.groupBy(*of, "value").agg(F.sum("times").alias("times"), F.max("times").alias("most"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
-    found = value.groupBy(*of).agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.coalesce(F.try_divide(F.sum("most"), F.sum("times")), F.lit(1.0)).alias("agreement"))
+    value = each.groupBy(*of, "value").agg(
+        F.sum("times").alias("times"), F.max("times").alias("most"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.collect_list(F.struct("stands", "times")).alias("back")
+    )
+    found = value.groupBy(*of).agg(
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.sum("most").alias("most"), F.sum("times").alias("times"), F.array_sort(F.flatten(F.collect_list("back"))).alias("back")
+    )
+    # in order, the last entry of a document's value is the item's value that it stands for most often
+    last = lambda x, i: F.when(F.get("back", i + 1)["stands"].eqNullSafe(x["stands"]), F.lit(0).cast("long")).otherwise(x["times"])
+    back = F.aggregate(F.transform("back", last), F.lit(0).cast("long"), lambda a, b: a + b)
+    found = found.withColumn("agreement", F.coalesce(F.try_divide(F.least("most", back), F.col("times")), F.lit(1.0)))
     n_met, n_typed = F.size("ats").cast("long"), F.size(F.filter("ats", lambda x: x["typed"]))
     share = F.greatest(n_met / F.col("n"), n_typed / F.greatest(F.col("n_typed"), F.col("n") / 2))
     found = found.select("doc_id", "raw", "item_id", "item", "spot", F.col("n").cast("long").alias("n_windows"), n_met.alias("n_met"), share.alias("coverage"), "agreement")

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from lagloom.llm.common import MEMO, id_and_text, map_columns, stored
 
-#: Labelled documents to learn from at most (by hash of the id); terms of a lexicon at most, and ordinary words near
-#: them at most (those of the most clean documents).
-SAMPLE, TERMS, ORDINARY = 20_000, 2_000, 200_000
+#: Labelled documents to learn from at most (by hash of the id). Whatever is learned (terms, ordinary words near them) is
+#: words of these documents, all that the tests leave.
+SAMPLE = 20_000
 #: Letters of a word beginning that can be a term; letters from which a term may have one error.
 BEGINNINGS, FUZZY = (4, 5, 6), 5
 #: Words beside a hit that are looked at.
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     gain = here * (q * F.log(q / p) + F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0))
     beyond = math.log(max(2, counts.count())) + math.log(20)
     terms = counts.where((F.col("n_toxic") >= 3) & (q >= F.lit(min(0.7, 4 * p)))).withColumn("gain", gain).where(F.col("gain") > beyond)
-    terms = terms.orderBy(F.desc("gain"), "feature").limit(TERMS).collect()
+    terms = terms.collect()
     weight = {r.feature: math.log((r.n_toxic + 0.5) / (bad + 1)) - math.log((r.n_clean + 0.5) / (good + 1)) for r in terms}
     words = {f: w for f, w in weight.items() if not f.endswith("*")}
     starts = {f[:-1]: w for f, w in weight.items() if f.endswith("*")}
@@ -244,15 +244,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     matcher = Matcher(words, {})
 
     def make():
-        def step(words, n):
-            near = [(w, c) for w, c in zip(words, n, strict=True) if matcher.match(w)[0] == NEAR]
-            return {"word": [w for w, _ in near], "n": [c for _, c in near]}
+        def step(words):
+            return {"word": [w for w in words if matcher.match(w)[0] == NEAR]}
 
         return step
 
-    common = counts.where(~F.col("feature").endswith("*") & (F.col("n_clean") >= 2) & (q < 0.5)).select("feature", "n_clean")
-    beside = map_columns(common, make, "word string, n long").orderBy(F.desc("n"), "word").limit(ORDINARY)
-    ordinary = frozenset(r.word for r in beside.collect())
+    common = counts.where(~F.col("feature").endswith("*") & (F.col("n_clean") >= 2) & (q < 0.5)).select("feature")
+    ordinary = frozenset(r.word for r in map_columns(common, make, "word string").collect())
     model = Model(words, starts, ordinary, base)
     seen = evidence(known, model, "toxic").select("total", "share", "toxic").toPandas()  # numbers of the sample
     x = np.array([features_of(t, s) for t, s in zip(seen.total, seen.share, strict=True)])

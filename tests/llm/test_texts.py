@@ -259,6 +259,14 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r.doc_id for r in templates.leaks(frame, items).collect()] == [1]
 
 
+def test_one_value_does_not_stand_for_several(spark):
+    item = "Alice has 12 apples and gives 5 apples to Bob. Alice then buys 7 apples at the market in Paris and asks Bob how many of them are left."
+    fair = item.replace("Alice", "Emma").replace("Bob", "Tom").replace("12", "31").replace("5", "8").replace("7", "9").replace("apples", "pears")
+    mixed = "Emma has 12 pears and gives 12 plums to Tom. Emma then buys 12 pears at the market in Lyon and asks Zoe how many of them are left."
+    frame = spark.createDataFrame([(1, fair), (2, mixed)], "doc_id long, text string")
+    assert [r.doc_id for r in templates.leaks(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [1]
+
+
 ITEM = "the baker sold 24 loaves of bread before noon and then baked 36 more while his helper carried 12 sacks of flour up from the cellar below"
 
 
@@ -295,8 +303,13 @@ def brute_leaks(docs, items, size=templates.WINDOW):
                 stands[a][b] += 1
         typed, all_typed = sum(item[k][2] for k in at), sum(x[2] for x in item)
         share = max(len(at) / len(item), typed / max(all_typed, len(item) / 2))
+        back = defaultdict(Counter)
+        for a, c in stands.items():
+            for b, times in c.items():
+                back[b][a] += times
         total = sum(sum(c.values()) for c in stands.values())
-        return share >= templates.COVERAGE and (not total or sum(max(c.values()) for c in stands.values()) / total >= templates.AGREEMENT)
+        agree = min(sum(max(c.values()) for c in x.values()) for x in (stands, back))
+        return share >= templates.COVERAGE and (not total or agree / total >= templates.AGREEMENT)
 
     out = set()
     for i, text in docs:
