@@ -5,7 +5,7 @@ or a placeholder: NUM for numbers in digits or words, UNIT for a unit or counted
 capitalised word (also with hyphens, and at the start of a sentence). Names of several words and numbers of several number
 words are one placeholder. Windows of tokens are hashed and joined with those of the benchmark. Where a window holds
 placeholders, the values in the document and in the item are paired: a re-parameterised copy replaces each value by one
-other, everywhere. An item counts as leaked into a document if enough of its windows are met and enough of the paired
+other, everywhere, and no two by the same. An item counts as leaked into a document if enough of its windows are met and enough of the paired
 values agree on one replacement, in the document as a whole or in one occurrence: the matches of one alignment (place
 in the document less place in the item), or, where words are inserted, of alignments that differ by less than half
 the item (bands that overlap by half, so none is cut apart).
@@ -252,19 +252,16 @@ def _leaks(
     whole = met.drop("doc_at").distinct().join(index, ["window", "size"]).withColumn("spot", spot(0, F.lit(0)))
     of = ["doc_id", "raw", "item_id", "item", "spot", "n", "n_typed"]
     pairs = apart.select(*(columns := [*of, "at", "typed", "slots", "doc_slots"])).union(whole.select(*columns))
-    # of each item value, the documents' values by how often they stand for it, and the other way round: one for one
+    # of each item value, the document's value that stands for it most often; one that stands for two values agrees with neither
     pairs = pairs.select(*of, F.struct("at", "typed").alias("at"), F.explode_outer(F.arrays_zip("slots", "doc_slots")).alias("slot"))
     each = pairs.groupBy(*of, F.col("slot.slots").alias("value"), F.col("slot.doc_slots").alias("stands")).agg(F.count("slot").alias("times"), F.collect_set("at").alias("ats"))
-    value = each.groupBy(*of, "value").agg(
-        F.sum("times").alias("times"), F.max("times").alias("most"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.collect_list(F.struct("stands", "times")).alias("back")
-    )
+    value = each.groupBy(*of, "value").agg(F.sum("times").alias("times"), F.max(F.struct("times", "stands")).alias("best"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
     found = value.groupBy(*of).agg(
-        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.sum("most").alias("most"), F.sum("times").alias("times"), F.array_sort(F.flatten(F.collect_list("back"))).alias("back")
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.sum("times").alias("times"), F.array_sort(F.collect_list(F.struct("best.stands", "best.times"))).alias("bests")
     )
-    # in order, the last entry of a document's value is the item's value that it stands for most often
-    last = lambda x, i: F.when(F.get("back", i + 1)["stands"].eqNullSafe(x["stands"]), F.lit(0).cast("long")).otherwise(x["times"])
-    back = F.aggregate(F.transform("back", last), F.lit(0).cast("long"), lambda a, b: a + b)
-    found = found.withColumn("agreement", F.coalesce(F.try_divide(F.least("most", back), F.col("times")), F.lit(1.0)))
+    beside = lambda x, i: F.coalesce(F.get("bests", i)["stands"] == x["stands"], F.lit(False))
+    agreed = F.aggregate(F.transform("bests", lambda x, i: F.when(beside(x, i - 1) | beside(x, i + 1), 0).otherwise(x["times"]).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
+    found = found.withColumn("agreement", F.coalesce(F.try_divide(agreed, F.col("times")), F.lit(1.0)))
     n_met, n_typed = F.size("ats").cast("long"), F.size(F.filter("ats", lambda x: x["typed"]))
     share = F.greatest(n_met / F.col("n"), n_typed / F.greatest(F.col("n_typed"), F.col("n") / 2))
     found = found.select("doc_id", "raw", "item_id", "item", "spot", F.col("n").cast("long").alias("n_windows"), n_met.alias("n_met"), share.alias("coverage"), "agreement")

@@ -303,12 +303,9 @@ def brute_leaks(docs, items, size=templates.WINDOW):
                 stands[a][b] += 1
         typed, all_typed = sum(item[k][2] for k in at), sum(x[2] for x in item)
         share = max(len(at) / len(item), typed / max(all_typed, len(item) / 2))
-        back = defaultdict(Counter)
-        for a, c in stands.items():
-            for b, times in c.items():
-                back[b][a] += times
-        total = sum(sum(c.values()) for c in stands.values())
-        agree = min(sum(max(c.values()) for c in x.values()) for x in (stands, back))
+        best = {a: max(c, key=lambda b, c=c: (c[b], b)) for a, c in stands.items()}
+        claims = Counter(best.values())
+        total, agree = sum(sum(c.values()) for c in stands.values()), sum(c[best[a]] for a, c in stands.items() if claims[best[a]] == 1)
         return share >= templates.COVERAGE and (not total or agree / total >= templates.AGREEMENT)
 
     out = set()
