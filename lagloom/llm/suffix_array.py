@@ -4,7 +4,9 @@ Where it may be repeated. Each LENGTH-byte string of a text has an anchor, its K
 equals), so equal strings have equal anchors. Starts in a row with one anchor form a piece: n starts and the n + LENGTH - 1
 bytes they cover. Pieces are compared by anchor in buckets of anchor hashes. Of equal pieces all but the earliest are
 repeated, which a task settles for its own texts before it sends anything. Strings of different pieces can be equal where
-the pieces have one anchor: the earliest of each such piece is fetched and goes to a shard of anchors.
+the pieces have one anchor: the earliest of each such piece is fetched and goes to a shard of anchors. There, strings fall
+into four classes by where the anchor is in them, and what all strings of a class have in common, 83 bytes or more, must be
+in another piece too: most pieces that met by chance go no further.
 
 What is repeated. A shard joins its pieces and builds one suffix array. Suffixes start out in groups by first symbol;
 groups are taken in descending order, each suffix of a group points to the previous suffix of a smaller group, and what is
@@ -82,13 +84,13 @@ class Hashed:
         return _mixed((self.sums[k:] - self.sums[:-k]) * self.up[: len(self.sums) - k])
 
 
-def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[Hashed, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[Hashed, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts side by side in data, each ending before its entry of ends: their hashes, and the first start, number
-    of starts and hash of anchor of every piece."""
+    of starts, hash of anchor and place of the anchor behind the first start of every piece."""
     none = np.zeros(0, np.int64)
     hashed = Hashed(data)
     if len(data) < LENGTH:
-        return hashed, none, none, none.view(np.uint64)
+        return hashed, none, none, none.view(np.uint64), none
     grams = hashed.grams(K)
     low = np.uint64((1 << 20) - 1)
     least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -105,7 +107,7 @@ def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[Hashed, np.ndarray, np.n
     new[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
     first = np.flatnonzero(new)
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
-    return hashed, first, stop - first + 1, grams[at[first]]
+    return hashed, first, stop - first + 1, grams[at[first]], at[first] - first
 
 
 class Chunk:
@@ -139,19 +141,20 @@ class Chunk:
     def _hash(self) -> None:
         if self.pending:
             ends = np.cumsum([len(p) for _, _, p in self.pending])
-            hashed, first, n, anchor = pieces(np.concatenate([p for _, _, p in self.pending]), ends)
+            hashed, first, n, anchor, at = pieces(np.concatenate([p for _, _, p in self.pending]), ends)
             piece = hashed.of(first, first + n + LENGTH - 1)
             if len(self.hot) and len(first):
                 is_hot = self.hot[np.minimum(np.searchsorted(self.hot, anchor), len(self.hot) - 1)] == anchor
                 if is_hot.any():  # each start is a piece of its own
                     every = np.repeat(first[is_hot], n[is_hot]) + np.concatenate([np.arange(k) for k in n[is_hot]])
                     first, n = np.concatenate([first[~is_hot], every]), np.concatenate([n[~is_hot], np.ones(len(every), np.int64)])
+                    at = np.concatenate([at[~is_hot], np.zeros(len(every), np.int64)])
                     anchor, piece = np.concatenate([anchor[~is_hot], hashed.of(every, every + LENGTH)]), np.concatenate([piece[~is_hot], hashed.of(every, every + LENGTH // 2)])
             of = np.searchsorted(ends, first, side="right")
             rows, ats = np.array([r for r, _, _ in self.pending]), np.array([a for _, a, _ in self.pending])
             begin = ends - [len(p) for _, _, p in self.pending]
             out = np.zeros(len(first), RECORD)
-            out["anchor"], out["piece"], out["row"], out["start"], out["n"] = anchor, piece, rows[of], first - begin[of] + ats[of], n
+            out["anchor"], out["piece"], out["row"], out["start"], out["n"], out["at"] = anchor, piece, rows[of], first - begin[of] + ats[of], n, at
             self.parts.append(out)
         self.pending, self.waiting = [], 0
 
@@ -164,8 +167,9 @@ class Chunk:
         return earliest(all_, places(all_, rank))[:2]
 
 
-#: A piece: hashes of anchor and bytes, the number of its document in the chunk, its first start, and how many starts.
-RECORD = np.dtype([("anchor", "<u8"), ("piece", "<u8"), ("row", "<u4"), ("start", "<u8"), ("n", "<u1")])
+#: A piece: hashes of anchor and bytes, the number of its document in the chunk, its first start, how many starts, and how
+#: far behind the first start the anchor is.
+RECORD = np.dtype([("anchor", "<u8"), ("piece", "<u8"), ("row", "<u4"), ("start", "<u8"), ("n", "<u1"), ("at", "<u1")])
 #: Starts in a row that are repeated.
 SPAN = np.dtype([("row", "<u4"), ("start", "<u8"), ("n", "<u1")])
 
@@ -252,7 +256,7 @@ def _to_buckets(buckets: int):
 
 
 #: Starts in a row that are repeated, or, with an anchor, a piece to be compared with others of this anchor.
-FOUND = "doc long, tie long, start long, n int, anchor long"
+FOUND = "doc long, tie long, start long, n int, anchor long, at int"
 
 
 def _met(group: pa.Table) -> pa.Table:
@@ -277,7 +281,9 @@ def _met(group: pa.Table) -> pa.Table:
     row, start, n = (np.concatenate([x[c] for x in (spans, rest, ask)]) for c in ("row", "start", "n"))
     anchor = np.concatenate([np.zeros(len(row) - len(ask), np.int64), ask["anchor"].view(np.int64)])
     out = {"doc": docs[row, 0], "tie": docs[row, 1], "start": start.astype(np.int64), "n": n.astype(np.int32)}
-    return pa.table({**out, "anchor": pa.array(anchor, mask=np.arange(len(row)) < len(row) - len(ask))})
+    settled = np.arange(len(row)) < len(row) - len(ask)
+    at = np.concatenate([np.zeros(len(row) - len(ask), np.int32), ask["at"].astype(np.int32)])
+    return pa.table({**out, "anchor": pa.array(anchor, mask=settled), "at": pa.array(at, mask=settled)})
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -383,14 +389,56 @@ def repeated_starts(texts: list[bytes], valid: np.ndarray, place: np.ndarray, le
     return mask
 
 
+#: A string has LENGTH - K bytes beside its anchor. By how many of them are before it, strings are of four classes; all
+#: strings of a class hold the bytes from so far before the anchor's start to so far behind its end.
+_SIDE = LENGTH - K
+CLASSES = [(k * (_SIDE // 4), _SIDE if k == 3 else (k + 1) * (_SIDE // 4) - 1) for k in range(4)]
+
+
+def shared_starts(ns: list[int], ats: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(piece, first, n): the starts of pieces whose strings hold bytes around the anchor, all that their class has in
+    common, that another piece has too. All others are equal to no string of another piece."""
+    spots = []
+    seen: list[dict[bytes, int]] = [{}, {}, {}, {}]
+    for at, n, text in zip(ats, ns, texts, strict=True):
+        own = []
+        for k, (low, high) in enumerate(CLASSES):
+            first, last = max(0, at - high), min(n - 1, at - low)
+            if first <= last:
+                common = text[at - low : at + K + _SIDE - high]
+                seen[k][common] = seen[k].get(common, 0) + 1
+                own.append((k, first, last, common))
+        spots.append(own)
+    out = []
+    for p, own in enumerate(spots):
+        begin = end = None
+        for k, first, last, common in reversed(own):  # ascending starts
+            if seen[k][common] > 1:
+                if end is not None and first == end + 1:
+                    end = last
+                    continue
+                if end is not None:
+                    out.append((p, begin, end - begin + 1))
+                begin, end = first, last
+        if end is not None:
+            out.append((p, begin, end - begin + 1))
+    return out
+
+
 def _compared(group: pa.Table) -> pa.Table:
     """One shard of anchors: the starts at which the pieces repeat strings of other pieces."""
-    rows = group.select(["doc", "tie", "start", "n"]).to_pandas()
+    rows = group.select(["doc", "tie", "start", "n", "at"]).to_pandas()
     texts = group.column("bytes").to_pylist()
     keep = ~rows.duplicated(["doc", "tie", "start"]).to_numpy()
     rows, texts = rows[keep], [t for t, k in zip(texts, keep, strict=True) if k]
     order = np.lexsort((rows.start, rows.tie, rows.doc))
     rows, texts = rows.iloc[order], [texts[k] for k in order]
+    parts = shared_starts(rows.n.to_list(), rows["at"].to_list(), texts)
+    if not parts:
+        return pa.table({"doc": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
+    of, first, n = (np.array(x) for x in zip(*parts, strict=True))
+    texts = [texts[p][a : a + m + LENGTH - 1] for p, a, m in parts]
+    rows = rows.iloc[of].assign(n=n, start=rows.start.to_numpy()[of] + first)
     n, sizes = rows.n.to_numpy(np.int64), np.array([len(t) + 1 for t in texts])
     begin = np.cumsum(sizes) - sizes
     inside = np.arange(sizes.sum()) - np.repeat(begin, sizes)
@@ -405,13 +453,13 @@ def _compared(group: pa.Table) -> pa.Table:
 def _fetched(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("shard", "doc", "tie", "start", "n", "bytes")}
+            out: dict[str, list] = {c: [] for c in ("shard", "doc", "tie", "start", "n", "at", "bytes")}
             for doc, tie, text, asked in zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), batch.column("text"), batch.column("asked").to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes()
                 for x in asked:
-                    for c, v in zip(out, (x["anchor"] % shards, doc, tie, x["start"], x["n"], data[x["start"] : x["start"] + x["n"] + LENGTH - 1]), strict=True):
+                    for c, v in zip(out, (x["anchor"] % shards, doc, tie, x["start"], x["n"], x["at"], data[x["start"] : x["start"] + x["n"] + LENGTH - 1]), strict=True):
                         out[c].append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
     return run
@@ -430,10 +478,10 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, shard: int = SHARD) -> DataF
     found = stored(records.groupBy("bucket").applyInArrow(_met, FOUND), "pieces")
     asked = found.where("anchor IS NOT NULL")
     shards = max(partitions, -(-asked.count() * (LENGTH + 36) // shard))
-    by_doc = asked.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("asked"))
-    pieces_ = texts.join(by_doc.hint("shuffle_hash"), ["doc", "tie"]).mapInArrow(_fetched(shards), "shard int, doc long, tie long, start long, n int, bytes binary")
+    by_doc = asked.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n", "anchor", "at")).alias("asked"))
+    pieces_ = texts.join(by_doc.hint("shuffle_hash"), ["doc", "tie"]).mapInArrow(_fetched(shards), "shard int, doc long, tie long, start long, n int, at int, bytes binary")
     compared = stored(pieces_.groupBy("shard").applyInArrow(_compared, "doc long, tie long, start long, n int"), "compared")
-    return found.where("anchor IS NULL").drop("anchor").union(compared)
+    return found.where("anchor IS NULL").drop("anchor", "at").union(compared)
 
 
 def remove_repeats(docs: DataFrame, digest: bool = False, hot: int = HOT, shard: int = SHARD) -> DataFrame:
