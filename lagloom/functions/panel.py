@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagloom.functions.scan import numbered
+from lagloom.functions.select import exact_quantiles
+
 
 def by_series():
     return Window.partitionBy("series")
@@ -35,9 +38,8 @@ def without_sparse_series(panel: DataFrame, most: float = 0.5) -> DataFrame:
 def without_sparse_times(panel: DataFrame, most: float = 0.1) -> DataFrame:
     """Times at which the share of zeros is `most` or less, numbered densely again."""
     sums = panel.groupBy("t").agg(F.avg((F.col("v") == 0).cast("int")).alias("z")).where(F.col("z") <= most)
-    # times are few next to rows: one number each
-    dense = sums.select("t", (F.row_number().over(Window.orderBy("t")) - 1).alias("dense"))
-    return panel.join(dense, "t").select("series", F.col("dense").alias("t"), "v")
+    dense = numbered(sums, ["t"], place="dense")
+    return panel.join(dense, "t").select("series", F.col("dense").cast(panel.schema["t"].dataType).alias("t"), "v")
 
 
 def without_extreme_series(panel: DataFrame, bound: float = 1.0, most: float = 0.1) -> DataFrame:
@@ -51,7 +53,7 @@ def clipped(panel: DataFrame, bound: float = 0.15) -> DataFrame:
 
 def winsorized(panel: DataFrame, low: float = 0.05, high: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
     """Values clipped to exact percentiles (of the groups of `by`)."""
-    cuts = panel.groupBy(*by).agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("_q"))
+    cuts = exact_quantiles(panel, F.col("v"), [low, high], *by).withColumnRenamed("q", "_q")
     joined = panel.join(F.broadcast(cuts)) if not by else panel.join(cuts, list(by))
     return joined.withColumn("v", F.least(F.greatest("v", F.col("_q")[0]), F.col("_q")[1])).drop("_q")
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.functions.scan import numbered, running_sum
+
 
 def arrays(panel: DataFrame, *keys: str) -> DataFrame:
     """(keys..., series, x): each series as an array in order of time."""
@@ -127,9 +129,7 @@ def bias_pattern(spark, n: int) -> DataFrame:
 
 def convergence(features: DataFrame) -> DataFrame:
     """(n, error) of running means of features (copy, f, p) against the mean of all: how averages settle."""
-    from pyspark.sql import Window
-
-    run = features.withColumn("m", F.avg("p").over(Window.partitionBy("f").orderBy("copy")))
+    run = numbered(running_sum(features, F.col("p"), ["copy"], "f"), ["copy"], "f").withColumn("m", F.col("total") / (F.col("place") + 1))
     last = features.groupBy("f").agg(F.avg("p").alias("all"))
     return run.join(last, "f").groupBy((F.col("copy") + 1).alias("n")).agg(F.sqrt(F.sum((F.col("m") - F.col("all")) ** 2)).alias("error"))
 

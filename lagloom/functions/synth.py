@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lagloom.functions.scan import numbered
+
 
 def uniform(seed: int, *cols) -> Column:
     """A number in (0, 1) that depends on the seed and the row's columns only, not on partitions or their order."""
@@ -54,7 +56,7 @@ def observations(
     cls = F.coalesce(*[F.when(place < e, F.lit(c)) for c, e in enumerate(ends)])
     most = n if max_shift < 0 else max(1, max_shift) + 1
     # a permutation of 0..total-1 mixes the classes
-    mixed = spark.range(total).withColumn("series", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id")).cast("long") - 1)
+    mixed = numbered(spark.range(total), [F.xxhash64(F.lit(seed), "id"), "id"], place="series")
     truth = mixed.select("series", cls.cast("int").alias("cls"), F.floor(uniform(seed + 2, "series") * most).cast("int").alias("shift"))
     moved = truth.join(F.broadcast(signal), "cls").withColumn("to", F.col("t") + F.col("shift"))
     if cyclic or max_shift < 0:

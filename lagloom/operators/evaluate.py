@@ -6,6 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.functions.select import exact_quantiles
+
+#: The percentiles 0, 5, ..., 100.
+PERCENTILES = [k / 20 for k in range(21)]
+
 
 def pair_errors(found: DataFrame, true: DataFrame) -> DataFrame:
     """(i, j, error, lag, true_lag) of the true pairs; error is null where nothing was found."""
@@ -31,12 +36,12 @@ def class_errors(errors: DataFrame, *keys: str) -> DataFrame:
 def whole_errors(errors: DataFrame) -> DataFrame:
     """(rel_error, sign_error, accuracy, quantiles): errors over pairs found, two sign errors for each pair missed over
     all pairs, right ones in percent, and the percentiles 0, 5, ..., 100 of the errors."""
-    return errors.agg(
+    means = errors.agg(
         (F.sum("error") / F.count("error")).alias("rel_error"),
         (F.sum(F.coalesce(F.abs(F.signum("lag") - F.signum("true_lag")), F.lit(2.0))) / F.count("*")).alias("sign_error"),
         (100.0 * F.count_if(F.col("error") < 1e-5) / F.count("*")).alias("accuracy"),
-        F.percentile("error", F.array(*[F.lit(k / 20) for k in range(21)])).alias("quantiles"),
     )
+    return means.join(F.broadcast(exact_quantiles(errors, F.col("error"), PERCENTILES).withColumnRenamed("q", "quantiles")))
 
 
 def quantile(evals: DataFrame, q: float) -> DataFrame:

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagloom.functions.scan import numbered, running_sum
+from lagloom.functions.select import exact_quantiles
+
 
 def in_order():
     return Window.partitionBy("series").orderBy("t")
@@ -18,7 +21,12 @@ def sign(c) -> Column:
 
 
 def cumulative(panel: DataFrame, kind: str = "simple", *keys: str) -> DataFrame:
-    """Running sums of simple returns, running products of gross ones, or running growth of log returns."""
+    """Running sums of simple returns, running products of gross ones, or running growth of log returns; without keys the
+    sums run over the whole panel, range by range."""
+    if not keys:
+        value = F.ln("v") if kind == "percentage" else F.col("v")
+        summed = running_sum(panel, value, ["t"], total="cumulative")
+        return summed if kind == "simple" else summed.withColumn("cumulative", F.exp("cumulative"))
     w = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     v = {"simple": F.sum("v").over(w), "log": F.exp(F.sum("v").over(w)), "percentage": F.exp(F.sum(F.ln("v")).over(w))}[kind]
     return panel.withColumn("cumulative", v)
@@ -161,7 +169,7 @@ def inverse_volatility(panel: DataFrame, start: int, days: int = 20, measure: st
     """(series, weight): 1 over the volatility of the days before start, clipped to its 5th and 95th percentiles."""
     v = {"sd": F.stddev_samp("v"), "variance": F.var_samp("v"), "square": F.avg(F.col("v") ** 2)}[measure]
     past = panel.where((F.col("t") >= start - days) & (F.col("t") < start)).groupBy("series").agg(F.try_divide(F.lit(1.0), v).alias("w"))
-    cut = past.agg(F.percentile("w", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    cut = exact_quantiles(past, F.col("w"), [0.05, 0.95])
     return past.join(F.broadcast(cut)).select("series", F.least(F.greatest("w", F.col("q")[0]), F.col("q")[1]).alias("weight"))
 
 
@@ -254,12 +262,11 @@ def asset_strategy(panel: DataFrame, pairs: DataFrame, share: float = 0.2) -> Da
     """(t, pnl): the last share of series by mean sign of lags, each on the signs of what every other series that leads it
     made its lag before; weights are winsorised a day and scaled to size 1. pairs hold both orders, lag > 0: i follows."""
     score = pairs.groupBy(F.col("i").alias("series")).agg(F.avg(F.signum("lag")).alias("s"))
-    place = score.select("series", F.percent_rank().over(Window.orderBy(F.desc("s"), "series")).alias("r")).where(F.col("r") < share)
+    place = numbered(score, [F.desc("s"), "series"], n="n").select("series", F.coalesce(F.try_divide("place", F.col("n") - 1), F.lit(0.0)).alias("r")).where(F.col("r") < share)
     leads = pairs.where("lag > 0").join(place.select(F.col("series").alias("i")), "i")
     past = panel.select(F.col("series").alias("j"), F.col("t").alias("tj"), F.col("v").alias("vj"))
     raw = leads.join(past, "j").withColumn("t", F.col("tj") + F.col("lag")).groupBy(F.col("i").alias("series"), "t").agg(F.sum("vj").alias("raw"))
-    q = raw.groupBy("t").agg(F.percentile("raw", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    w = raw.join(q, "t").withColumn("w", F.least(F.greatest("raw", F.col("q")[0]), F.col("q")[1]))
+    w = raw.join(exact_quantiles(raw, F.col("raw"), [0.05, 0.95], "t"), "t").withColumn("w", F.least(F.greatest("raw", F.col("q")[0]), F.col("q")[1]))
     w = w.withColumn("w", F.coalesce(F.try_divide("w", F.sum(F.abs("w")).over(Window.partitionBy("t"))), F.lit(0.0)))
     return portfolio_pnl(w.select("series", "t", "w"), panel)
 
