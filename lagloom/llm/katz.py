@@ -40,7 +40,7 @@ from lagloom.llm.common import MEMO, folded_words, id_and_text, map_columns, mos
 #: Counts that Good-Turing discounts, and the share that larger counts give up.
 CUTOFF, TAIL = 5, 1e-3
 #: Words that all tasks know at most (16 bytes each); pairs of a chunk, of a bucket.
-KNOWN_WORDS, CHUNK, BUCKET = 1_000_000, 1_000_000, 1_500_000
+KNOWN_WORDS, CHUNK, BUCKET = 1_000_000, 1_000_000, 800_000
 #: No word holds white space, so these stand for the end of a text and for what is before its first word.
 END, BEGIN = b"\n", b"\n\n"
 
