@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.spectral import arrays
+from lagloom.operators.edges import skew_ranking
 
 PAIRS = "i long, j long, lag int, score double"
 #: Values of references that a task holds at once.
@@ -243,19 +244,10 @@ def svd_ranking(h: np.ndarray) -> np.ndarray:
     return r - r.mean()
 
 
-def svd_lags(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, series, rank, lag): svd_ranking of each group's lag matrix (a class or window: hundreds of series)."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([df.i, df.j]))
-        at = {s: k for k, s in enumerate(names)}
-        h = np.zeros((len(names), len(names)))
-        for i, j, lag in zip(df.i, df.j, df.lag, strict=True):
-            h[at[i], at[j]], h[at[j], at[i]] = lag, -lag
-        r = svd_ranking(h)
-        return pd.DataFrame({key: df[key].iloc[0], "series": names, "rank": r, "lag": np.rint(r - r.min()).astype(np.int32)})
-
-    return pairs.groupBy(key).applyInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, series long, rank double, lag int")
+def svd_lags(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., series, rank, lag): the ranking of each group's lag matrix, on the table of pairs; svd_ranking is the dense
+    form."""
+    return skew_ranking(pairs, list(keys))
 
 
 def synchronised(panel: DataFrame, lags: DataFrame, n: int, *keys: str) -> DataFrame:

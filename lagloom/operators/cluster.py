@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.operators.align import DIGITS, assignment, lags_to_reference
+from lagloom.operators.edges import spectral_classes
 
 
 def negative_share(pairs: DataFrame) -> DataFrame:
@@ -56,22 +57,10 @@ def spectral_labels(affinity: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 
 
 def spectral_clusters(pairs: DataFrame, ks: list[int], key: str | None = None) -> DataFrame:
-    """([key,] k, series, cls) for each k: one task for each window (key) and k; a window has up to thousands of series."""
+    """([key,] k, series, cls) for each k and each window (key): eigenvectors and k-means on the table of pairs, all windows
+    and numbers of classes in the same jobs; no task holds the matrix of a window. spectral_labels is the dense form."""
     base = pairs if key else pairs.withColumn("_all", F.lit(0))
-    group = key or "_all"
-    spread = base.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    kind = base.schema[group].dataType.simpleString()
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([df.i, df.j]))
-        i, j = np.searchsorted(names, df.i), np.searchsorted(names, df.j)
-        a = np.zeros((len(names), len(names)))
-        a[i, j] = a[j, i] = df.score
-        own = spectral_labels(a, int(df.k.iloc[0]))
-        _, own = np.unique(own, return_inverse=True)
-        return pd.DataFrame({group: df[group].iloc[0], "k": df.k.iloc[0], "series": names, "cls": own.astype(np.int32)})
-
-    out = spread.groupBy(group, "k").applyInPandas(run, f"{group} {kind}, k int, series long, cls int")
+    out = spectral_classes(base, ks, [key or "_all"])
     return out if key else out.drop("_all")
 
 
