@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from lagloom.plans import align_queries, estimate_queries, panel_queries, trade_queries  # noqa: E402, F401
+from lagloom.plans import align_queries, estimate_queries, panel_queries, portfolio_queries, trade_queries  # noqa: E402, F401
