@@ -54,6 +54,7 @@ def exact_quantiles(df: DataFrame, value: Column, probabilities: list[float], *k
     keyed = keys or ("_all",)
     if not keys:
         values = values.withColumn("_all", F.lit(0))
+    values = stored_table(values, "values")  # rounds read it again and again
     counts = values.groupBy(*keyed).agg(F.count("v").alias("_n"))
     spots = F.array(*[F.struct(F.lit(k).alias("_k"), ((F.col("_n") - 1) * F.lit(float(p))).alias("_at")) for k, p in enumerate(probabilities)])
     spots = counts.where("_n > 0").select(*keyed, F.explode(spots).alias("s")).select(*keyed, "s._k", "s._at")

@@ -108,6 +108,30 @@ def invariants(obs: DataFrame, n: int, weight: str | None = None) -> tuple[DataF
     )
 
 
+def invariants_by_class(obs: DataFrame, n: int) -> DataFrame:
+    """(cls, kind, f1, f2, re, im) of series (cls, series, x): for every class the mean, the power spectrum (f1) and the
+    bispectrum (f1, f2), averaged over its series. One pass for all classes: a batch adds up each class that is in it."""
+    a, b = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
+    f1, f2 = a.ravel(), b.ravel()
+    kinds = np.array(["n", "mean"] + ["power"] * n + ["bispectrum"] * (n * n))
+    at1, at2 = np.concatenate([[0, 0], np.arange(n), f1]).astype(np.int32), np.concatenate([[0, 0], np.zeros(n), f2]).astype(np.int32)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for c, own in df.groupby("cls"):
+                x = np.array(own.x.to_list(), float)
+                h = np.fft.fft(x, axis=1)
+                bis = np.einsum("sa,sb,sab->ab", h, h.conj(), h[:, (b - a) % n], optimize=True).ravel()
+                re = np.concatenate([[len(x), x.mean(axis=1).sum()], (np.abs(h) ** 2).sum(axis=0), bis.real])
+                yield pd.DataFrame({"cls": c, "kind": kinds, "f1": at1, "f2": at2, "re": re, "im": np.concatenate([np.zeros(n + 2), bis.imag])})
+
+    kind = obs.schema["cls"].dataType.simpleString()
+    parts = obs.select("cls", "x").mapInPandas(sums, f"cls {kind}, kind string, f1 int, f2 int, re double, im double")
+    total = parts.groupBy("cls", "kind", "f1", "f2").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    size = total.where("kind = 'n'").select("cls", F.col("re").alias("n"))
+    return total.where("kind <> 'n'").join(size, "cls").select("cls", "kind", "f1", "f2", (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"))
+
+
 def debiased(mean: DataFrame, power_: DataFrame, n: int, sigma2: float) -> DataFrame:
     """(f, p): the power spectrum of centred data without the share of noise; at frequency 0 nothing is left."""
     p = F.when(F.col("f") == 0, F.col("p") - (n * F.col("mean")) ** 2).otherwise(F.col("p"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.spectral import arrays
 from lagloom.operators.edges import skew_ranking
+from lagloom.sources.storage import stored_table
 
 PAIRS = "i long, j long, lag int, score double"
 #: Values of references that a task holds at once.
@@ -166,7 +167,7 @@ def smallest_cover(lags: DataFrame, n: int) -> DataFrame:
 def constrained_lags(panel: DataFrame, reference: DataFrame, max_lag: int, n: int) -> DataFrame:
     """(series, lag): lags to one reference kept within a range of max_lag + 1: if all lags spread wider, the densest
     circular range (the first of equals) is kept and series outside are lagged anew within its first max_lag lags."""
-    first = lags_to_reference(panel, reference, list(range(n)), n).select("series", "lag")
+    first = stored_table(lags_to_reference(panel, reference, list(range(n)), n).select("series", "lag"), "first-lags")
     hist = panel.sparkSession.range(n).select(F.col("id").cast("int").alias("t")).join(first.groupBy(F.col("lag").alias("t")).agg(F.count("*").alias("v")), "t", "left").fillna(0)
     dense = circular_sums(hist, max_lag + 1, n)
     best = dense.agg(F.max_by("t", F.struct("total", -F.col("t"))).alias("start"))
@@ -181,6 +182,50 @@ def constrained_lags(panel: DataFrame, reference: DataFrame, max_lag: int, n: in
     return inside.unionByName(again.select("series", off.cast("int").alias("lag")))
 
 
+def circular_scores(x: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Scores of all circular lags 0..n-1 of each row of x against a reference, by one product of spectra."""
+    return np.fft.irfft(np.fft.rfft(x, axis=-1) * np.fft.rfft(reference).conj(), n=x.shape[-1], axis=-1)
+
+
+def lags_to_own_reference(panel: DataFrame, labels: DataFrame, reference: DataFrame, n: int, domain: int | None = None) -> DataFrame:
+    """(cls, series, lag) of every series against the reference (cls, t, v) of its class (series, cls[, start]). With a
+    domain, lags are looked for among start, ..., start + domain - 1 (modulo n) only; start is one number for a class."""
+    start = F.col("start").cast("int") if domain else F.lit(0)
+    refs = arrays(reference.withColumnRenamed("cls", "series")).select(F.col("series").alias("cls"), F.col("x").alias("ref"))
+    rows = arrays(panel).join(labels, "series").join(refs, "cls").select("cls", "series", "x", "ref", start.alias("start"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for c, own in df.groupby("cls"):
+                scores = circular_scores(np.array(own.x.to_list(), float), np.array(own.ref.iloc[0], float)).round(DIGITS)
+                lags = np.sort((int(own.start.iloc[0]) + np.arange(domain)) % n) if domain else np.arange(n)
+                yield pd.DataFrame({"cls": c, "series": own.series, "lag": lags[scores[:, lags].argmax(axis=1)].astype(np.int32)})
+
+    kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("cls", "series"))
+    return rows.mapInPandas(run, f"{kind}, lag int")
+
+
+def class_constrained_lags(panel: DataFrame, labels: DataFrame, reference: DataFrame, max_lag: int, n: int) -> DataFrame:
+    """(cls, series, lag): constrained_lags of every class (series, cls) to its own reference (cls, t, v), all classes in the
+    same jobs: each has its own densest range and its own lags for the second search."""
+    first = stored_table(lags_to_own_reference(panel, labels.select("series", "cls"), reference, n), "first-lags")
+    counts = first.groupBy("cls", F.col("lag").alias("t")).agg(F.count("*").alias("v"))
+    grid = counts.select("cls").distinct().select("cls", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
+    hist = grid.join(counts, ["cls", "t"], "left").fillna(0)
+    twice = hist.unionAll(hist.select("cls", F.col("t") + n, "v"))
+    w = Window.partitionBy("cls").orderBy("t")  # 2 n rows a class
+    dense = twice.withColumn("total", F.sum("v").over(w.rangeBetween(0, max_lag))).where(F.col("t") < n)
+    starts = dense.groupBy("cls").agg(F.max_by("t", F.struct("total", -F.col("t"))).alias("start"))
+    used = counts.withColumn("gap", F.coalesce(F.lead("t").over(w), F.min("t").over(Window.partitionBy("cls")) + n) - F.col("t") - 1)
+    wide = used.groupBy("cls").agg((n - F.max("gap") > max_lag + 1).alias("wide"))
+    placed = stored_table(first.join(starts.join(wide, "cls"), "cls").withColumn("off", F.pmod(F.col("lag") - F.col("start"), F.lit(n)).cast("int")), "placed")
+    kept = placed.where(~F.col("wide")).select("cls", "series", "lag")
+    inside = placed.where(F.col("wide") & (F.col("off") <= max_lag)).select("cls", "series", F.col("off").alias("lag"))
+    outside = placed.where(F.col("wide") & (F.col("off") > max_lag)).select("series", "cls", "start")
+    again = lags_to_own_reference(panel, outside, reference, n, max_lag).join(starts, "cls")
+    return kept.union(inside).union(again.select("cls", "series", F.pmod(F.col("lag") - F.col("start"), F.lit(n)).cast("int").alias("lag")))
+
+
 def matrix_from_vector(lags: DataFrame, n: int | None = None) -> DataFrame:
     """(i, j, lag) for i < j within each class (if there is one): differences, wrapped to the nearer side of n."""
     keys = ["cls"] if "cls" in lags.columns else []

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.functions.spectral import arrays, invariants
+from lagloom.functions.spectral import arrays, invariants, invariants_by_class
 from lagloom.sources.storage import stored_table
 
 
@@ -175,14 +175,23 @@ def signals_of(solved: DataFrame) -> DataFrame:
     return each.select("k", "cls", F.posexplode("s").alias("t", "v"))
 
 
-def class_signals(panel: DataFrame, labels: DataFrame, n: int, sigma: float) -> DataFrame:
-    """(cls, t, v): one signal for each class, from the moments of its series."""
-    out = None
-    for c in sorted(r[0] for r in labels.select("cls").distinct().collect()):  # a handful of classes
-        own = panel.join(labels.where(F.col("cls") == c).select("series"), "series", "left_semi")
-        one = signals_of(best_starts(estimate(own, n, sigma, [1], starts=2, free_p=False))).select(F.lit(c).alias("cls"), "t", "v")
-        out = one if out is None else out.unionByName(one)
-    return out
+def class_signals(panel: DataFrame, labels: DataFrame, n: int, sigma: float, starts: int = 2) -> DataFrame:
+    """(cls, t, v): one signal for each class, from the moments of its series. All classes' moments are added up in one pass
+    and each start of each class is solved in a task of its own, whatever the number of classes."""
+    obs = arrays(panel).join(labels.select("series", "cls"), "series")
+    moments = stored_table(invariants_by_class(obs, n), "moments").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    kind = labels.schema["cls"].dataType.simpleString()
+
+    def solve(df: pd.DataFrame) -> pd.DataFrame:
+        power, bis = np.zeros(n), np.zeros((n, n), complex)
+        p, b = df[df.kind == "power"], df[df.kind == "bispectrum"]
+        power[p.f1], bis[b.f1, b.f2] = p.re, b.re + 1j * b.im
+        found = match_moments(Moments(float(df.re[df.kind == "mean"].iloc[0]), power, bis, sigma), 1, int(df.start.iloc[0]), False)
+        return pd.DataFrame({"cls": [df.cls.iloc[0]], "start": [df.start.iloc[0]], "cost": [found["cost"]], "x": [found["x"][0]]})
+
+    solved = moments.groupBy("cls", "start").applyInPandas(solve, f"cls {kind}, start int, cost double, x array<double>")
+    best = solved.groupBy("cls").agg(F.min_by("x", F.struct("cost", "start")).alias("x"))
+    return best.select("cls", F.posexplode("x").alias("t", "v"))
 
 
 def em_step(obs: DataFrame, signals: np.ndarray, shares: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ from lagloom.operators import evaluate as V
 from lagloom.plans.panel_queries import E, Z, nation_returns, rounded
 from lagloom.plans.registry import query
 from lagloom.sources import panels as src
+from lagloom.sources.storage import stored_table
 
 M = 3  # lags looked at on monthly series
 
@@ -190,6 +191,32 @@ def _(spark, d):
     return A.constrained_lags(z, z.where("series = 0").select(F.lit(0).alias("cls"), "t", "v"), 5, length(z))
 
 
+@query("class_constrained_lags", f"""{Z}, len AS (SELECT count(DISTINCT t)::INT AS n FROM z), lb AS (SELECT DISTINCT series, (series % 3)::INT AS cls FROM z), ref AS (SELECT series::INT AS cls, t, v FROM z WHERE series < 3),
+s AS (SELECT a.series, r.cls, l AS lag, sum(a.v * r.v) AS score FROM ref r CROSS JOIN len CROSS JOIN (SELECT unnest(range(0, (SELECT n FROM len))) AS l) JOIN lb ON lb.cls = r.cls JOIN z a ON a.series = lb.series AND a.t = (r.t + l) % n GROUP BY 1, 2, 3),
+first AS (SELECT cls, series, lag FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(score, 9) DESC, lag) AS r FROM s) WHERE r = 1),
+g AS (SELECT DISTINCT cls, lag AS l FROM first), cover AS (SELECT cls, n - max(gap) AS cover FROM (SELECT cls, coalesce(lead(l) OVER (PARTITION BY cls ORDER BY l), min(l) OVER (PARTITION BY cls) + n) - l - 1 AS gap, n FROM g, len) GROUP BY cls, n),
+dense AS (SELECT cls, l AS start, count(*) FILTER (WHERE (lag - l + n) % n <= 5) AS total FROM first, len, (SELECT unnest(range(0, (SELECT n FROM len))) AS l) GROUP BY 1, 2),
+best AS (SELECT cls, start FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY total DESC, start) AS r FROM dense) WHERE r = 1),
+off AS (SELECT cls, series, lag, (lag - start + n) % n AS o FROM first JOIN best USING (cls) CROSS JOIN len),
+again AS (SELECT series, o FROM (SELECT s.series, (s.lag - start + n) % n AS o, row_number() OVER (PARTITION BY s.series ORDER BY round(score, 9) DESC, s.lag) AS r FROM s JOIN best USING (cls) CROSS JOIN len WHERE (s.lag - start + n) % n < 5) WHERE r = 1)
+SELECT cls, off.series, (CASE WHEN cover <= 6 THEN off.lag WHEN off.o <= 5 THEN off.o ELSE again.o END)::INT AS lag FROM off JOIN again USING (series) JOIN cover USING (cls)""")
+def _(spark, d):
+    z = nation_z(spark, d)
+    labels = z.select("series").distinct().withColumn("cls", (F.col("series") % 3).cast("int"))
+    return A.class_constrained_lags(z, labels, z.where("series < 3").select(F.col("series").cast("int").alias("cls"), "t", "v"), 5, length(z))
+
+
+@query("class_synchronised_signals", f"""{L}, ow AS (SELECT (i % 3)::INT AS cls, i AS series, sum(lag) AS s FROM mirror WHERE i % 3 = j % 3 GROUP BY 1, 2),
+vc AS (SELECT cls, series, round_even((s - min(s) OVER p) / count(*) OVER p, 0)::INT AS lag FROM ow WINDOW p AS (PARTITION BY cls))
+SELECT vc.cls, g.t, round(sum(coalesce(m.v, 0.0)) / count(*), 6) + 0.0 AS v FROM z g JOIN vc USING (series) LEFT JOIN z m ON m.series = g.series AND m.t - vc.lag = g.t GROUP BY 1, 2""")
+def _(spark, d):
+    """The mean of every class's series, each moved back by its lag within the class."""
+    z = nation_z(spark, d)
+    labels = z.select("series").distinct().withColumn("cls", (F.col("series") % 3).cast("int"))
+    lags = A.row_mean_lags(A.within_class(A.lag_pairs(z, M), labels), "cls")
+    return rounded(A.synchronised(z, lags, length(z), "cls"), "v")
+
+
 # clustering: classes of embeddings by the nearest of three reference vectors
 NEAR_SQL = """
 z AS (SELECT series, t, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v, cls AS label FROM vecs WINDOW w AS (PARTITION BY series)),
@@ -308,6 +335,24 @@ def _(spark, d):
     return whole.withColumn("quantiles", F.array_join(F.transform("quantiles", lambda x: F.format_string("%.4f", x)), ","))
 
 
+@query("class_weighted_errors", f"""{W}, tl AS (SELECT series, (series % 3)::INT AS cls, (CASE WHEN series % 5 = 0 THEN (series // 5) % 3 ELSE series % 3 END)::INT AS tc FROM vector),
+tp AS (SELECT a.series AS i, b.series AS j, a.lag - b.lag AS true_lag, x.cls AS ci, y.cls AS cj, x.tc FROM vector a JOIN vector b ON a.series < b.series JOIN tl x ON x.series = a.series JOIN tl y ON y.series = b.series WHERE x.tc = y.tc),
+mt AS (SELECT ci AS cls, abs(lag - true_lag)::DOUBLE AS error, abs(sign(lag) - sign(true_lag)) AS sg FROM tp JOIN best USING (i, j) WHERE ci = cj AND ci = tc),
+ca AS (SELECT cls, 100.0::DOUBLE * count(*) FILTER (WHERE error < 1e-5) / count(*) AS acc FROM mt GROUP BY 1), nr AS (SELECT cls, count(*) AS right_ FROM tl WHERE cls = tc GROUP BY 1),
+al AS (SELECT error FROM mt UNION ALL SELECT 3.0 FROM (SELECT unnest(range((SELECT count(*) FROM tp) - (SELECT count(*) FROM mt)))))
+SELECT (SELECT avg(error) FROM al) AS rel_error, ((SELECT sum(sg) FROM mt) + 2 * ((SELECT count(*) FROM tp) - (SELECT count(*) FROM mt)))::DOUBLE / (SELECT count(*) FROM tp) AS sign_error,
+(SELECT sum(acc * right_) FROM ca JOIN nr USING (cls)) / (SELECT count(*) FROM tl) AS accuracy,
+(SELECT array_to_string(list_transform(quantile_cont(error, [{', '.join(str(k / 20) for k in range(21))}]), lambda x: printf('%.4f', x)), ',') FROM al) AS quantiles""")
+def _(spark, d):
+    """Errors of lags in classes that differ from the true ones for every fifth series, three for a pair that is missed."""
+    pairs = stored_table(nation_pairs(spark, d), "pairs")
+    lags = stored_table(A.row_mean_lags(pairs), "lags")
+    cls = (F.col("series") % 3).cast("int")
+    true = lags.select("series", F.when(F.col("series") % 5 == 0, F.floor(F.col("series") / 5) % 3).otherwise(cls).cast("int").alias("cls"))
+    whole = V.class_weighted_errors(pairs, A.matrix_from_vector(lags), lags.select("series", cls.alias("cls")), true, 3.0)
+    return whole.withColumn("quantiles", F.array_join(F.transform("quantiles", lambda x: F.format_string("%.4f", x)), ","))
+
+
 @query("error_median", f"{EV} SELECT quantile_cont(error::DOUBLE, 0.5) AS error FROM er")
 def _(spark, d):
     return V.quantile(V.whole_errors(errors(spark, d)), 0.5)

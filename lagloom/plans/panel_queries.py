@@ -241,6 +241,21 @@ def _(spark, d):
     return rounded(S.invariants(obs, n)[2], "re", "im")
 
 
+@query("class_invariant_power", f"{D} SELECT (series % 3)::INT AS cls, f, round(avg(re * re + im * im), 6) AS p FROM spec GROUP BY 1, 2")
+def _(spark, d):
+    """The power spectra of three classes, from the moments of all of them in one pass."""
+    obs = S.arrays(nation_returns(spark, d)).withColumn("cls", (F.col("series") % 3).cast("int"))
+    n = obs.select(F.size("x")).first()[0]
+    return rounded(S.invariants_by_class(obs, n).where("kind = 'power'").select("cls", F.col("f1").alias("f"), F.col("re").alias("p")), "p")
+
+
+@query("class_invariant_bispectrum", f"{BISPECTRUM} SELECT (series % 3)::INT AS cls, f1, f2, round(avg(re), 6) + 0.0 AS re, round(avg(im), 6) + 0.0 AS im FROM bis GROUP BY 1, 2, 3")
+def _(spark, d):
+    obs = S.arrays(nation_returns(spark, d)).withColumn("cls", (F.col("series") % 3).cast("int"))
+    n = obs.select(F.size("x")).first()[0]
+    return rounded(S.invariants_by_class(obs, n).where("kind = 'bispectrum'").select("cls", "f1", "f2", "re", "im"), "re", "im")
+
+
 @query("invariant_power_weighted", f"{D} SELECT f, round(sum((series + 1) * (re * re + im * im)) / sum(series + 1), 6) AS p FROM spec GROUP BY 1")
 def _(spark, d):
     obs = S.arrays(nation_returns(spark, d)).withColumn("weight", F.col("series") + 1)
