@@ -30,22 +30,32 @@ def rolled(x: np.ndarray, lag: int) -> np.ndarray:
     return np.roll(x, -lag, axis=-1)
 
 
-def pair_scores(a: np.ndarray, b: np.ndarray, max_lag: int, circular: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(lags, scores) of all rows of a with all rows of b: one matrix product a lag."""
+def all_scores(a: np.ndarray, b: np.ndarray, max_lag: int, circular: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(lags, scores by lag) of all rows of a with all rows of b: one matrix product a lag."""
     n = a.shape[1]
     lags = np.arange(-max_lag, max_lag if circular else max_lag + 1)
     if circular:
         all_ = np.stack([rolled(a, int(d)) @ b.T for d in lags])
     else:
         all_ = np.stack([a[:, max(0, -d) : n - max(0, d)] @ b[:, max(0, d) : n - max(0, -d)].T for d in lags])
+    return lags, all_
+
+
+def best_scores(lags: np.ndarray, all_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = all_.round(DIGITS).argmax(axis=0)
     return lags[best], np.take_along_axis(all_, best[None], axis=0)[0]
 
 
-def lag_pairs(panel: DataFrame, max_lag: int, circular: bool = True, block: int = 256, key: str | None = None) -> DataFrame:
+def pair_scores(a: np.ndarray, b: np.ndarray, max_lag: int, circular: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(lags, scores) of all rows of a with all rows of b at their best lags."""
+    return best_scores(*all_scores(a, b, max_lag, circular))
+
+
+def lag_pairs(panel: DataFrame, max_lag: int, circular: bool = True, block: int = 256, key: str | None = None, within: list[int] | None = None) -> DataFrame:
     """(i, j, lag, score) of all pairs i < j. Series are dealt to blocks and every two blocks meet in one task, so the
     work spreads over block pairs and a task holds two blocks of arrays, however many series there are. With a key (such
-    as the start of a window), pairs are those of one key, which comes first in the result."""
+    as the start of a window), pairs are those of one key, which comes first in the result. With `within`, ranges of lags
+    up to max_lag, there is a row for each range m, the last column, from the same scores."""
     keys = [key] if key else []
     obs = arrays(panel, *keys).select(*keys, F.col("series").cast("long").alias("series"), "x")
     sizes = obs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
@@ -63,17 +73,21 @@ def lag_pairs(panel: DataFrame, max_lag: int, circular: bool = True, block: int
             if not len(one) or not len(two):
                 continue
             i, j = one.series.to_numpy(), two.series.to_numpy()
-            lag, score = pair_scores(np.array(one.x.to_list()), np.array(two.x.to_list()), max_lag, circular)
+            lags, all_ = all_scores(np.array(one.x.to_list()), np.array(two.x.to_list()), max_lag, circular)
             r, c = np.nonzero(i[:, None] < j[None, :])
-            out.append(pd.DataFrame({"i": i[r], "j": j[c], "lag": lag[r, c].astype(np.int32), "score": score[r, c]}))
+            for m in within or [max_lag]:
+                inside = (lags >= -m) & (lags < m + (not circular))
+                lag, score = best_scores(lags[inside], all_[inside])
+                found = pd.DataFrame({"i": i[r], "j": j[c], "lag": lag[r, c].astype(np.int32), "score": score[r, c]})
+                out.append(found.assign(m=m) if within else found)
             if df.p.iloc[0] == df.q.iloc[0]:
                 break
-        found = pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "lag": [], "score": []})
+        found = pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "lag": [], "score": [], **({"m": []} if within else {})})
         if key:
             found.insert(0, key, df[key].iloc[0])
         return found
 
-    fields = f"{key} {panel.schema[key].dataType.simpleString()}, {PAIRS}" if key else PAIRS
+    fields = (f"{key} {panel.schema[key].dataType.simpleString()}, {PAIRS}" if key else PAIRS) + (", m int" if within else "")
     return sent.groupBy(*keys, "p", "q").applyInPandas(meet, fields)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.scan import numbered, running_sum
 from lagloom.functions.select import exact_quantiles
+from lagloom.sources.storage import stored_table
 
 
 def in_order():
@@ -258,6 +259,34 @@ def ranked_strategy(panel: DataFrame, pairs: DataFrame, share: float = 0.2, lag:
     return two_group_pnl(mean(lead), mean(follow), lag).where("signal IS NOT NULL")
 
 
+def plain_strategy(panel: DataFrame, pairs: DataFrame, ranks: DataFrame | None = None, share: float = 0.2, watch: int = 1, hold: int = 1, benchmark=None) -> DataFrame:
+    """(t, signal, no, mkt, lead): profit of the last share of series, traded on what the first share made in the `watch` days
+    before t, and the same less the benchmark's or the leaders' return, by the signal. Series are ranked by the means of their
+    rows of the lag matrix, or by `ranks` (series, rank) of any kind; equal ones by series. Followers are held for `hold`
+    days from so many days after t as leaders are ahead of them on average, less one. pairs hold both orders; without a
+    benchmark mkt is null. Days at the end of the panel hold what is left of it."""
+    score = ranks or pairs.groupBy(F.col("i").alias("series")).agg(F.sum("lag").alias("rank"))
+    place = stored_table(numbered(score, [F.round("rank", 9), "series"], n="n"), "places").withColumn("cut", F.floor(F.col("n") * share))
+    lead, follow = place.where(F.col("place") < F.col("cut")).select("series"), place.where(F.col("place") >= F.col("n") - F.col("cut")).select("series")
+    towards = lambda s: pairs.join(s.withColumnRenamed("series", "j"), "j", "left_semi").agg(F.avg("lag").alias("m"))
+    means = towards(lead).withColumnRenamed("m", "a").join(F.broadcast(towards(follow)))
+    ahead = means.select(F.greatest(F.lit(0), F.rint(F.coalesce(F.col("a") - F.col("m"), F.lit(0.0))) - 1).cast("int")).first()[0]
+    mean = lambda s: panel.join(s, "series", "left_semi").groupBy("t").agg(F.avg("v").alias("v"))
+    # a day counts on each day that looks at it
+    seen = lambda rows, first, last, name: rows.select(F.explode(F.sequence(F.col("t") + first, F.col("t") + last)).alias("t"), "v").groupBy("t").agg(F.sum("v").alias(name))
+    leaders = stored_table(mean(lead), "leaders")
+    days = leaders.agg(F.max("t")).first()[0]
+    out = seen(leaders, 1, watch, "watched").where((F.col("t") >= watch) & (F.col("t") + hold <= (days or 0)))
+    out = out.join(seen(mean(follow), 1 - ahead - hold, -ahead, "held"), "t", "left").join(leaders.withColumnRenamed("v", "l"), "t", "left")
+    if benchmark is None:
+        out = out.withColumn("m", F.lit(None).cast("double"))
+    else:
+        out = out.join(seen(panel.where(F.col("series") == F.lit(benchmark)).select("t", "v"), 1 - hold, 0, "m"), "t", "left")
+    alpha = F.col("signal") * F.coalesce("held", F.lit(0.0))
+    out = out.withColumn("signal", sign(F.round("watched", 12)))
+    return out.select("t", "signal", alpha.alias("no"), (alpha - F.col("signal") * F.col("m")).alias("mkt"), (alpha - F.col("signal") * F.col("l")).alias("lead"))
+
+
 def asset_strategy(panel: DataFrame, pairs: DataFrame, share: float = 0.2) -> DataFrame:
     """(t, pnl): the last share of series by mean sign of lags, each on the signs of what every other series that leads it
     made its lag before; weights are winsorised a day and scaled to size 1. pairs hold both orders, lag > 0: i follows."""

@@ -13,6 +13,7 @@ from lagloom.operators import evaluate as V
 from lagloom.plans import experiments as X
 from lagloom.plans.panel_queries import R, nation_returns, rounded
 from lagloom.plans.registry import query
+from lagloom.sources import panels as src
 
 LENGTH = 15
 
@@ -92,6 +93,14 @@ def _(spark, d):
     return frame(spark, S.estimate_from_invariants(S.arrays(panel), LENGTH, 0.1))
 
 
+@query("embedding_class_signals")
+def _(spark, d):
+    """One signal for each label of the embeddings, from the moments of its vectors."""
+    table = spark.read.parquet(f"{d}/embeddings.parquet")
+    labels = table.select(F.col("vec_id").alias("series"), F.col("label").cast("int").alias("cls"))
+    return E.class_signals(src.embedding_series(spark, d), labels, 64, 0.1)
+
+
 @query("class_signals_from_moments")
 def _(spark, d):
     panel, truth, _ = X.planted_panel(spark, 2, 0.1, 200, LENGTH, 2)

@@ -10,6 +10,7 @@ from lagloom.plans.align_queries import L, nation_pairs
 from lagloom.plans.panel_queries import R, nation_returns, rounded
 from lagloom.plans.registry import query
 from lagloom.sources import panels as src
+from lagloom.sources.storage import stored_table
 
 G = f"""{R}, groups AS (SELECT DISTINCT series, (series % 3)::INT AS cls, ((series // 3) % 4)::INT AS lag FROM rets),
 gr AS (SELECT cls, lag, t, avg(v) AS v, count(*) AS n FROM rets JOIN groups USING (series) GROUP BY 1, 2, 3)"""
@@ -263,6 +264,22 @@ def _(spark, d):
     return rounded(T.ranked_strategy(nation_returns(spark, d), mirrored(nation_pairs(spark, d))), "ret", "pnl")
 
 
+PLAIN = f"""{L}, sc AS (SELECT i AS series, sum(lag) AS s FROM mirror GROUP BY 1), pl AS (SELECT series, row_number() OVER (ORDER BY s, series) - 1 AS r, floor(count(*) OVER () * 0.2) AS cut, count(*) OVER () AS n FROM sc),
+ah AS (SELECT greatest(0, round_even((SELECT avg(lag) FROM mirror JOIN pl ON pl.series = j WHERE r < cut) - (SELECT avg(lag) FROM mirror JOIN pl ON pl.series = j WHERE r >= n - cut), 0) - 1)::INT AS ahead),
+le AS (SELECT t, avg(v) AS v FROM rets WHERE series IN (SELECT series FROM pl WHERE r < cut) GROUP BY 1), fo AS (SELECT t, avg(v) AS v FROM rets WHERE series IN (SELECT series FROM pl WHERE r >= n - cut) GROUP BY 1),
+dy AS (SELECT i::INT AS t FROM (SELECT unnest(range(2, (SELECT max(t) FROM le)::INT - 1)) AS i)),
+st AS (SELECT t, (SELECT sign(round(sum(v), 12))::INT FROM le WHERE le.t >= dy.t - 2 AND le.t < dy.t) AS signal, coalesce((SELECT sum(v) FROM fo, ah WHERE fo.t >= dy.t + ahead AND fo.t < dy.t + ahead + 2), 0) AS held,
+  (SELECT sum(v) FROM rets r WHERE r.series = 0 AND r.t >= dy.t AND r.t < dy.t + 2) AS m, (SELECT v FROM le WHERE le.t = dy.t) AS l FROM dy)"""
+
+
+@query("plain_strategy", f"{PLAIN} SELECT t, signal, round(signal * held, 6) + 0.0 AS no, round(signal * held - signal * m, 6) + 0.0 AS mkt, round(signal * held - signal * l, 6) + 0.0 AS lead FROM st")
+def _(spark, d):
+    from lagloom.operators.align import mirrored
+
+    out = T.plain_strategy(nation_returns(spark, d), mirrored(stored_table(nation_pairs(spark, d), "pairs")), watch=2, hold=2, benchmark=0)
+    return rounded(out, "no", "mkt", "lead")
+
+
 @query("asset_strategy", f"""{L}, sc AS (SELECT i AS series, avg(sign(lag)) AS s FROM mirror GROUP BY 1), pl AS (SELECT series, percent_rank() OVER (ORDER BY s DESC, series) AS r FROM sc),
 raw AS (SELECT b.i AS series, p.t + b.lag AS t, sum(p.v) AS raw FROM mirror b JOIN pl ON pl.series = b.i AND pl.r < 0.2 JOIN rets p ON p.series = b.j WHERE b.lag > 0 GROUP BY 1, 2),
 q AS (SELECT t, quantile_cont(raw, 0.05) AS lo, quantile_cont(raw, 0.95) AS hi FROM raw GROUP BY 1), c AS (SELECT series, t, least(greatest(raw, lo), hi) AS w FROM raw JOIN q USING (t)),

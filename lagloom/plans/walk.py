@@ -46,13 +46,13 @@ def whole_schedule(panel: DataFrame, length: int, step: int) -> DataFrame:
     return windows(panel.sparkSession, 0, max(0, last - length) + 1, length, step)
 
 
-def walk_lag_pairs(panel: DataFrame, schedule: DataFrame, max_lag: int) -> DataFrame:
-    """(start, i, j, lag, score): the lag matrix of every window, all in one job. Series are standardised within each
+def walk_lag_pairs(panel: DataFrame, schedule: DataFrame, max_lag: int, within: list[int] | None = None) -> DataFrame:
+    """(start, i, j, lag, score[, m]): the lag matrix of every window, all in one job. Series are standardised within each
     window; one that is constant there has no lags in it."""
     w = Window.partitionBy("start", "series")
     z = F.try_divide(F.col("v") - F.avg("v").over(w), F.stddev_pop("v").over(w))
     inside = in_windows(panel, schedule).select("start", "series", (F.col("t") - F.col("start")).alias("t"), z.alias("v"))
-    return lag_pairs(inside.where("v IS NOT NULL"), max_lag, key="start")
+    return lag_pairs(inside.where("v IS NOT NULL"), max_lag, key="start", within=within)
 
 
 def leaders_and_followers(lags: DataFrame, *keys: str) -> DataFrame:
@@ -76,10 +76,8 @@ def walk_forward_backtest(panel: DataFrame, length: int, step: int, max_lags: li
     """(start, t, m, pnl): for every window the range of lags m whose strategy earned most in it, traded in the days after
     it: lag matrix, lag vector, leaders and followers, all windows and ranges in one plan."""
     schedule = whole_schedule(panel, length, step)
-    vectors = None
-    for m in max_lags:
-        v = row_mean_lags(walk_lag_pairs(panel, schedule, m), "start").withColumn("m", F.lit(m))
-        vectors = v if vectors is None else vectors.unionByName(v)
+    pairs = stored_table(walk_lag_pairs(panel, schedule, max(max_lags), max_lags), "walk-pairs")
+    vectors = stored_table(row_mean_lags(pairs, "start", "m"), "walk-lags")
     pnl = stored_table(follow_the_leaders(panel, schedule, leaders_and_followers(vectors, "start", "m"), days, "m"), "walk-pnl")
     inside = pnl.where("t < end").groupBy("start", "m").agg(F.avg("pnl").alias("score"))
     best = inside.groupBy("start").agg(F.max_by("m", F.struct(F.round("score", 9), -F.col("m"))).alias("m"))

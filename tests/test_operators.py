@@ -267,3 +267,35 @@ def test_parameters_runs_and_layouts(spark, tmp_path):
     src.write_table(both, f"{tmp_path}/signals", "sigma")
     cut = src.read_signals(spark, f"{tmp_path}/signals", first=2, sigma=1.5)
     assert sorted((r.series, r.t, r.v) for r in cut.collect()) == [(0, 0, 0.0), (0, 1, -1.0), (1, 0, -2.0), (1, 1, -3.0)]
+
+
+def test_moments_of_all_classes_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    x, cls = rng.standard_normal((30, 8)), rng.integers(0, 3, 30)
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cls)], "series long, cls int")
+    got = {(r.cls, r.kind, r.f1, r.f2): complex(r.re, r.im) for r in S.invariants_by_class(S.arrays(long(spark, x)).join(labels, "series"), 8).collect()}
+    assert len(got) == 3 * (1 + 8 + 64)
+    for c in range(3):
+        h = np.fft.fft(x[cls == c], axis=1)
+        assert np.isclose(got[c, "mean", 0, 0], x[cls == c].mean())
+        for a in range(8):
+            assert np.isclose(got[c, "power", a, 0], (np.abs(h[:, a]) ** 2).mean())
+            for b in range(8):
+                assert np.isclose(got[c, "bispectrum", a, b], (h[:, a] * h[:, b].conj() * h[:, (b - a) % 8]).mean())
+
+
+def test_signals_of_all_classes_are_found_in_one_pass(spark):
+    rng = np.random.default_rng(12)
+    truth = rng.standard_normal((3, 12))
+    x = np.stack([np.roll(truth[k % 3], int(rng.integers(12))) for k in range(30)])
+    labels = spark.createDataFrame([(k, k % 3) for k in range(30)], "series long, cls int")
+    got = E.class_signals(long(spark, x), labels, 12, 0.0, starts=4).toPandas().pivot(index="cls", columns="t", values="v").to_numpy()
+    for c in range(3):
+        assert min(np.abs(np.roll(got[c], s) - truth[c]).max() for s in range(12)) < 1e-3
+
+
+def test_scores_by_spectra_equal_those_by_products():
+    rng = np.random.default_rng(13)
+    a, b = rng.standard_normal((5, 64)), rng.standard_normal(64)
+    want = np.array([[np.roll(x, -d) @ b for d in range(64)] for x in a])
+    assert np.allclose(A.circular_scores(a, b), want)
