@@ -194,42 +194,96 @@ def class_signals(panel: DataFrame, labels: DataFrame, n: int, sigma: float, sta
     return best.select("cls", F.posexplode("x").alias("t", "v"))
 
 
-def em_step(obs: DataFrame, signals: np.ndarray, shares: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """One round of expectation maximisation over all observations (x array): each partition adds its posterior-weighted
-    sums of shifted copies; k by n sums and k weights come back, whatever the number of observations."""
+#: Observations of the sample for batch rounds at most, of a batch, and batch rounds; panels of fewer than FULL have none.
+SAMPLE, BATCH, BATCH_ROUNDS, FULL = 20_000, 1_000, 3_000, 3_000
+
+
+def em_sums(x: np.ndarray, signals: np.ndarray, shares: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of observations (rows of x): sums of their copies moved back, by class, weighed by how likely each shift and class is;
+    the weights of the classes; and the log-likelihood, but for what depends on neither signals nor shares."""
+    n = signals.shape[1]
+    hx, hs = np.fft.rfft(x, axis=1), np.fft.rfft(signals, axis=1)
+    score = np.fft.irfft(hx[:, None, :] * hs.conj()[None], n=n, axis=2)  # [m, k, s] = sum over t of x[t + s] signal[t]
+    log = (score - 0.5 * (signals**2).sum(1)[None, :, None]) / sigma**2 + np.log(np.maximum(shares, 1e-300))[None, :, None]
+    top = log.max(axis=(1, 2), keepdims=True)
+    w = np.exp(log - top)
+    total = w.sum(axis=(1, 2), keepdims=True)
+    w /= total
+    back = np.fft.irfft(hx[:, None, :] * np.fft.rfft(w, axis=2).conj(), n=n, axis=2).sum(0)
+    return back, w.sum(axis=(0, 2)), float((np.log(total) + top).sum())
+
+
+def em_update(back: np.ndarray, mass: np.ndarray, signals: np.ndarray, sigma: float, prior: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """The signals that fit the sums best: their means, or under a Gaussian prior (mean k by n, precision kn by kn) the
+    solution of one linear system."""
+    if prior is None:
+        return np.where(mass[:, None] > 1e-12, back / np.maximum(mass[:, None], 1e-12), signals)
+    mean, precision = prior
+    left = precision + np.diag(np.repeat(mass, signals.shape[1]) / sigma**2)
+    return np.linalg.solve(left, (back / sigma**2).ravel() + precision @ mean.ravel()).reshape(signals.shape)
+
+
+def em_step(obs: DataFrame, signals: np.ndarray, shares: np.ndarray, sigma: float, prior=None) -> tuple[np.ndarray, np.ndarray, float]:
+    """One round of expectation maximisation over all observations (x array): (signals, shares, log-likelihood of what went
+    in). Each partition adds its sums; k by n sums and k weights come back, whatever the number of observations."""
     k, n = signals.shape
 
     def sums(batches):
-        hs = np.fft.fft(signals, axis=1)
         for df in batches:
-            if not len(df):
-                continue
-            x = np.array(df.x.to_list(), float)
-            hx = np.fft.fft(x, axis=1)
-            # score[m, k, s] = sum over t of x[t + s] signal[t]
-            score = np.real(np.fft.ifft(hx[:, None, :] * hs.conj()[None], axis=2))
-            log = (score - 0.5 * (signals**2).sum(1)[None, :, None]) / sigma**2 + np.log(np.maximum(shares, 1e-300))[None, :, None]
-            log -= log.max(axis=(1, 2), keepdims=True)
-            w = np.exp(log)
-            w /= w.sum(axis=(1, 2), keepdims=True)
-            back = np.real(np.fft.ifft(hx[:, None, :] * np.fft.fft(w, axis=2).conj(), axis=2)).sum(0)
-            mass = w.sum(axis=(0, 2))
-            yield pd.DataFrame([(c, t, float(back[c, t]), float(mass[c])) for c in range(k) for t in range(n)], columns=["cls", "t", "s", "w"])
-
-    rows = obs.select("x").mapInPandas(sums, "cls int, t int, s double, w double").groupBy("cls", "t").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).collect()
-    new, mass = np.zeros((k, n)), np.zeros(k)
-    for r in rows:
-        new[r.cls, r.t], mass[r.cls] = r.s, r.w
-    return np.where(mass[:, None] > 1e-12, new / np.maximum(mass[:, None], 1e-12), signals), mass / max(mass.sum(), 1e-300)
-
+            if len(df):
+                back, mass, fit = em_sums(np.array(df.x.to_list(), float), signals, shares, sigma)
+                yield pd.DataFrame({"cls": np.append(np.repeat(np.arange(k), n + 1), -1), "t": np.append(np.tile(np.arange(n + 1), k), 0), "s": np.append(np.column_stack([back, mass]).ravel(), fit)})
 
-def expectation_maximisation(panel: DataFrame, k: int, n: int, sigma: float, rounds: int = 50, tolerance: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
-    """(signals, shares, rounds): EM over shifts and classes until the signals move by less than the tolerance."""
+    rows = obs.select("x").mapInPandas(sums, "cls int, t int, s double").groupBy("cls", "t").agg(F.sum("s").alias("s")).collect()
+    table, fit = np.zeros((k, n + 1)), 0.0
+    for r in rows:
+        if r.cls < 0:
+            fit = r.s
+        else:
+            table[r.cls, r.t] = r.s
+    return em_update(table[:, :n], table[:, n], signals, sigma, prior), table[:, n] / max(table[:, n].sum(), 1e-300), fit
+
+
+def em_batches(obs: DataFrame, total: int, signals: np.ndarray, shares: np.ndarray, sigma: float, prior, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rounds over small batches to start with: a sample of at most SAMPLE observations, by hash, goes to one task, which
+    draws BATCH of them for each round. What full rounds converge to is decided by all observations."""
+    share = min(1.0, SAMPLE / total)
+    sample = obs.where(F.pmod(F.xxhash64(F.lit(seed), "x"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(SAMPLE)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        x, rng, now, p = np.array(df.x.to_list(), float), np.random.default_rng(seed), signals, shares
+        for _ in range(rounds):
+            back, mass, _ = em_sums(x[rng.integers(len(x), size=BATCH)], now, p, sigma)
+            now, p = em_update(back, mass, now, sigma, prior), mass / mass.sum()
+        return pd.DataFrame({"x": [now.ravel()], "p": [p]})
+
+    done = sample.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "x array<double>, p array<double>").first()
+    return (np.array(done.x).reshape(signals.shape), np.array(done.p)) if done else (signals, shares)
+
+
+def moved_up_to_shift(old: np.ndarray, new: np.ndarray) -> float:
+    """The distance of signals (rows), each to its nearest circular shift."""
+    score = np.fft.irfft(np.fft.rfft(old, axis=1) * np.fft.rfft(new, axis=1).conj(), n=old.shape[1], axis=1).max(axis=1)
+    return float(np.sqrt(np.maximum((old**2).sum(1) + (new**2).sum(1) - 2 * score, 0).sum()))
+
+
+def expectation_maximisation(
+    panel: DataFrame, k: int, n: int, sigma: float, rounds: int = 10_000, tolerance: float = 1e-5, seed: int = 0,
+    prior: tuple[np.ndarray, np.ndarray] | None = None, batch_rounds: int = BATCH_ROUNDS, fits: list[float] | None = None,
+) -> tuple[np.ndarray, np.ndarray, int]:
+    """(signals, shares, rounds): EM over shifts and classes. Large panels start with batch rounds on a sample; then all
+    observations count in every round, until the signals, up to circular shifts, move by less than the tolerance (relative
+    to their size for one class, times k for more) or `rounds` are over. fits gets the log-likelihood of every full round."""
     obs = stored_table(arrays(panel).select("x"), "observations")
     signals, shares = np.random.default_rng(seed).standard_normal((k, n)), np.full(k, 1 / k)
+    total = obs.count()
+    if total >= FULL and batch_rounds:
+        signals, shares = em_batches(obs, total, signals, shares, sigma, prior, batch_rounds, seed)
     for r in range(1, rounds + 1):
-        new, shares = em_step(obs, signals, shares, sigma)
-        moved = np.linalg.norm(new - signals) / max(np.linalg.norm(signals), 1e-300)
+        new, shares, fit = em_step(obs, signals, shares, sigma, prior)
+        if fits is not None:
+            fits.append(fit)
+        moved = moved_up_to_shift(signals, new) / (max(np.linalg.norm(signals), 1e-300) if k == 1 else k)
         signals = new
         if moved < tolerance:
             return signals, shares, r

@@ -78,13 +78,13 @@ def _(spark, d):
 @query("em_homogeneous")
 def _(spark, d):
     panel, _, _ = X.planted_panel(spark, 1, 0.3, 300, LENGTH, -1)
-    return frame(spark, E.expectation_maximisation(panel, 1, LENGTH, 0.3, 20)[0])
+    return frame(spark, E.expectation_maximisation(panel, 1, LENGTH, 0.3)[0])
 
 
 @query("em_two_classes")
 def _(spark, d):
     panel, _, _ = X.planted_panel(spark, 2, 0.3, 400, LENGTH, -1)
-    return frame(spark, E.expectation_maximisation(panel, 2, LENGTH, 0.3, 20)[0])
+    return frame(spark, E.expectation_maximisation(panel, 2, LENGTH, 0.3)[0])
 
 
 @query("invariant_features_signal")
@@ -93,6 +93,12 @@ def _(spark, d):
     return frame(spark, S.estimate_from_invariants(S.arrays(panel), LENGTH, 0.1))
 
 
+@query("em_embeddings")
+def _(spark, d):
+    """Two hidden signals of all embeddings, moved circularly, by expectation maximisation until they move by less than 0.05."""
+    return frame(spark, E.expectation_maximisation(P.zscored(src.embedding_series(spark, d)), 2, 64, 1.0, tolerance=0.025)[0])
+
+
 @query("embedding_class_signals")
 def _(spark, d):
     """One signal for each label of the embeddings, from the moments of its vectors."""

@@ -299,3 +299,21 @@ def test_scores_by_spectra_equal_those_by_products():
     a, b = rng.standard_normal((5, 64)), rng.standard_normal(64)
     want = np.array([[np.roll(x, -d) @ b for d in range(64)] for x in a])
     assert np.allclose(A.circular_scores(a, b), want)
+
+
+def test_expectation_maximisation_never_gets_worse(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    truth = rng.standard_normal((2, 16))
+    x = np.stack([np.roll(truth[k % 2], int(rng.integers(16))) + 0.4 * rng.standard_normal(16) for k in range(400)])
+    fits: list[float] = []
+    signals, shares, rounds = E.expectation_maximisation(long(spark, x), 2, 16, 0.4, seed=3, fits=fits)
+    assert rounds == len(fits) < 10_000 and all(b >= a - 1e-8 * abs(a) for a, b in zip(fits, fits[1:], strict=False))
+    order, found = A.align_signals(signals, truth)
+    assert np.linalg.norm(found - truth) / np.linalg.norm(truth) < 0.15 and np.allclose(shares, 0.5, atol=0.1)
+    monkeypatch.setattr(E, "FULL", 100)  # batch rounds first
+    started: list[float] = []
+    again = E.expectation_maximisation(long(spark, x), 2, 16, 0.4, seed=3, batch_rounds=60, fits=started)
+    assert again[2] <= rounds and started[-1] >= fits[-1] - 1e-6 * abs(fits[-1])
+    # a strong prior holds the signals where it says
+    prior = (np.zeros((2, 16)), 1e9 * np.eye(32))
+    assert np.abs(E.expectation_maximisation(long(spark, x), 2, 16, 0.4, prior=prior)[0]).max() < 1e-3
