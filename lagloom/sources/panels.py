@@ -50,6 +50,15 @@ def write_returns(panel: DataFrame, path: str) -> None:
     panel.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_wide_returns(panel: DataFrame, path: str, key: str = "ticker") -> None:
+    """A panel (series, date, v) as the wide CSV that read_returns reads: a row for each series, a column X20000103 for each
+    date in order; what is missing is empty. Only the dates, which are the columns, come to the driver."""
+    day = F.concat(F.lit("X"), F.date_format("date", "yyyyMMdd"))
+    days = [r.day for r in panel.select(day.alias("day")).distinct().orderBy("day").collect()]
+    wide = panel.select(F.col("series").alias(key), day.alias("day"), "v").groupBy(key).pivot("day", days).agg(F.max("v"))
+    wide.write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_table(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """A stored panel, its times cut to [start, end) at the scan."""
     df = spark.read.parquet(path)

@@ -317,3 +317,11 @@ def test_expectation_maximisation_never_gets_worse(spark, monkeypatch):
     # a strong prior holds the signals where it says
     prior = (np.zeros((2, 16)), 1e9 * np.eye(32))
     assert np.abs(E.expectation_maximisation(long(spark, x), 2, 16, 0.4, prior=prior)[0]).max() < 1e-3
+
+
+def test_wide_returns_can_be_read_again(spark, tmp_path):
+    wide = spark.createDataFrame([("a", 0.5, None), ("b", -1.0, 2.0)], "ticker string, X20200102 double, X20200103 double")
+    panel = src.melted(wide, "ticker")
+    src.write_wide_returns(panel, str(tmp_path / "wide"))
+    again = src.read_returns(spark, str(tmp_path / "wide"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, panel.collect()))
