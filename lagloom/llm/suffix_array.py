@@ -6,7 +6,7 @@ bytes they cover. Pieces are compared by anchor in buckets of anchor hashes. Of
 repeated, which a task settles for its own texts before it sends anything. Strings of different pieces can be equal where
 the pieces have one anchor: the earliest of each such piece is fetched and goes to a shard of anchors. There, strings fall
 into four classes by where the anchor is in them, and what all strings of a class have in common, 83 bytes or more, must be
-in another piece too: most pieces that met by chance go no further.
+in another piece too; and of equal runs of strings of a class the earliest goes on, the others are repeated.
 
 What is repeated. A shard joins its pieces and builds one suffix array. Suffixes start out in groups by first symbol;
 groups are taken in descending order, each suffix of a group points to the previous suffix of a smaller group, and what is
@@ -395,34 +395,27 @@ _SIDE = LENGTH - K
 CLASSES = [(k * (_SIDE // 4), _SIDE if k == 3 else (k + 1) * (_SIDE // 4) - 1) for k in range(4)]
 
 
-def shared_starts(ns: list[int], ats: list[int], texts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(piece, first, n): the starts of pieces whose strings hold bytes around the anchor, all that their class has in
-    common, that another piece has too. All others are equal to no string of another piece."""
-    spots = []
+def shared_starts(ns: list[int], ats: list[int], texts: list[bytes]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(piece, first, n) in order: starts of one class whose strings may be equal to some of another piece, and starts whose
+    strings all are. The pieces come in order of place. The strings of a class and piece are left out if what they have in
+    common is in no other piece; of equal runs of strings the earliest is kept, the others are repeated."""
+    repeated, kept = [], []
+    known: list[dict[bytes, int]] = [{}, {}, {}, {}]
     seen: list[dict[bytes, int]] = [{}, {}, {}, {}]
-    for at, n, text in zip(ats, ns, texts, strict=True):
-        own = []
-        for k, (low, high) in enumerate(CLASSES):
+    for p, (at, n, text) in enumerate(zip(ats, ns, texts, strict=True)):
+        for k in (3, 2, 1, 0):  # ascending starts
+            low, high = CLASSES[k]
             first, last = max(0, at - high), min(n - 1, at - low)
             if first <= last:
-                common = text[at - low : at + K + _SIDE - high]
-                seen[k][common] = seen[k].get(common, 0) + 1
-                own.append((k, first, last, common))
-        spots.append(own)
-    out = []
-    for p, own in enumerate(spots):
-        begin = end = None
-        for k, first, last, common in reversed(own):  # ascending starts
-            if seen[k][common] > 1:
-                if end is not None and first == end + 1:
-                    end = last
-                    continue
-                if end is not None:
-                    out.append((p, begin, end - begin + 1))
-                begin, end = first, last
-        if end is not None:
-            out.append((p, begin, end - begin + 1))
-    return out
+                run = text[first : last + LENGTH]
+                if run in known[k]:
+                    repeated.append((p, first, last - first + 1))
+                else:
+                    known[k][run] = p
+                    common = text[at - low : at + K + _SIDE - high]
+                    seen[k][common] = seen[k].get(common, 0) + 1
+                    kept.append((p, first, last - first + 1, k, common))
+    return [x[:3] for x in kept if seen[x[3]][x[4]] > 1], repeated
 
 
 def _compared(group: pa.Table) -> pa.Table:
@@ -433,12 +426,15 @@ def _compared(group: pa.Table) -> pa.Table:
     rows, texts = rows[keep], [t for t, k in zip(texts, keep, strict=True) if k]
     order = np.lexsort((rows.start, rows.tie, rows.doc))
     rows, texts = rows.iloc[order], [texts[k] for k in order]
-    parts = shared_starts(rows.n.to_list(), rows["at"].to_list(), texts)
+    parts, repeated = shared_starts(rows.n.to_list(), rows["at"].to_list(), texts)
+    spans = np.array(repeated, np.int64).reshape(-1, 3)
+    doc, tie, start = (rows[c].to_numpy(np.int64) for c in ("doc", "tie", "start"))
+    settled = pa.table({"doc": doc[spans[:, 0]], "tie": tie[spans[:, 0]], "start": start[spans[:, 0]] + spans[:, 1], "n": spans[:, 2].astype(np.int32)})
     if not parts:
-        return pa.table({"doc": pa.array([], pa.int64()), "tie": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
+        return settled
     of, first, n = (np.array(x) for x in zip(*parts, strict=True))
     texts = [texts[p][a : a + m + LENGTH - 1] for p, a, m in parts]
-    rows = rows.iloc[of].assign(n=n, start=rows.start.to_numpy()[of] + first)
+    rows = rows.iloc[of].assign(n=n, start=start[of] + first)
     n, sizes = rows.n.to_numpy(np.int64), np.array([len(t) + 1 for t in texts])
     begin = np.cumsum(sizes) - sizes
     inside = np.arange(sizes.sum()) - np.repeat(begin, sizes)
@@ -447,7 +443,7 @@ def _compared(group: pa.Table) -> pa.Table:
     first, stop = edge[::2], edge[1::2]
     of = np.searchsorted(begin, first, side="right") - 1
     out = {"doc": rows.doc.to_numpy()[of], "tie": rows.tie.to_numpy()[of], "start": rows.start.to_numpy()[of] + first - begin[of], "n": (stop - first).astype(np.int32)}
-    return pa.table(out)
+    return pa.concat_tables([settled, pa.table(out)])
 
 
 def _fetched(shards: int):
