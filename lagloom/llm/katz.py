@@ -28,9 +28,11 @@ from __future__ import annotations
 import math
 from array import array
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -414,26 +416,21 @@ class KatzModel:
         order = np.argsort(hashes)
         known = self.unseen.sparkSession.sparkContext.broadcast((hashes[order], weights[order]))
 
-        def make():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, weights = known.value
-
-            def step(histories, keys):
-                out: dict[str, list] = {"key": [], "weights": [], "history": []}
-                for h, key in zip(histories, keys, strict=True):
-                    h, key = np.array(h, np.int64), np.array(key, np.int64)
-                    if not len(h):
-                        continue
-                    at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-                    here = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                    one, place = np.unique(key[here], return_inverse=True)
-                    out["key"] += [*one.tolist(), *key[~here].tolist()]
-                    out["weights"] += [*np.bincount(place, weights[at[here]], len(one)).tolist(), *[0.0] * int((~here).sum())]
-                    out["history"] += [*[None] * len(one), *h[~here].tolist()]
-                return out
-
-            return step
-
-        sums = map_columns(self.unseen, make, "key long, weights double, history long")
+            for batch in batches:
+                histories, keys = (batch.column(c).flatten().to_numpy() for c in (0, 1))  # as long as each other in each row
+                for at in range(0, len(histories), CHUNK // 4):
+                    h, key = histories[at : at + CHUNK // 4], keys[at : at + CHUNK // 4]
+                    place = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+                    here = hashes[place] == h if len(hashes) else np.zeros(len(h), bool)
+                    one, of = np.unique(key[here], return_inverse=True)
+                    rest = int((~here).sum())
+                    sums = np.concatenate([np.bincount(of, weights[place[here]], len(one)), np.zeros(rest)])
+                    history = pa.array(np.concatenate([np.zeros(len(one), np.int64), h[~here]]), mask=np.arange(len(one) + rest) < len(one))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([one, key[~here]])), pa.array(sums), history], ["key", "weights", "history"])
+
+        sums = self.unseen.mapInArrow(run, "key long, weights double, history long")
         rare = sums.where("history IS NOT NULL").join(self.backoff, "history").select("key", F.col("log_weight").alias("weights"))
         return sums.where("history IS NULL").select("key", "weights").union(rare).groupBy("key").agg(F.sum("weights").alias("weights"))
 
