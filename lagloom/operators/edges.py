@@ -26,8 +26,8 @@ def under_own_names(run: Callable[[DataFrame, list[str]], DataFrame], table: Dat
 
 
 Product = Callable[[DataFrame, list[str]], DataFrame]
-#: Products in a round, rounds at most, and the relative residual at which a round is the last.
-STEPS, ROUNDS, TOLERANCE = 4, 8, 1e-9
+#: Products in a round, rounds at most, and the relative residual at which a round is the last (rounding leaves 1e-8).
+STEPS, ROUNDS, TOLERANCE = 4, 8, 1e-7
 
 
 def product(edges: DataFrame, vectors: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
@@ -167,7 +167,7 @@ def _spectral_classes(pairs: DataFrame, ks: list[int], keys: list[str]) -> DataF
         return image.join(same, [*keys, "node"]).select(*keys, "node", *[(F.col(c) + F.col(f"own_{c}")).alias(c) for c in columns])
 
     # one vector decides nothing: k = 1 is one class
-    vectors = leading_vectors(nodes.select(*keys, "node"), multiply, most, keys, tolerance=1e-8) if most > 1 else nodes.select(*keys, "node", F.lit(1.0).alias("x0"))
+    vectors = leading_vectors(nodes.select(*keys, "node"), multiply, most, keys) if most > 1 else nodes.select(*keys, "node", F.lit(1.0).alias("x0"))
     columns = [f"x{c}" for c in range(most)]
     sizes = nodes.groupBy(*keys).agg(F.count("*").alias("n"))
     each = vectors.select(*keys, "node", *columns).join(sizes, keys).withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(ks)])))
