@@ -25,6 +25,7 @@ text every probability is one. docs must give its rows in the same order wheneve
 
 from __future__ import annotations
 
+import ctypes
 import math
 from array import array
 from bisect import bisect_left
@@ -241,6 +242,19 @@ def _requests(docs: DataFrame, known) -> DataFrame:
 ANSWER = "kind string, bucket int, chunk long, k1 array<long>, k2 array<long>, k3 array<int>, x array<double>"
 
 
+def _handed_back(run):
+    """run, after which what it has freed goes back to the system, so that workers that wait hold little."""
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        out = run(rows)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+        return out
+
+    return counted
+
+
 def _count(known):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         k: Known = known.value
@@ -509,7 +523,7 @@ def fit(docs: DataFrame, known_most: int = KNOWN_WORDS, id_col: str = "doc_id",
     uni = Unigrams(sums[0], sums[1], list(sums[2:]))
     n_docs = training.count()
     known = docs.sparkSession.sparkContext.broadcast(known_words(unigrams, n_docs, uni, known_most))
-    answers = stored(_requests(texts, known).groupBy("bucket").applyInPandas(_count(known), ANSWER), "answers", "kind")
+    answers = stored(_requests(texts, known).groupBy("bucket").applyInPandas(_handed_back(_count(known)), ANSWER), "answers", "kind")
     return KatzModel(unigrams, answers, uni, known)
 
 
