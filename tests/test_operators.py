@@ -75,6 +75,22 @@ def test_planted_shifts_are_found(spark, block):
     assert [kept[k] for k in range(5)] == shifts
 
 
+@pytest.mark.parametrize("block", [1, 2, 3, 5])
+def test_all_pairs_meet_once_and_no_block_is_sent_for_each_other(spark, block):
+    x = np.random.default_rng(2).standard_normal((13, 20))
+    best = {(i, j): A.pair_scores(x[i : i + 1], x[j : j + 1], 3)[0][0, 0] for i in range(13) for j in range(i + 1, 13)}
+    panel = long(spark, x)
+    found = A.lag_pairs(panel, 3, block=block)
+    rows = found.collect()
+    assert len(rows) == len(best) and {(r.i, r.j): r.lag for r in rows} == best
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Generate" not in plan
+    keyed = panel.withColumn("start", F.explode(F.array(F.lit(4), F.lit(9)))).withColumn("v", F.when(F.col("start") == 9, -F.col("v")).otherwise(F.col("v")))
+    rows = A.lag_pairs(keyed, 3, block=block, key="start", within=[2, 3]).collect()
+    assert len(rows) == 4 * len(best)
+    assert {(r.start, r.i, r.j): r.lag for r in rows if r.m == 3} == {(s, *p): lag for s in (4, 9) for p, lag in best.items()}
+
+
 def test_linear_lags_have_the_other_sign(spark):
     x = np.random.default_rng(1).standard_normal(30)
     late = np.concatenate([np.zeros(2), x[:-2]])
