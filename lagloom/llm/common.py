@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -54,9 +55,17 @@ def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
     return path
 
 
-def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
+def hand_back() -> None:
+    """What a worker has freed goes back to the system, so that workers that wait hold little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str, rows: int | None = None) -> DataFrame:
     """mapInArrow with Python lists: make() runs once a task and returns a function from one list per column of df
-    to a dict of lists or arrays, one per field of schema."""
+    to a dict of lists or arrays, one per field of schema. It gets an Arrow batch at a time, or that many rows of it at
+    most: an array of numbers takes several times as much memory as a list."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -65,9 +74,15 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                out = step(*(c.to_pylist() for c in batch.columns))
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+            for at in range(0, batch.num_rows, rows or batch.num_rows or 1):
+                part = batch.slice(at, rows)
+                out = step(*(c.to_pylist() for c in part.columns))
+                done = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+                del out
+                yield done
+                del part, done
+        del step
+        hand_back()
 
     return df.mapInArrow(run, fields)
 

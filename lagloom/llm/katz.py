@@ -25,7 +25,6 @@ text every probability is one. docs must give its rows in the same order wheneve
 
 from __future__ import annotations
 
-import ctypes
 import math
 from array import array
 from bisect import bisect_left
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import MEMO, folded_words, id_and_text, map_columns, most_frequent, stored
+from lagloom.llm.common import MEMO, folded_words, hand_back, id_and_text, map_columns, most_frequent, stored
 
 #: Counts that Good-Turing discounts, and the share that larger counts give up.
 CUTOFF, TAIL = 5, 1e-3
@@ -247,9 +246,7 @@ def _handed_back(run):
 
     def counted(rows: pd.DataFrame) -> pd.DataFrame:
         out = run(rows)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        hand_back()
         return out
 
     return counted

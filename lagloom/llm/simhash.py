@@ -37,6 +37,8 @@ GENERATOR = 0b110001110101  # of the [23, 12] Golay code
 BROADCAST_ROWS = 1_000_000
 #: Shingles (of one number) that may be broadcast instead of moving a set for each pair.
 BROADCAST_SHINGLES = 2_000_000
+#: Texts, and pairs of sets, that a worker holds as Python lists at once.
+TEXTS_AT_ONCE, PAIRS_AT_ONCE = 1_000, 256
 #: Bits of a sketch of a set.
 SKETCH = 4096
 #: A shingle of COMMON texts or more of one in SAMPLE is common; so many of them are held at most. They only order shingles.
@@ -312,7 +314,7 @@ def text_classes(docs: DataFrame, k: int, similarity: float, id_col: str = "doc_
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = texts.select("doc_id", F.xxhash64("text").alias("raw"), "text")
-    return map_columns(rows, make, f"doc_id {kind}, raw long, node long, fp long, n long, rank long, keys array<long>")
+    return map_columns(rows, make, f"doc_id {kind}, raw long, node long, fp long, n long, rank long, keys array<long>", TEXTS_AT_ONCE)
 
 
 def similar(texts: DataFrame, named: DataFrame, k: int, similarity: float):
@@ -354,14 +356,14 @@ def similar(texts: DataFrame, named: DataFrame, k: int, similarity: float):
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         rows = texts.join(wanted, (texts.raw == wanted.raw) & texts.doc_id.eqNullSafe(wanted.one_id)).select("node", "text")
-        sets = held(map_columns(rows, shingles, "node long, n long, bits binary, shingles array<long>"), "shingles")
+        sets = held(map_columns(rows, shingles, "node long, n long, bits binary, shingles array<long>", TEXTS_AT_ONCE), "shingles")
         small, sets = sets.select("node", "n", "bits"), sets.select("node", "shingles")
         both = pairs.join(small.toDF("a", "m", "x"), "a").join(small.toDF("b", "n", "y"), "b")
-        pairs = held(map_columns(both.select("a", "b", "m", "n", "x", "y"), possible, "a long, b long"), "possible")
+        pairs = held(map_columns(both.select("a", "b", "m", "n", "x", "y"), possible, "a long, b long", 4 * PAIRS_AT_ONCE), "possible")
         if (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES:
             sets = F.broadcast(sets)
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return held(map_columns(both.select("a", "b", "x", "y"), judged, "a long, b long, keep boolean").where("keep").select("a", "b"), "verified")
+        return held(map_columns(both.select("a", "b", "x", "y"), judged, "a long, b long, keep boolean", PAIRS_AT_ONCE).where("keep").select("a", "b"), "verified")
 
     return verify
 

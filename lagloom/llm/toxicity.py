@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.common import MEMO, id_and_text, map_columns, stored
+from lagloom.llm.common import MEMO, hand_back, id_and_text, map_columns, stored
 
 #: Labelled documents to learn from at most (by hash of the id). Whatever is learned (terms, ordinary words near them) is
 #: words of these documents, all that the tests leave.
@@ -299,5 +299,7 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         scorer = model.scorer()
         for texts in batches:
             yield pd.Series([model.score(*scorer.evidence(t or "")[:2]) for t in texts], dtype="float64")
+        del scorer
+        hand_back()
 
     return docs.where(score(F.col(text_col)) < 0.5)

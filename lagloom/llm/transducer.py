@@ -32,6 +32,8 @@ from lagloom.llm.common import MEMO, id_and_text, map_columns, most_frequent, sh
 
 #: Frequent words that the automaton holds at most; it bounds the file, not what can be encoded.
 LEXICON_WORDS = 65_536
+#: Texts that a worker holds with their ids at once.
+TEXTS_AT_ONCE = 1_000
 #: Unicode White_Space, which str.split() exceeds by \x1c-\x1f.
 WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -280,4 +282,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, digest: bool = Fal
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return map_columns(texts, make, f"doc_id {kind}, n_tokens long, {out}")
+    return map_columns(texts, make, f"doc_id {kind}, n_tokens long, {out}", TEXTS_AT_ONCE)

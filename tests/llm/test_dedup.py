@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagloom.llm import components, line_dedup, queries, simhash
 
@@ -170,3 +171,31 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     want = c.execute(queries.ORACLES[name])
     columns = [x[0] for x in want.description]
     assert sorted(tuple(r) for r in want.fetchall()) == sorted(tuple(r) for r in queries.QUERIES[name](spark, sf_dir).select(*columns).collect())
+
+
+def test_a_worker_holds_few_sets_at_once(spark, monkeypatch):
+    plain = simhash.map_columns
+
+    def watched(df, make, schema, *rows):
+        def counted():
+            step = make()
+
+            def run(*columns):
+                if len(columns[0]) > 1024:
+                    raise ValueError(f"{len(columns[0])} rows at once")
+                return step(*columns)
+
+            return run
+
+        return plain(df, counted, schema, *rows)
+
+    monkeypatch.setattr(simhash, "map_columns", watched)
+    n = 3000
+    words = lambda i: " ".join(f"w{(i * 7919 + k) % 100003}" for k in range(12))
+    docs = spark.createDataFrame([(i, words(i)) for i in range(n)], "doc_id long, text string").coalesce(1)
+    named = docs.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("raw"), F.col("doc_id").alias("one_id"))
+    pairs = spark.range(1, n, numPartitions=1).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")).union(spark.range(1).selectExpr("id AS a", "id AS b")).coalesce(1)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")
+    with simhash.scratch(spark) as held:
+        got = simhash.similar(texts, named, 5, 0.8)(pairs, held).collect()
+    assert [(r.a, r.b) for r in got] == [(0, 0)]
