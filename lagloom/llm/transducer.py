@@ -37,6 +37,12 @@ TEXTS_AT_ONCE = 1_000
 #: Unicode White_Space, which str.split() exceeds by \x1c-\x1f.
 WHITE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Marks that often end a piece.
+MARKS = frozenset(".,;:!?")
+#: Bytes of words and letters of pieces that are long; characters of texts that are settled together.
+LONG, TOGETHER = 64, 2_000_000
+#: Bits of an id, and what is above all ranks.
+ID, NONE = 24, 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -106,6 +112,24 @@ class Lexicon:
             at += 4 * n
         self.first, self.target, self.output, self.starts, self.ids = parts
         self.final, self.labels = at, at + states
+        first, flags = np.asarray(self.first), np.frombuffer(self.map, np.uint8)
+        # arcs by state and label, in order; none last
+        self.arcs = np.append(np.repeat(np.arange(states), np.diff(first)) << 8 | flags[self.labels : self.labels + arcs], np.int64(1) << 60)
+        self.accepts, self.targets, self.outputs = flags[at : at + states] > 0, np.asarray(self.target), np.asarray(self.output)
+
+    def find(self, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of words, rows of bytes, all walked a byte at a time; -1 if a word is not in the lexicon."""
+        state, n, alive = np.full(len(size), self.root), np.zeros(len(size), np.int64), np.arange(len(size))
+        for k in range(letters.shape[1]):
+            alive = alive[size[alive] > k]
+            key = state[alive] << 8 | letters[alive, k]
+            arc = np.searchsorted(self.arcs, key)
+            met = self.arcs[arc] == key
+            n[alive[~met]] = -1
+            alive, arc = alive[met], arc[met]
+            n[alive] += self.outputs[arc]
+            state[alive] = self.targets[arc]
+        return np.where((n >= 0) & self.accepts[state], n, -1)
 
     def get(self, word: bytes) -> list[int] | None:
         state, n = self.root, 0
@@ -128,34 +152,98 @@ class WordBPE:
             raise ValueError("this tokenizer file is of another kind")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        #: By the ids of two parts: their rank, then the id of what they become.
+        self.ranks = {self.vocab[a] << ID | self.vocab[b]: k << ID | self.vocab[a + b] for k, (a, b) in enumerate(pairs)}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.letters = byte_letters()
+        self.letters = [self.vocab.get(x) for x in byte_letters()]
+        self.table = None
+        self.last_letters = [self.vocab.get(x + self.suffix) for x in byte_letters()]
 
-    def words(self, chunk: str) -> list[bytes]:
-        """The words of a piece of text without white space, normalised, as UTF-8."""
+    def words(self, chunk: str) -> list[str]:
+        """The words of a piece of text without white space, normalised. Letters are one word, also before a mark."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # lower-cased letter by letter: no final sigma
-        return [w.encode("utf-8", "replace") for w in self.pattern.findall(chunk.lower())]
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word, by merging the pair of least rank again and again, leftmost first."""
-        parts = [self.letters[b] for b in word]
-        parts[-1] += self.suffix
-        get, none = self.ranks.get, len(self.ranks)
-        ranks = [get(p, none) for p in zip(parts, parts[1:])]
-        while ranks and (rank := min(ranks)) < none:
+        ids = [self.letters[b] for b in word]
+        ids[-1] = self.last_letters[word[-1]]
+        get = self.ranks.get
+        ranks = [get(a << ID | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < NONE:
             at = ranks.index(rank)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            ids[at : at + 2] = [rank & (1 << ID) - 1]
             del ranks[at]
             if at:
-                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
+                ranks[at - 1] = get(ids[at - 1] << ID | ids[at], NONE)
             if at < len(ranks):
-                ranks[at] = get((parts[at], parts[at + 1]), none)
-        return [self.vocab[p] for p in parts]
+                ranks[at] = get(ids[at] << ID | ids[at + 1], NONE)
+        return ids
+
+    def merge_all(self, letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words, rows of bytes, at once: their ids in rows, and how many."""
+        if self.table is None:
+            keys = np.fromiter(self.ranks, np.int64, len(self.ranks))
+            order = np.argsort(keys)
+            self.table = np.append(keys[order], NONE), np.append(np.fromiter(self.ranks.values(), np.int64, len(keys))[order], NONE)
+        keys, ranks_of = self.table
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << ID | b  # below 0 where there is no part
+            at = np.searchsorted(keys, key)
+            return np.where(keys[at] == key, ranks_of[at], NONE)
+
+        rows, (count, width) = np.arange(len(size)), letters.shape
+        place = np.arange(width)
+        inner, last = (np.array([-1 if i is None else i for i in x], np.int64) for x in (self.letters, self.last_letters))
+        ids = np.where(place < size[:, None], inner[letters], -1)
+        ids[rows, size - 1] = last[letters[rows, size - 1]]
+        ids = np.concatenate([ids, np.full((count, 1), -1)], axis=1)
+        ranks = np.concatenate([rank(ids[:, :-2], ids[:, 1:-1]), np.full((count, 2), NONE)], axis=1)
+        done, left = ids.copy(), size.copy()
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), at]
+            more = best < NONE
+            done[rows[~more]] = ids[~more]
+            rows, ids, ranks, at, best = rows[more], ids[more], ranks[more], at[more], best[more]
+            left[rows] -= 1
+            each = np.arange(len(rows))
+            # the part behind goes, what is behind it moves up
+            source = np.minimum(np.arange(width + 1) + (np.arange(width + 1) > at[:, None]), width)
+            ids, ranks = np.take_along_axis(ids, source, axis=1), np.take_along_axis(ranks, source, axis=1)
+            ids[each, at] = best & (1 << ID) - 1
+            ranks[each, at] = rank(ids[each, at], ids[each, at + 1])
+            before = each[at > 0]
+            ranks[before, at[before] - 1] = rank(ids[before, at[before] - 1], ids[before, at[before]])
+        return done, left
+
+
+def utf8(word: str) -> bytes:
+    return word.encode("utf-8", "replace")
+
+
+def together(texts: list[str]):
+    """Texts in lists of about TOGETHER characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def chunks_of(text: str) -> list[str]:
@@ -173,11 +261,12 @@ def frequent_words(docs: DataFrame, spec, top: int) -> DataFrame:
             rough: Counter[str] = Counter()
             for t in texts:
                 rough.update(chunks_of(t))
-            words: Counter[bytes] = Counter()
+            words: dict[str, int] = {}
+            get = words.get
             for c, n in rough.items():
                 for w in bpe.words(c):
-                    words[w] += n
-            return {"word": list(words), "n": list(words.values())}
+                    words[w] = get(w, 0) + n
+            return {"word": [utf8(w) for w in words], "n": list(words.values())}
 
         return step
 
@@ -192,11 +281,13 @@ class Encoder:
         self.bpe, self.lexicon = bpe, lexicon
         self.plain: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
-        self.words: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.shown = {i: (b"%d" % i, t.encode()) for i, t in bpe.strings.items()}
 
-    def ids(self, word: bytes) -> list[int]:
-        known = self.lexicon.get(word)
-        return self.bpe.merge(word) if known is None else known
+    def ids(self, word: str) -> list[int]:
+        raw = utf8(word)
+        known = self.lexicon.get(raw)
+        return self.bpe.merge(raw) if known is None else known
 
     def encode(self, text: str) -> list[int]:
         if "<|" in text and self.bpe.specials.search(text):
@@ -212,43 +303,76 @@ class Encoder:
 
     def _plain(self, chunk: str) -> tuple[int, ...]:
         ids = tuple(i for w in self.bpe.words(chunk) for i in self.ids(w))
-        if len(chunk) <= 64 and len(self.plain) < MEMO:
+        if len(chunk) <= LONG and len(self.plain) < MEMO:
             self.plain[chunk] = ids
         return ids
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.bpe.strings[i] for i in ids])
 
-    def rendered(self, text: str) -> tuple[int, bytes, bytes]:
-        """Count of ids, ids as text, decoded text; pieces seen before come from the memo ready-made."""
-        if "<|" in text and self.bpe.specials.search(text):
-            return self._render(self.encode(text))
-        chunks = chunks_of(text)
-        got = list(map(self.chunks.get, chunks))
-        if None in got:
-            got = [self._chunk(c) if g is None else g for c, g in zip(chunks, got, strict=True)]
-        return self._joined([g for g in got if g[0]])
+    def rendered(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """Of each text: count of ids, ids as text, decoded text. Pieces seen before come from the memo ready-made; all
+        others are settled together. The first pieces and words met, which hold the frequent ones, are remembered."""
+        chunks = [None if "<|" in t and self.bpe.specials.search(t) else chunks_of(t) for t in texts]
+        got = [c and list(map(self.chunks.get, c)) for c in chunks]
+        missed = dict.fromkeys(c for cs, gs in zip(chunks, got, strict=True) if gs and None in gs for c, g in zip(cs, gs, strict=True) if g is None)
+        fresh: dict[str, tuple[int, bytes, bytes]] = {}
+        if missed:
+            words = {c: self.bpe.words(c) for c in missed}
+            known = self._coded(list(dict.fromkeys(w for ws in words.values() for w in ws if w not in self.words)))
+            for w in known:
+                if len(self.words) == MEMO:
+                    break
+                if len(w) <= LONG:
+                    self.words[w] = known[w]
+            for c, ws in words.items():
+                fresh[c] = self._joined([known[w] if w in known else self.words[w] for w in ws])
+                if len(c) <= LONG and len(self.chunks) < MEMO:
+                    self.chunks[c] = fresh[c]
+        out = []
+        for t, cs, gs in zip(texts, chunks, got, strict=True):
+            if cs is None:
+                out.append(self._render(self.encode(t)))
+                continue
+            if None in gs:
+                gs = [fresh[c] if g is None else g for c, g in zip(cs, gs, strict=True)]
+            out.append(self._joined(gs))
+        return out
+
+    def _coded(self, words: list[str]) -> dict[str, tuple[int, bytes, bytes]]:
+        """Words ready-made: from the lexicon, or merged. Words of about one length are in one table of bytes."""
+        done, by_width = {}, {}
+        for w in words:
+            raw = utf8(w)
+            if len(raw) <= LONG:
+                by_width.setdefault(-(-len(raw) // 8) * 8, []).append((w, raw))
+            else:
+                done[w] = self._render(self.ids(w))
+        for width, pairs in by_width.items():
+            letters = np.frombuffer(b"".join([raw.ljust(width, b"\0") for _, raw in pairs]), np.uint8).reshape(-1, width)
+            size = np.array([len(raw) for _, raw in pairs])
+            number = self.lexicon.find(letters, size)
+            for k in np.flatnonzero(number >= 0).tolist():
+                n = number[k]
+                done[pairs[k][0]] = self._render(self.lexicon.ids[self.lexicon.starts[n] : self.lexicon.starts[n + 1]].tolist())
+            rest = np.flatnonzero(number < 0)
+            ids, count = self.bpe.merge_all(letters[rest], size[rest])
+            for k, i, n in zip(rest.tolist(), ids.tolist(), count.tolist(), strict=True):
+                done[pairs[k][0]] = self._render(i[:n])
+        return done
 
     @staticmethod
     def _joined(parts: list[tuple[int, bytes, bytes]]) -> tuple[int, bytes, bytes]:
-        return sum([g[0] for g in parts]), b" ".join([g[1] for g in parts]), b" ".join([g[2] for g in parts])
-
-    def _chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
-        """A piece ready-made. The first pieces and words met, which hold the frequent ones, are remembered."""
-        parts = []
-        for w in self.bpe.words(chunk):
-            if (got := self.words.get(w)) is None:
-                got = self._render(self.ids(w))
-                if len(w) <= 64 and len(self.words) < MEMO:
-                    self.words[w] = got
-            parts.append(got)
-        done = parts[0] if len(parts) == 1 else self._joined(parts)
-        if len(chunk) <= 64 and len(self.chunks) < MEMO:
-            self.chunks[chunk] = done
-        return done
+        if len(parts) == 1:
+            return parts[0]
+        counts, numbers, strings = zip(*parts) if parts else ((), (), ())
+        if 0 in counts:  # pieces without words
+            numbers, strings = ([x for x, n in zip(xs, counts, strict=True) if n] for xs in (numbers, strings))
+        return sum(counts), b" ".join(numbers), b" ".join(strings)
 
     def _render(self, ids) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+        numbers, strings = zip(*[self.shown[i] for i in ids]) if ids else ((), ())
+        return len(ids), b" ".join(numbers), b" ".join(strings)
 
 
 def build_lexicon(docs: DataFrame, spec: dict, shipped, top: int = LEXICON_WORDS) -> str:
@@ -275,7 +399,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, digest: bool = Fal
             if not digest:
                 coded = [np.array(coder.encode(t), np.int32) for t in texts]
                 return {"doc_id": ids, "n_tokens": [len(c) for c in coded], "ids": coded, "decoded": [coder.decode(c.tolist()) for c in coded]}
-            got = [coder.rendered(t) for t in texts]
+            got = [g for some in together(texts) for g in coder.rendered(some)]
             return {"doc_id": ids, "n_tokens": [g[0] for g in got], "ids_sha256": [sha256(g[1]).hexdigest() for g in got], "decoded_sha256": [sha256(g[2]).hexdigest() for g in got]}
 
         return step

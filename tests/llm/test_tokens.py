@@ -80,3 +80,29 @@ def test_encoding_equals_the_library(spark, odd, none):
 def test_other_tokenizers_are_refused():
     with pytest.raises((ValueError, KeyError, TypeError)):
         transducer.WordBPE(json.load(open(public_tokenizers.path("byte_bpe_50k.json"))))
+
+
+def test_words_of_a_batch_are_settled_together(tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    bpe = transducer.WordBPE(json.load(open(public_tokenizers.path("word_bpe_49k.json"))))
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    assert all(bpe.pattern.fullmatch(c) for c in letters)  # so that letters are one word
+    path = tmp_path / "lexicon"
+    path.write_bytes(transducer.compile_lexicon({w: bpe.merge(w) for w in (b"the", b"there", b"!", "straße".encode())}))
+    rng = random.Random(5)
+    texts = ["The there, theres THEN! x-ray 12.5% Straße? ΣΑΣ é é \x1c .", "", "<|endoftext|>ab <|cd", "don't I'LL 's", "q" * 200 + " " + "é" * 40]
+    texts += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz.,'!éßЖ日9", k=rng.randint(1, 30))) for _ in range(50)) for _ in range(40)]
+    one = transducer.Encoder(bpe, transducer.Lexicon(str(path)))
+    ids = [one.encode(t) for t in texts]
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole.no_truncation()
+    whole.no_padding()
+    assert ids == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    many = transducer.Encoder(bpe, transducer.Lexicon(str(path)))
+    merge, alone = bpe.merge, []
+    monkeypatch.setattr(bpe, "merge", lambda w: alone.append(w) or merge(w))
+    monkeypatch.setattr(transducer, "MEMO", 30)
+    for _ in range(2):
+        assert many.rendered(texts) == [(len(i), " ".join(map(str, i)).encode(), one.decode(i).encode()) for i in ids]
+    assert {len(w) > transducer.LONG for w in alone if w not in (b"ab", b"<|", b"cd")} == {True}
