@@ -26,8 +26,7 @@ text every probability is one. docs must give its rows in the same order wheneve
 from __future__ import annotations
 
 import math
-from array import array
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +50,10 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return (np.array(list(map(xxhash.xxh64_intdigest, words)), np.uint64) >> np.uint64(1)).astype(np.int64)
+
+
 def discounts(n: list[float]) -> list[float]:
     """d(1..CUTOFF) from the numbers n of types seen 1..CUTOFF+1 times; where those make no sense, half a count less."""
     cut = (CUTOFF + 1) * n[CUTOFF] / n[0] if n[0] else 1.0
@@ -91,17 +94,21 @@ class Known:
         self.least = least  # every word of so many is known
 
     def coder(self):
-        hashes, memo = array("q", self.hashes.tobytes()), {}
+        """A function from words to their codes, and a memo of it: words that it lacks are looked up together."""
+        memo: dict[bytes, int] = {}
 
-        def code(word: bytes) -> int:
-            h = word_hash(word)
-            at = bisect_left(hashes, h)
-            c = at if at < len(hashes) and hashes[at] == h else -1 - h
+        def codes(words: list[bytes]) -> list[int]:
+            h = word_hashes(words)
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                found = np.where(self.hashes[at] == h, at, -1 - h).tolist()
+            else:
+                found = (-1 - h).tolist()
             if len(memo) < MEMO:
-                memo[word] = c
-            return c
+                memo.update(zip(words[: MEMO - len(memo)], found, strict=False))
+            return found
 
-        return code, memo
+        return codes, memo
 
     def hash_of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes >= 0, self.hashes[np.maximum(codes, 0)] if len(self.hashes) else 0, -1 - codes)
@@ -122,24 +129,16 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
     """(word, c): counts of word hashes, the end among them, over texts (text)."""
 
     def make():
-        memo: dict[bytes, int] = {}
-
         def step(texts):
-            found: dict[int, int] = {}
-            parts = []
-            for t in texts:
-                words = folded_words(t)
-                got = list(map(memo.get, words))
-                if None in got:
-                    for k, g in enumerate(got):
-                        if g is None:
-                            got[k] = word_hash(words[k])
-                            if len(memo) < 2 * MEMO:
-                                memo[words[k]] = got[k]
-                parts.append(np.array(got, np.int64))
-            parts.append(np.full(len(texts), word_hash(END)))
-            word, c = np.unique(np.concatenate(parts), return_counts=True)
-            return {"word": word, "c": c}
+            found: Counter[bytes] = Counter({END: len(texts)})
+            words, counts = [], []
+            for k, t in enumerate(texts):
+                found.update(folded_words(t))
+                if len(found) > 2 * MEMO or k == len(texts) - 1:
+                    words.append(word_hashes(list(found)))
+                    counts.append(np.fromiter(found.values(), np.int64, len(found)))
+                    found.clear()
+            return {"word": np.concatenate([np.empty(0, np.int64), *words]), "c": np.concatenate([np.empty(0, np.int64), *counts])}
 
         return step
 
@@ -177,8 +176,8 @@ def _requests(docs: DataFrame, known) -> DataFrame:
         from pyspark import TaskContext
 
         k: Known = known.value
-        code, memo = k.coder()
-        begin, end = code(BEGIN), code(END)
+        find, memo = k.coder()
+        begin, end = find([BEGIN, END])
         log_base = np.log10(k.counts + 0.1)
         chunk_id = iter(chunk_numbers(TaskContext.get().partitionId()))
 
@@ -186,14 +185,16 @@ def _requests(docs: DataFrame, known) -> DataFrame:
             words = folded_words(text)
             got = list(map(memo.get, words))
             if None in got:
-                got = [code(w) if g is None else g for w, g in zip(words, got, strict=True)]
+                missed = [at for at, g in enumerate(got) if g is None]
+                for at, c in zip(missed, find([words[at] for at in missed]), strict=True):
+                    got[at] = c
             return np.array([begin, *got, end], np.int64)
 
         def emit(out, ids, train, codes):
             chunk = next(chunk_id)
             u, w = (np.concatenate([c[a : len(c) - 1 + a] for c in codes]) for a in (0, 1))
             n = np.array([len(c) - 1 for c in codes])
-            doc = np.repeat(np.arange(len(codes)), n)
+            doc = np.repeat(np.arange(len(codes), dtype=np.int16), n)
             seen, log_c = w >= 0, np.zeros(len(w))
             log_c[seen] = log_base[w[seen]]
             row = {"bucket": chunk % k.buckets, "chunk": chunk, "ids": ids, "n_tokens": n, "n_known": np.bincount(doc, seen, len(n)).astype(np.int64), "base": np.bincount(doc, log_c, len(n))}
@@ -206,7 +207,7 @@ def _requests(docs: DataFrame, known) -> DataFrame:
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for b, u1, w1, d1 in zip(bucket[np.concatenate([[0], cuts])], *(np.split(x, cuts) for x in (u, w, doc)), strict=True):
                 at = np.concatenate([[0], np.flatnonzero(np.diff(u1)) + 1])
-                row = {"bucket": int(b), "chunk": chunk, "train": bits, "n_docs": len(ids), "u": u1[at], "run": np.diff(np.append(at, len(u1))), "w": np.maximum(w1, -1), "rare": w1[w1 < 0], "doc": d1}
+                row = {"bucket": int(b), "chunk": chunk, "train": bits, "n_docs": len(ids), "u": u1[at], "run": np.diff(np.append(at, len(u1))).astype(np.int32), "w": np.maximum(w1, -1).astype(np.int32), "rare": w1[w1 < 0], "doc": d1}
                 for c in out:
                     out[c].append(row.get(c))
 
@@ -292,12 +293,12 @@ def _count(known):
 
         seen = c > 0
         # model tables
-        add("bigram", h, np.diff(pw[seen], prepend=0), np.concatenate([np.add.reduceat(seen.astype(np.int64), hist), np.minimum(c[seen], 2**31 - 1)]))
+        add("bigram", h, np.diff(pw[seen], prepend=0), np.concatenate([np.add.reduceat(seen.astype(np.int64), hist), np.minimum(c[seen], 2**31 - 1)]).astype(np.int32))
         classes = np.stack([np.add.reduceat((c == r).astype(np.int64), hist) for r in range(1, CUTOFF + 2)], axis=1)
         p = np.where(seen & (pw >= 0), 10.0 ** log_p[np.maximum(pw, 0)], 0.0)
         live = ch > 0
         tail = np.add.reduceat(np.where(c > CUTOFF, c, 0), hist)
-        add("history", k.hash_of(h[live]), np.concatenate([ch[live], tail[live]]), classes[live].ravel(), np.add.reduceat(p, hist)[live])
+        add("history", k.hash_of(h[live]), np.concatenate([ch[live], tail[live]]), classes[live].ravel().astype(np.int32), np.add.reduceat(p, hist)[live])
         odd = seen & (pw < 0)
         add("rare_next", k.hash_of(pu[odd]), -1 - pw[odd])
         # answers
@@ -309,7 +310,7 @@ def _count(known):
         here = by_level.any(axis=1)
         for chunk, a, b in zip(rows.chunk, base, base[1:], strict=False):
             places = np.flatnonzero(here[a:b])
-            add("sums", k3=np.concatenate([np.diff(places, prepend=0), by_level[a:b][places, 1:].T.ravel()]), x=total[a:b][places], chunk=int(chunk))
+            add("sums", k3=np.concatenate([np.diff(places, prepend=0), by_level[a:b][places, 1:].T.ravel()]).astype(np.int32), x=total[a:b][places], chunk=int(chunk))
         missed = np.repeat(~seen & live[of_pair], times)
         add("unseen", np.repeat(k.hash_of(h)[of_pair], times)[missed], keys[doc[missed]])
         rare = w < 0

@@ -93,3 +93,36 @@ def test_numbers_of_documents_do_not_overflow():
         last = katz.chunk_numbers(task)[-1]
         assert np.int64((last << 16) + 65_535) == (last << 16) + 65_535
         assert katz.chunk_numbers(task + 1)[0] == last + 1
+
+
+def test_words_that_the_memo_lacks_are_looked_up_together(monkeypatch):
+    monkeypatch.setattr(katz, "MEMO", 3)
+    words = [b"a", b"b", b"c", b"d", "é".encode(), b"a"]
+    place = {h: k for k, h in enumerate(sorted(map(katz.word_hash, words[1:4])))}
+    want = [place.get(katz.word_hash(w), -1 - katz.word_hash(w)) for w in words]
+    known = katz.Known(np.array(sorted(place)), np.ones(3, np.int64), katz.Unigrams(9, 3, [1] * 6), 1, 1)
+    codes, memo = known.coder()
+    assert codes(words) == want and codes(words[2:]) == want[2:] and codes([]) == []
+    assert memo == dict(zip(words[:3], want[:3], strict=True))
+    none = katz.Known(np.empty(0, np.int64), np.empty(0, np.int64), known.uni, 1, 1)
+    assert none.coder()[0]([b"a"]) == [-1 - katz.word_hash(b"a")]
+
+
+def test_words_are_counted_before_they_are_hashed(monkeypatch):
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *columns: self
+
+    made = []
+    monkeypatch.setattr(katz, "MEMO", 1)
+    monkeypatch.setattr(katz, "map_columns", lambda df, make, schema: made.append(make) or df)
+    hashed, whole = [], katz.word_hashes
+    monkeypatch.setattr(katz, "word_hashes", lambda words: hashed.append(len(words)) or whole(words))
+    katz.unigram_counts(Frame())
+    out = made[0]()(["b a B", "", "b b b", "c d e", "a"])
+    got = Counter()
+    for w, c in zip(out["word"].tolist(), out["c"].tolist(), strict=True):
+        got[w] += c
+    assert got == {katz.word_hash(w): c for w, c in {b"\n": 5, b"b": 5, b"a": 2, b"c": 1, b"d": 1, b"e": 1}.items()}
+    assert len(hashed) > 1 and sum(hashed) == len(out["word"]) < 15
+    assert len(made[0]()([])["word"]) == 0
