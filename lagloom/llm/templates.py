@@ -51,6 +51,8 @@ NOT_COUNTED = frozenset("and the for are was per but nor from than then with int
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 CORE = re.compile(r"\w(?:.*\w)?%?", re.S)
 _NUM, _NAME, _UNIT = (xxhash.xxh64_intdigest(f"<{x}>") for x in ("num", "name", "unit"))
+#: Marks after a word of letters; those that end a sentence.
+MARKS, ENDING = frozenset(".,;:!?"), (".", "!", "?", ":")
 _M = 0x9E3779B97F4A7C15 | 1
 #: What a chunk is: a number, the end of a sentence, a number word, a chunk that ends in its core.
 IS_NUMBER, ENDS, IS_WORD_NUMBER, OPEN = 1, 2, 4, 8
@@ -110,21 +112,37 @@ class Reader:
         self.codes = [array("Q") for _ in range(3)]
         self.flags = array("B")
 
-    def learn(self, chunk: str) -> int:
-        core = CORE.search(chunk)
-        word = core[0] if core else chunk
-        low = word.lower()
-        plain = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"))
-        spelt = low in NUMBER_WORDS
-        number = spelt or bool(NUMBER.fullmatch(word))
-        own = _NUM if number else _NAME if is_name(word) else plain
-        counted = own == plain and (low in UNITS or len(low) > 2 and low.isalpha() and low not in NOT_COUNTED)
-        for k, c in enumerate((own, _UNIT if counted else own, plain)):
-            self.codes[k].append(c)
-        ends = chunk.rstrip("\"')»”").endswith((".", "!", "?", ":"))
-        self.flags.append(number * IS_NUMBER | ends * ENDS | spelt * IS_WORD_NUMBER | chunk.endswith(word) * OPEN)
-        self.at[chunk] = len(self.flags) - 1
-        return len(self.flags) - 1
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks not met before, each once. Letters alone, also before a mark, are most of them and need no patterns."""
+        own, counted, plain, flags = [], [], [], []
+        digest = xxhash.xxh64_intdigest
+        for chunk in chunks:
+            word = chunk if (letters := chunk.isalpha()) else chunk[:-1]
+            if letters or chunk[-1] in MARKS and word.isalpha():
+                low = word.lower()
+                value = digest(low.encode())
+                number = spelt = low in NUMBER_WORDS
+                name = len(word) > 1 and word[0].isupper() and word[1:].islower()
+                flag = OPEN if letters else ENDS if chunk[-1] in ENDING else 0
+            else:
+                core = CORE.search(chunk)
+                word = core[0] if core else chunk
+                low = word.lower()
+                value = digest(low.encode("utf-8", "replace"))
+                spelt = low in NUMBER_WORDS
+                number = spelt or bool(NUMBER.fullmatch(word))
+                name = is_name(word)
+                flag = chunk.endswith(word) * OPEN | chunk.rstrip("\"')»”").endswith(ENDING) * ENDS
+            code = _NUM if number else _NAME if name else value
+            noun = code == value and (low in UNITS or len(low) > 2 and low.isalpha() and low not in NOT_COUNTED)
+            own.append(code)
+            counted.append(_UNIT if noun else code)
+            plain.append(value)
+            flags.append(number * IS_NUMBER | spelt * IS_WORD_NUMBER | flag)
+        self.at.update(zip(chunks, range(len(self.flags), len(self.flags) + len(chunks)), strict=True))
+        for codes, new in zip(self.codes, (own, counted, plain), strict=True):
+            codes.extend(new)
+        self.flags.extend(flags)
 
     def read(self, texts: list[str]) -> Tokens:
         split = [t.split() for t in texts]
@@ -133,7 +151,10 @@ class Reader:
             self.fresh()
         got = list(map(self.at.get, chunks))
         if None in got:
-            got = [g if g is not None else self.at[c] if c in self.at else self.learn(c) for c, g in zip(chunks, got, strict=True)]
+            missed = [k for k, g in enumerate(got) if g is None]
+            self.learn(list(dict.fromkeys([chunks[k] for k in missed])))
+            for k in missed:
+                got[k] = self.at[chunks[k]]
         k, text = np.array(got, np.int64), np.repeat(np.arange(len(split)), [len(s) for s in split])
         flags = np.frombuffer(self.flags, np.uint8)[k]
         own, counted, plain = (np.frombuffer(c, np.uint64)[k] for c in self.codes)
