@@ -17,8 +17,9 @@ from lagloom.operators import estimate as E
 from lagloom.operators import evaluate as V
 from lagloom.operators import trade as T
 from lagloom.plans import experiments as X
-from lagloom.plans import walk
+from lagloom.plans import registry, walk
 from lagloom.sources import panels as src
+from lagloom.sources.storage import stored_table
 from lagloom.streaming.windows import sliding_moments
 
 
@@ -91,6 +92,33 @@ def test_all_pairs_meet_once_and_no_block_is_sent_for_each_other(spark, block):
     assert {(r.start, r.i, r.j): r.lag for r in rows if r.m == 3} == {(s, *p): lag for s in (4, 9) for p, lag in best.items()}
 
 
+@pytest.mark.parametrize("name", ["lag_matrix_all_embeddings"])
+def test_vectors_are_sent_once_and_whole(spark, sf_dir, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(A, "stored_table", lambda df, to: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored_table(df, to))[1])
+    registry.QUERIES[name](spark, sf_dir)
+    (blocks,) = plans
+    assert blocks.count("Exchange hashpartitioning") == 1 and "Generate" not in blocks
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_vectors_as_arrays_have_the_lags_of_their_panel(spark, tmp_path, block):
+    x = np.random.default_rng(4).standard_normal((11, 16)).astype("float32")
+    x[3] = 0.1  # constant
+    rows = [(k, [float(v) for v in x[k]]) for k in range(11)] + [(11, None), (12, [])]
+    rows[5][1][2] = None
+    twice = [(k, e) for k in range(4) for e in (rows[k][1], rows[k + 4][1])]  # two rows an id
+    for part, vectors in (("once", rows), ("twice", twice)):
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/{part}/embeddings.parquet")
+        panel = P.zscored(src.embedding_series(spark, f"{tmp_path}/{part}"))
+        want = {(r.i, r.j): r for r in A.lag_pairs(panel, 3, block=block).collect()}
+        got = A.array_lag_pairs(src.embedding_arrays(spark, f"{tmp_path}/{part}"), 3, block=block, raw=True).collect()
+        assert len(got) == len(want) == (55 if part == "once" else 6)
+        assert all(r.lag == want[r.i, r.j].lag for r in got)
+        np.testing.assert_allclose([r.score for r in got], [want[r.i, r.j].score for r in got], atol=1e-12)
+        assert any(np.isnan(r.score) for r in got) and not all(np.isnan(r.score) for r in got)
+
+
 def test_linear_lags_have_the_other_sign(spark):
     x = np.random.default_rng(1).standard_normal(30)
     late = np.concatenate([np.zeros(2), x[:-2]])
