@@ -92,7 +92,7 @@ def test_all_pairs_meet_once_and_no_block_is_sent_for_each_other(spark, block):
     assert {(r.start, r.i, r.j): r.lag for r in rows if r.m == 3} == {(s, *p): lag for s in (4, 9) for p, lag in best.items()}
 
 
-@pytest.mark.parametrize("name", ["lag_matrix_all_embeddings"])
+@pytest.mark.parametrize("name", ["lag_matrix_embeddings", "lag_matrix_all_embeddings"])
 def test_vectors_are_sent_once_and_whole(spark, sf_dir, monkeypatch, name):
     plans = []
     monkeypatch.setattr(A, "stored_table", lambda df, to: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored_table(df, to))[1])
